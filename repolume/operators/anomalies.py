@@ -1,24 +1,25 @@
 """Limits from daily counts, system health, anomalous days, data diagnostics.
 
-One-row frames are cross joined with a broadcast; each table is scanned once.
+Each operator scans a table once; cross joins are with a broadcast of one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolume.functions import scores
 from repolume.functions.timecols import (
     AsOf,
+    as_datetime,
     day,
     days_before,
+    from_time,
     last_days,
     start_of_day,
     time_literal,
 )
 from repolume.operators.delivery import is_bug, is_merged
-from repolume.operators.traffic import event_traffic_daily
 from repolume.sources.thresholds import DEFAULTS
 
 
@@ -26,13 +27,17 @@ def _three_sigma(count: str) -> Column:
     return F.avg(count) + 3 * F.stddev_pop(count)
 
 
+def _or_default(limit: Column, name: str) -> Column:
+    """The fixed limit where the computed one is 0 or there is none."""
+    usable = F.when((limit == 0) | F.isnan(limit), None).otherwise(limit)
+    return F.coalesce(usable, F.lit(DEFAULTS[name]))
+
+
 def _limit(df: DataFrame, as_of: AsOf, days: int, name: str) -> DataFrame:
     daily = last_days(df, as_of, days).groupBy(day(F.col("created_at"))).agg(
         F.count("*").alias("n")
     )
-    value = _three_sigma("n")
-    usable = F.when((value == 0) | F.isnan(value), None).otherwise(value)
-    return daily.agg(F.coalesce(usable, F.lit(DEFAULTS[name])).alias(name))
+    return daily.agg(_or_default(_three_sigma("n"), name).alias(name))
 
 
 def dynamic_thresholds(
@@ -128,16 +133,39 @@ def daily_anomalies(
     days: int = 90,
     start: AsOf | None = None,
     end: AsOf | None = None,
-    repos=None,
+    repos: list[str] | None = None,
 ) -> DataFrame:
-    """Daily traffic beside the limit line, and whether the day exceeds it."""
-    line = _limit(events, as_of, days, "events_per_day")
-    traffic = event_traffic_daily(events, start, end, repos)
-    return traffic.crossJoin(F.broadcast(line)).select(
-        "time",
-        "events",
-        F.col("events_per_day").alias("threshold"),
-        (F.col("events") > F.col("events_per_day")).alias("is_anomaly"),
+    """Daily traffic of the chosen repositories and range beside the limit line
+    of all repositories, and whether the day exceeds it.
+
+    One scan counts both per day; the limit is then taken over the days.
+    """
+    in_look_back = F.col("created_at") >= time_literal(
+        events, "created_at", days_before(as_of, days)
+    )
+    chosen = F.lit(True)
+    if start is not None:
+        chosen &= F.col("created_at") >= time_literal(events, "created_at", start)
+    if end is not None:
+        chosen &= F.col("created_at") <= time_literal(events, "created_at", end)
+    first = days_before(as_of, days) if start is not None else None
+    if first is not None:
+        events = from_time(events, min(first, as_datetime(start)))
+    if repos is not None:
+        chosen &= F.col("repo_name").isin(list(repos))
+    daily = events.groupBy(day(F.col("created_at")).alias("time")).agg(
+        F.count_if(chosen).alias("events"), F.count_if(in_look_back).alias("n")
+    )
+    # one row per day by now, so all of them fit one task
+    all_days = Window.partitionBy(F.lit(0))
+    n = F.when(F.col("n") > 0, F.col("n"))
+    line = F.avg(n).over(all_days) + 3 * F.stddev_pop(n).over(all_days)
+    return (
+        daily.withColumn("threshold", _or_default(line, "events_per_day"))
+        .where("events > 0")
+        .select(
+            "time", "events", "threshold", (F.col("events") > F.col("threshold")).alias("is_anomaly")
+        )
     )
 
 

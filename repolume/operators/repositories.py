@@ -92,6 +92,18 @@ def detailed_analytics(
     )
 
 
+def detailed_analytics_from_rollup(
+    rollup: DataFrame, as_of: AsOf, days: int = 30, repos=None
+) -> DataFrame:
+    """``detailed_analytics`` for whole days, read from the sketch rollup; users
+    are estimated."""
+    recent = in_repos(last_days(rollup, as_of, days, "date"), repos)
+    return recent.groupBy("repo_name", "date", "event_type").agg(
+        F.sum("event_count").alias("event_count"),
+        F.hll_sketch_estimate(F.hll_union_agg("users_sketch")).alias("unique_users"),
+    )
+
+
 def event_type_summary(
     events: DataFrame, as_of: AsOf, days: int = 30, repos=None
 ) -> DataFrame:

@@ -288,19 +288,19 @@ def forecast_vs_actual_wide(spark: SparkSession, d: str) -> DataFrame:
 
 # --- classifier ----------------------------------------------------------------
 
-_MODELS: dict[tuple[str, str], str] = {}
+_MODELS: dict[tuple[str, str], PipelineModel] = {}
 
 
 def trained_model(spark: SparkSession, d: str) -> PipelineModel:
-    """The classifier of a data set: fitted and saved once per application."""
+    """The classifier of a data set: fitted, saved and loaded once per application."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _MODELS:
         rows = classifier.in_valid_classes(classifier.training_rows(t.issues(spark, d)))
         train_part = classifier.with_split(rows).where("split = 'train'")
         path = new_path(spark, "classifier")
         classifier.save_model(classifier.train(train_part), path)
-        _MODELS[key] = path
-    return classifier.load_model(_MODELS[key])
+        _MODELS[key] = classifier.load_model(path)
+    return _MODELS[key]
 
 
 @register
@@ -429,7 +429,7 @@ def compact_events(spark: SparkSession, d: str) -> DataFrame:
 @register
 def table_sizes(spark: SparkSession, d: str) -> DataFrame:
     names = ["events", "documents", "labels", "orders", "lineitem"]
-    return store.table_sizes({name: t.read(spark, d, name) for name in names})
+    return store.table_sizes(spark, {name: f"{d}/{name}.parquet" for name in names})
 
 
 @register
@@ -479,6 +479,23 @@ def event_traffic_from_rollup(spark: SparkSession, d: str) -> DataFrame:
     return traffic.event_traffic_from_rollup(_stored_rollup(spark, d))
 
 
+@register
+def daily_activity_from_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return traffic.daily_activity_from_rollup(_stored_rollup(spark, d))
+
+
+@register
+def detailed_analytics_from_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return repositories.detailed_analytics_from_rollup(_stored_rollup(spark, d), AS_OF)
+
+
+@register
+def collapse_rollup(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "rollup-collapsed")
+    rollup.append_delta(rollup.collapse_rollup(_stored_rollup(spark, d)), path, load_id=0)
+    return rollup.merged_rollup(spark.read.parquet(path))
+
+
 def _landed_feed(spark: SparkSession, d: str) -> str:
     landing = new_path(spark, "landing")
     t.raw_event_feed(spark, d).write.text(landing)

@@ -504,6 +504,13 @@ FROM (SELECT CAST(id AS BIGINT) % 4 AS load_id, CAST(created_at AS DATE) AS date
    type AS event_type, count(*) AS event_count, count(DISTINCT actor_login) AS unique_users
   FROM activity GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3"""),
     "daily_rollup": _events(_ROLLUP_EXACT),
+    "collapse_rollup": _events(_ROLLUP_EXACT),
+    "daily_activity_from_rollup": _events(f"""SELECT * FROM ({_DAILY})
+QUALIFY row_number() OVER (PARTITION BY repo_name ORDER BY date DESC) <= 30"""),
+    "detailed_analytics_from_rollup": _events(f"""SELECT repo_name,
+ CAST(created_at AS DATE) AS date, type AS event_type, count(*) AS event_count,
+ count(DISTINCT actor_login) AS unique_users
+FROM activity WHERE CAST(created_at AS DATE) >= {NOW} - INTERVAL 30 DAY GROUP BY 1, 2, 3"""),
     "stream_rollup": _events(_ROLLUP_EXACT),
     "stream_ingest": _events(f"SELECT {EVENT_ROW} FROM activity"),
     "stream_daily_counts": _events("""SELECT CAST(created_at AS DATE) AS date, repo_name,

@@ -44,39 +44,42 @@ def _name_of(value: Column, key: str) -> Column:
     return F.when(value.startswith("{"), F.get_json_object(value, f"$.{key}")).otherwise(value)
 
 
+def _parsed(df: DataFrame, struct: Column, *keep: str) -> DataFrame:
+    """The members of a computed struct as columns, computed once per row: a
+    later filter on them is not rewritten into the computation, as it would be
+    for a plain projection."""
+    return df.select(*keep, F.inline(F.array(struct)))
+
+
 def parse_events(raw: DataFrame) -> DataFrame:
     """Every feed row with its table columns and ``error``: the first missing or
     unreadable required member, NULL for a good row."""
-    member = F.from_json("value", _EVENT_FEED)
-    parsed = feed_items(raw).select("value", member.alias("m"))
-    org = F.col("m.org")
-    no_org = org.isNull() | org.isin("", "{}")
-    flat = parsed.select(
-        "value",
-        F.col("m.id").alias("id"),
-        F.col("m.type").alias("type"),
-        _name_of(F.col("m.actor"), "login").alias("actor_login"),
-        _name_of(F.col("m.repo"), "name").alias("repo_name"),
-        iso_time(F.col("m.created_at")).alias("created_at"),
-        F.coalesce("m.payload", F.lit("{}")).alias("payload"),
-        F.when(~no_org, _name_of(org, "login")).alias("org_login"),
-        (~no_org & _name_of(org, "login").isNull()).alias("bad_org"),
+    members = _parsed(feed_items(raw), F.from_json("value", _EVENT_FEED), "value")
+    no_org = F.col("org").isNull() | F.col("org").isin("", "{}")
+    columns = F.struct(
+        "id",
+        "type",
+        _name_of(F.col("actor"), "login").alias("actor_login"),
+        _name_of(F.col("repo"), "name").alias("repo_name"),
+        iso_time(F.col("created_at")).alias("created_at"),
+        F.coalesce("payload", F.lit("{}")).alias("payload"),
+        F.when(~no_org, _name_of(F.col("org"), "login")).alias("org_login"),
+        (~no_org).alias("has_org"),
     )
+    flat = _parsed(members, columns, "value")
+    required = [
+        ("id", "id"),
+        ("type", "type"),
+        ("actor_login", "actor"),
+        ("repo_name", "repo"),
+        ("created_at", "created_at"),
+    ]
     error = F.coalesce(
-        *[
-            F.when(F.col(column).isNull(), member_name)
-            for column, member_name in (
-                ("id", "id"),
-                ("type", "type"),
-                ("actor_login", "actor"),
-                ("repo_name", "repo"),
-                ("created_at", "created_at"),
-            )
-        ],
+        *[F.when(F.col(column).isNull(), member) for column, member in required],
         F.when(~F.col("payload").startswith("{"), "payload"),
-        F.when(F.col("bad_org"), "org"),
+        F.when(F.col("has_org") & F.col("org_login").isNull(), "org"),
     )
-    return flat.withColumn("error", error).drop("bad_org")
+    return flat.withColumn("error", error).drop("has_org")
 
 
 def normalize_events(raw: DataFrame) -> DataFrame:
@@ -97,22 +100,19 @@ def normalize_issues(raw: DataFrame, repo: str | None = None) -> DataFrame:
     """
     items = feed_items(raw if repo is None else raw.withColumn("repo_name", F.lit(repo)))
     is_pull_request = F.array_contains(F.json_object_keys("value"), "pull_request")
-    parsed = items.where(~is_pull_request).select(
-        "repo_name", F.from_json("value", ISSUE_FEED).alias("i")
-    )
-    return parsed.select(
-        "i.id",
-        "i.number",
-        "i.title",
-        F.coalesce("i.body", F.lit("")).alias("body"),
-        F.coalesce(
-            F.transform("i.labels", lambda label: label["name"]),
-            F.array().cast("array<string>"),
-        ).alias("labels"),
-        "i.state",
-        iso_time(F.col("i.created_at")).alias("created_at"),
-        iso_time(F.col("i.closed_at")).alias("closed_at"),
-        F.col("i.user.login").alias("user_login"),
+    issues = items.where(~is_pull_request)
+    members = _parsed(issues, F.from_json("value", ISSUE_FEED), "repo_name")
+    names = F.transform("labels", lambda label: label["name"])
+    return members.select(
+        "id",
+        "number",
+        "title",
+        F.coalesce("body", F.lit("")).alias("body"),
+        F.coalesce(names, F.array().cast("array<string>")).alias("labels"),
+        "state",
+        iso_time(F.col("created_at")).alias("created_at"),
+        iso_time(F.col("closed_at")).alias("closed_at"),
+        F.col("user.login").alias("user_login"),
         "repo_name",
     ).where("id IS NOT NULL AND created_at IS NOT NULL")
 

@@ -148,14 +148,19 @@ def apply_retention(spark: SparkSession, path: str, as_of: AsOf, days: int = 90)
         _delete_folder(spark, f"{path}/{MONTH}={month}")
 
 
-def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:
-    """Bytes and files of each table; reads file metadata, no columns."""
+def table_sizes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Bytes and files of each table, from the file listing alone: the contents
+    column of the file source is not asked for, so no file is opened."""
     parts = [
-        df.select(F.lit(name).alias("table"), "_metadata.file_path", "_metadata.file_size")
-        .distinct()
-        .groupBy("table")
-        .agg(F.sum("file_size").alias("bytes"), F.count("*").alias("files"))
-        for name, df in tables.items()
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .load(path)
+        .agg(
+            F.lit(table).alias("table"),
+            F.sum("length").alias("bytes"),
+            F.count("*").alias("files"),
+        )
+        for table, path in paths.items()
     ]
     result = parts[0]
     for part in parts[1:]:
@@ -173,8 +178,8 @@ def compact_events(
     of any size is split.
     """
     table = spark.read.parquet(path)
-    size = table_sizes({"events": table}).first()
-    files = max(1, -(-size["bytes"] // file_bytes)) if size else 1
+    total = table_sizes(spark, {"events": path}).first()["bytes"]
+    files = max(1, -(-total // file_bytes))
     (
         table.repartitionByRange(files, MONTH, *SORT_KEY)
         .sortWithinPartitions(MONTH, *SORT_KEY)

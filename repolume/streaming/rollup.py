@@ -21,15 +21,19 @@ LOG_REGISTERS = 12
 
 def rollup_delta(events: DataFrame, *load: str) -> DataFrame:
     """The delta rows of a block of events (of each load, if ``load`` columns
-    are named)."""
-    return events.groupBy(
+    are named). Events are counted per user first, so a sketch is made once per
+    key and task, not once per user."""
+    key = [*load, *KEY]
+    per_user = events.groupBy(
         *load,
         day(F.col("created_at")).alias("date"),
         "repo_name",
         F.col("type").alias("event_type"),
-    ).agg(
-        F.count("*").alias("event_count"),
-        F.count_distinct("actor_login").alias("unique_users"),
+        "actor_login",
+    ).agg(F.count("*").alias("n"))
+    return per_user.groupBy(*key).agg(
+        F.sum("n").alias("event_count"),
+        F.count("actor_login").alias("unique_users"),
         F.hll_sketch_agg("actor_login", LOG_REGISTERS).alias("users_sketch"),
     )
 
