@@ -26,6 +26,8 @@ VOCABULARY = 5000
 MAX_ITERATIONS = 1000
 TEST_SHARE = 0.2
 SEED = 42
+# A list of this many labels is a few megabytes at most.
+BROADCAST_CLASSES = 50_000
 # Words of two or more characters, in any script.
 TOKEN = r"(?U)\w\w+"
 
@@ -53,8 +55,21 @@ def valid_classes(rows: DataFrame, min_rows: int = MIN_CLASS_ROWS) -> DataFrame:
 
 
 def in_valid_classes(rows: DataFrame, min_rows: int = MIN_CLASS_ROWS) -> DataFrame:
-    counts = rows.groupBy("label").agg(F.count("*").alias("count"))
-    return rows.join(counts.where(F.col("count") >= min_rows), "label", "left_semi")
+    """The rows of classes with enough rows.
+
+    The classes are counted first (from the labels alone), so that the rows,
+    which carry whole texts, are not shuffled to meet a short list: up to
+    ``BROADCAST_CLASSES`` it is broadcast, beyond that joined.
+    """
+    classes = (
+        rows.groupBy("label")
+        .agg(F.count("*").alias("count"))
+        .where(F.col("count") >= min_rows)
+        .select("label")
+    )
+    if classes.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES:
+        classes = F.broadcast(classes)
+    return rows.join(classes, "label", "left_semi")
 
 
 def with_split(rows: DataFrame, test_share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:

@@ -27,6 +27,13 @@ def training_series(events: DataFrame, repos=None) -> DataFrame:
     ).agg(F.count("*").alias("y"))
 
 
+def training_series_from_rollup(rollup: DataFrame, repos=None) -> DataFrame:
+    """The same series from the daily rollup, without reading the events."""
+    return in_repos(rollup, repos).groupBy(
+        F.col("repo_name").alias("repository"), F.col("date").alias("ds")
+    ).agg(F.sum("event_count").alias("y"))
+
+
 def fit(series: DataFrame) -> DataFrame:
     """One row of parameters per repository."""
     repo = Window.partitionBy("repository")
@@ -81,8 +88,14 @@ def forecast_repos(
     events: DataFrame, training_date: AsOf, periods: int = PERIODS, repos=None
 ) -> DataFrame:
     """Forecast and 95 % bounds for the days after each repository's last day."""
-    params = fit(training_series(events, repos))
-    days = params.withColumn(
+    return forecast_from_series(training_series(events, repos), training_date, periods)
+
+
+def forecast_from_series(
+    series: DataFrame, training_date: AsOf, periods: int = PERIODS
+) -> DataFrame:
+    """``forecast_repos`` from a training series."""
+    days = fit(series).withColumn(
         "forecast_date",
         F.explode(F.sequence(F.date_add("last_day", 1), F.date_add("last_day", periods))),
     )

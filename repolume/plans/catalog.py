@@ -436,7 +436,7 @@ def table_sizes(spark: SparkSession, d: str) -> DataFrame:
 def thresholds_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "thresholds")
     row = anomalies.dynamic_thresholds(t.activity(spark, d), t.issues(spark, d), AS_OF)
-    thresholds.save_thresholds(row, path)
+    thresholds.save_thresholds(thresholds.with_stamp(row, AS_OF), path)
     loaded = thresholds.load_thresholds(spark, path)
     return loaded.select(*[F.round(c, 6).alias(c) for c in loaded.columns])
 
@@ -489,6 +489,12 @@ def detailed_analytics_from_rollup(spark: SparkSession, d: str) -> DataFrame:
     return repositories.detailed_analytics_from_rollup(_stored_rollup(spark, d), AS_OF)
 
 
+@register
+def forecast_repos_from_rollup(spark: SparkSession, d: str) -> DataFrame:
+    series = forecast.training_series_from_rollup(_stored_rollup(spark, d))
+    return forecast.forecast_from_series(series, AS_OF)
+
+
 @register
 def collapse_rollup(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "rollup-collapsed")

@@ -425,6 +425,9 @@ WHERE type = 'ReleaseEvent' AND created_at > {NOW} - INTERVAL 90 DAY GROUP BY 1"
     "forecast_training_series": _events("""SELECT repo_name AS repository,
  CAST(created_at AS DATE) AS ds, count(*) AS y FROM activity GROUP BY 1, 2"""),
     "forecast_repos": _with(ACTIVITY, _forecast("true", NOW), "SELECT * FROM forecast"),
+    "forecast_repos_from_rollup": _with(
+        ACTIVITY, _forecast("true", NOW), "SELECT * FROM forecast"
+    ),
     "train_all_forecasts": _with(ACTIVITY, _forecast("true", NOW), "SELECT * FROM forecast"),
     "forecast_repos_seasonal": _with(
         CI_RUNS, _forecast("true", CI_NOW, table="ci_runs"), "SELECT * FROM forecast"

@@ -5,6 +5,22 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
+# What a cluster job should set when it starts. Shuffles begin with many
+# partitions, and AQE joins small ones up to the advisory size and splits
+# skewed ones, so the same settings serve a gigabyte and 100 TB.
+CLUSTER_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+}
+
+
 def local_session(cores: int | str = "*", app: str = "repolume", **extra: str) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")

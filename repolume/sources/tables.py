@@ -1,7 +1,8 @@
 """Parquet tables by path: append, export, backup, retention, compaction, sizes.
 
 Facts are partitioned by month (``event_month``, 202401) and, where a stream
-writes them, by load: a retried load overwrites its own partitions only.
+writes them, by load under that: a repeated load overwrites its own partitions
+only. A table is written in one of the two ways throughout.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from repolume.functions.timecols import AsOf, as_datetime, days_before, month_ke
 MONTH = "event_month"
 SORT_KEY = ["created_at", "repo_name", "type"]
 TARGET_FILE_BYTES = 256 * 1024 * 1024
+# The load number of rows that compaction has merged; loads count from 0.
+COMPACTED_LOAD = -1
 
 
 def _has_rows(df: DataFrame) -> bool:
@@ -88,16 +91,24 @@ def _delete_folder(spark: SparkSession, path: str) -> None:
     files.delete(hadoop_path, True)
 
 
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly under a path, which need not exist."""
+    files, hadoop_path = _file_system(spark, path)
+    if not files.exists(hadoop_path):
+        return []
+    return sorted(
+        status.getPath().getName()
+        for status in files.listStatus(hadoop_path)
+        if status.isDirectory()
+    )
+
+
 def remove_expired_backups(
     spark: SparkSession, folder: str, as_of: AsOf, days: int = 30
 ) -> list[str]:
     """Delete the backups older than ``days``; return their names."""
-    files, hadoop_path = _file_system(spark, folder)
-    if not files.exists(hadoop_path):
-        return []
     cut = f"{days_before(as_of, days):%Y%m%d_%H%M%S}"
-    names = [status.getPath().getName() for status in files.listStatus(hadoop_path)]
-    expired = sorted(name for name in names if name < cut)
+    expired = [name for name in _folders(spark, folder) if name < cut]
     for name in expired:
         _delete_folder(spark, f"{folder}/{name}")
     return expired
@@ -131,7 +142,6 @@ def apply_retention(spark: SparkSession, path: str, as_of: AsOf, days: int = 90)
         F.coalesce(F.max(in_time), F.lit(True)).alias("keep"),
         F.coalesce(F.min(in_time), F.lit(True)).alias("whole"),
     ).collect()
-    old = [r[0] for r in table.where(F.col(MONTH) < cut_month).select(MONTH).distinct().collect()]
 
     if any(r["keep"] and not r["whole"] for r in parts):
         (
@@ -144,8 +154,10 @@ def apply_retention(spark: SparkSession, path: str, as_of: AsOf, days: int = 90)
     for r in parts:
         if not r["keep"]:
             _delete_folder(spark, "/".join([path] + [f"{p}={r[p]}" for p in partitions]))
-    for month in old:
-        _delete_folder(spark, f"{path}/{MONTH}={month}")
+    for name in _folders(spark, path):
+        key, _, month = name.partition("=")
+        if key == MONTH and int(month) < cut_month:
+            _delete_folder(spark, f"{path}/{name}")
 
 
 def table_sizes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -175,15 +187,20 @@ def compact_events(
     sorted so that a time range touches few of them.
 
     Ranges of the sort key are used instead of one task per month, so a month
-    of any size is split.
+    of any size is split. Where the table is kept by load, the merged rows get
+    a load number of their own, and later loads can be added to the target.
     """
     table = spark.read.parquet(path)
+    partitions = [MONTH]
+    if "load_id" in table.columns:
+        table = table.withColumn("load_id", F.lit(COMPACTED_LOAD).cast("bigint"))
+        partitions.append("load_id")
     total = table_sizes(spark, {"events": path}).first()["bytes"]
     files = max(1, -(-total // file_bytes))
     (
         table.repartitionByRange(files, MONTH, *SORT_KEY)
         .sortWithinPartitions(MONTH, *SORT_KEY)
         .write.mode("errorifexists")
-        .partitionBy(MONTH)
+        .partitionBy(*partitions)
         .parquet(target)
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repolume.functions.timecols import AsOf, as_datetime
+
 # The limits used where none are stored.
 DEFAULTS = {
     "events_per_day": 100.0,
@@ -13,6 +15,8 @@ DEFAULTS = {
     "mttr_threshold": 72.0,
     "lead_time_threshold": 72.0,
 }
+# Fixed value: how the stored limits were found.
+METHOD = "mean + 3σ (normal distribution)"
 _SCHEMA = ", ".join(f"{name} DOUBLE" for name in DEFAULTS)
 
 
@@ -38,6 +42,13 @@ def load_thresholds(spark: SparkSession, path: str) -> DataFrame:
     return with_defaults(spark.read.schema(_SCHEMA).json(path, multiLine=True))
 
 
+def with_stamp(thresholds: DataFrame, as_of: AsOf, method: str = METHOD) -> DataFrame:
+    """Add when and how the limits were found."""
+    return thresholds.withColumns(
+        {"last_updated": F.lit(as_datetime(as_of).isoformat() + "+00:00"), "method": F.lit(method)}
+    )
+
+
 def save_thresholds(thresholds: DataFrame, path: str) -> None:
     """Store the one row of limits (all its columns), replacing what was there."""
     thresholds.coalesce(1).write.mode("overwrite").json(path)

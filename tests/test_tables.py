@@ -96,6 +96,18 @@ def test_compaction_keeps_rows_and_merges_files(spark, tmp_path):
     assert after < before and after <= 7
 
 
+def test_a_load_can_follow_a_compaction(spark, tmp_path):
+    path, target = str(tmp_path / "events"), str(tmp_path / "compact")
+    for load in range(2):
+        part = events(spark, 60).where(F.col("id").cast("int") % 2 == load)
+        tables.append_events(part, path, load_id=load)
+    tables.compact_events(spark, path, target)
+    tables.append_events(events(spark, 70).where("CAST(id AS INT) >= 60"), target, load_id=2)
+    stored = spark.read.parquet(target)
+    assert ids(stored) == list(range(70))
+    assert {r[0] for r in stored.select("load_id").distinct().collect()} == {-1, 2}
+
+
 def test_compaction_splits_a_big_month(spark, tmp_path):
     path, target = str(tmp_path / "events"), str(tmp_path / "compact")
     data = events(spark, 20000, datetime(2024, 1, 1), timedelta(minutes=1))
@@ -145,6 +157,8 @@ def test_thresholds(spark, tmp_path):
     assert thresholds.load_thresholds(spark, path).first().asDict() == thresholds.DEFAULTS
     partial = spark.sql("SELECT 250.5D AS events_per_day, 'text' AS method")
     thresholds.save_thresholds(partial, path)
+    stamped = thresholds.with_stamp(thresholds.default_thresholds(spark), "2024-01-31")
+    assert stamped.first()["last_updated"] == "2024-01-31T00:00:00+00:00"
     loaded = thresholds.load_thresholds(spark, path).first().asDict()
     assert loaded == {**thresholds.DEFAULTS, "events_per_day": 250.5}
 
