@@ -22,6 +22,11 @@ def as_datetime(value: AsOf) -> datetime:
     return value
 
 
+def from_micros(micros: int) -> datetime:
+    """Microseconds since 1970 as a naive UTC datetime."""
+    return datetime(1970, 1, 1) + timedelta(microseconds=micros)
+
+
 def start_of_day(value: AsOf) -> datetime:
     return as_datetime(value).replace(hour=0, minute=0, second=0, microsecond=0)
 

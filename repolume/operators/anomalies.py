@@ -1,6 +1,6 @@
 """Limits from daily counts, system health, anomalous days, data diagnostics.
 
-Each operator scans a table once; cross joins are with a broadcast of one row.
+Each operator scans a table once.
 """
 
 from __future__ import annotations
@@ -33,11 +33,10 @@ def _or_default(limit: Column, name: str) -> Column:
     return F.coalesce(usable, F.lit(DEFAULTS[name]))
 
 
-def _limit(df: DataFrame, as_of: AsOf, days: int, name: str) -> DataFrame:
-    daily = last_days(df, as_of, days).groupBy(day(F.col("created_at"))).agg(
-        F.count("*").alias("n")
-    )
-    return daily.agg(_or_default(_three_sigma("n"), name).alias(name))
+def _per_day(df: DataFrame, as_of: AsOf, days: int, name: str) -> DataFrame:
+    return last_days(df, as_of, days).groupBy(day(F.col("created_at"))).agg(
+        F.count("*").alias(name)
+    ).select(name)
 
 
 def dynamic_thresholds(
@@ -45,14 +44,20 @@ def dynamic_thresholds(
 ) -> DataFrame:
     """Mean plus three standard deviations of the daily counts (days with rows
     only), with the default where there are none; the other limits are fixed."""
-    row = _limit(events, as_of, days, "events_per_day").crossJoin(
-        F.broadcast(_limit(issues, as_of, days, "issues_per_day"))
+    daily = _per_day(events, as_of, days, "events_per_day").unionByName(
+        _per_day(issues, as_of, days, "issues_per_day"), allowMissingColumns=True
+    )
+    row = daily.agg(
+        *[
+            _or_default(_three_sigma(name), name).alias(name)
+            for name in ("events_per_day", "issues_per_day")
+        ]
     )
     fixed = [
         F.lit(DEFAULTS[name]).alias(name)
         for name in ("cfr_threshold", "mttr_threshold", "lead_time_threshold")
     ]
-    return row.select("events_per_day", "issues_per_day", *fixed)
+    return row.select("*", *fixed)
 
 
 def _daily_profile(df: DataFrame, as_of: AsOf, days: int, failing: Column | None) -> DataFrame:

@@ -91,6 +91,11 @@ def _delete_folder(spark: SparkSession, path: str) -> None:
     files.delete(hadoop_path, True)
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written at ``path``; an empty folder holds none."""
+    return bool(_folders(spark, path))
+
+
 def _folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders directly under a path, which need not exist."""
     files, hadoop_path = _file_system(spark, path)

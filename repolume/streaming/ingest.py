@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from repolume.sources.feeds import EVENT_COLUMNS, parse_events
-from repolume.sources.tables import append_events
+from repolume.functions.timecols import from_micros, in_range
+from repolume.sources.feeds import EVENT_COLUMNS, dedup_events, parse_events
+from repolume.sources.tables import append_events, table_exists
 from repolume.streaming.rollup import append_delta, rollup_delta
 
 
@@ -60,15 +61,17 @@ def stream_ingest(
     return run_available(writer)
 
 
-def daily_counts(events: DataFrame, late_by: str = "90 days") -> DataFrame:
+def daily_counts(events: DataFrame, late_by: str | None = None) -> DataFrame:
     """Streamed events per day, repository and type.
 
-    A day's count is kept until events are ``late_by`` behind the newest; the
-    default is the retention period, beyond which rows would be deleted anyway.
+    As it stands every late event is counted, and the state is as large as the
+    result. ``late_by`` bounds it: days that far behind the newest event are
+    forgotten, and events for them left out. The rollup needs no such bound.
     """
+    if late_by is not None:
+        events = events.withWatermark("created_at", late_by)
     return (
-        events.withWatermark("created_at", late_by)
-        .groupBy(
+        events.groupBy(
             F.window("created_at", "1 day").alias("day"),
             "repo_name",
             F.col("type").alias("event_type"),
@@ -81,7 +84,7 @@ def daily_counts(events: DataFrame, late_by: str = "90 days") -> DataFrame:
 
 
 def stream_daily_counts(
-    events: DataFrame, path: str, checkpoint: str, late_by: str = "90 days"
+    events: DataFrame, path: str, checkpoint: str, late_by: str | None = None
 ) -> StreamingQuery:
     """Write each batch's changed counts under the batch's number."""
 
@@ -104,23 +107,34 @@ def latest_daily_counts(versions: DataFrame) -> DataFrame:
     )
 
 
-def stream_dedup(
-    events: DataFrame, path: str, checkpoint: str, late_by: str = "90 days"
-) -> StreamingQuery:
-    """Append each ``id`` once.
+def append_new_events(batch: DataFrame, path: str, load_id: int) -> None:
+    """Append the events whose id the table does not hold yet, each once.
 
-    Ids are remembered, and late events taken, for ``late_by``: the retention
-    period by default. Repeated loads overlap by about a day, so a job whose
-    feed is never later than that can name a shorter time and keep less state.
+    Copies of an event have its time, so only stored rows of the batch's own
+    months and time span are read, and of them id and time. A repeated load
+    is not compared with its own rows, which it replaces.
     """
-    once = events.withWatermark("created_at", late_by).dropDuplicatesWithinWatermark(["id"])
+    spark = batch.sparkSession
+    new = dedup_events(batch)
+    if table_exists(spark, path):
+        times = F.unix_micros("created_at")
+        first, last = batch.agg(F.min(times), F.max(times)).first()
+        if first is not None:
+            stored = in_range(spark.read.parquet(path), from_micros(first), from_micros(last))
+            held = stored.where(F.col("load_id") != load_id).select("id", "created_at")
+            new = new.join(held, ["id", "created_at"], "left_anti")
+    append_events(new, path, load_id=load_id)
+
+
+def stream_dedup(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append each streamed event once, however often and late it is repeated."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        append_events(batch, path, load_id=batch_id)
+        rows = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            append_new_events(rows, path, batch_id)
+        finally:
+            rows.unpersist()
 
-    writer = (
-        once.writeStream.outputMode("append")
-        .foreachBatch(save)
-        .option("checkpointLocation", checkpoint)
-    )
+    writer = events.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return run_available(writer)
