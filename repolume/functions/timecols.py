@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 
 AsOf = datetime | date | str
 
+# The columns whose month is the partition column of the tables that have one.
+PARTITION_TIMES = ("created_at", "date")
+
 
 def as_datetime(value: AsOf) -> datetime:
     """A reference time given as text, date or datetime, as a naive UTC datetime."""
@@ -68,7 +71,7 @@ def from_time(
     start = as_datetime(start)
     edge = time_literal(df, column, start)
     condition = F.col(column) > edge if strict else F.col(column) >= edge
-    if column == "created_at" and "event_month" in df.columns:
+    if column in PARTITION_TIMES and "event_month" in df.columns:
         condition &= F.col("event_month") >= _month_number(start)
     return df.where(condition)
 
@@ -91,7 +94,7 @@ def in_range(
     if end is not None:
         end = as_datetime(end)
         df = df.where(F.col(column) <= time_literal(df, column, end))
-        if column == "created_at" and "event_month" in df.columns:
+        if column in PARTITION_TIMES and "event_month" in df.columns:
             df = df.where(F.col("event_month") <= _month_number(end))
     return df
 

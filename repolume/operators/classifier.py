@@ -137,8 +137,12 @@ def classify_texts(texts: DataFrame, model: PipelineModel) -> DataFrame:
 
 
 def unscored_issues(issues: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Issues without a prediction; a prediction without an issue id excludes none."""
-    done = predictions.select(F.col("issue_id").alias("id"))
+    """Issues without a prediction; a prediction without an issue id excludes none.
+
+    Predictions are made distinct first, within each task and then by the same
+    shuffle the join uses, so an issue predicted very often weighs nothing.
+    """
+    done = predictions.select(F.col("issue_id").alias("id")).distinct()
     return issues.join(done, "id", "left_anti")
 
 

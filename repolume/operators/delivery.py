@@ -25,6 +25,9 @@ from repolume.functions.timecols import (
 )
 
 
+Steps = list[tuple[float | None, str]]
+
+
 def _keys(by_repo: bool) -> list[str]:
     return ["repo_name"] if by_repo else []
 
@@ -123,24 +126,38 @@ def change_failure_rate(
     return recent.groupBy(*_keys(by_repo)).agg(rate.alias("cfr"))
 
 
-def limit_steps(limit: float) -> list[tuple[float, str]]:
+def limit_steps(limit: float) -> Steps:
     """Steps of a metric that should stay low: yellow from half the limit."""
     return [(0.0, "green"), (limit * 0.5, "yellow"), (limit, "red")]
 
 
-# Steps of the panels that have their own.
+def traffic_steps(events_per_day: float) -> Steps:
+    return [(None, "green"), (events_per_day, "red")]
+
+
+# Steps that depend on no limit.
 DEPLOYMENT_STEPS = [(0.0, "red"), (5.0, "yellow"), (10.0, "green")]
 OPEN_ISSUE_STEPS = [(0.0, "green"), (50.0, "yellow"), (100.0, "red")]
-TRAFFIC_BASE_COLOUR = "green"
-SHORT_MTTR_STEPS = [(0.0, "green"), (24.0, "yellow"), (72.0, "red")]
-SHORT_CFR_STEPS = [(0.0, "green"), (15.0, "yellow"), (30.0, "red")]
+# The short report has steps of its own.
+SHORT_STEPS = {
+    "deployments": DEPLOYMENT_STEPS,
+    "cfr": [(0.0, "green"), (15.0, "yellow"), (30.0, "red")],
+    "mttr": [(0.0, "green"), (24.0, "yellow"), (72.0, "red")],
+}
 
 
-def traffic_steps(events_per_day: float) -> list[tuple[float | None, str]]:
-    return [(None, TRAFFIC_BASE_COLOUR), (events_per_day, "red")]
+def full_steps(limits: dict[str, float]) -> dict[str, Steps]:
+    """The steps of the full report, from the stored limits."""
+    return {
+        "lead_time": limit_steps(limits["lead_time_threshold"]),
+        "mttr": limit_steps(limits["mttr_threshold"]),
+        "cfr": limit_steps(limits["cfr_threshold"]),
+        "deployments": DEPLOYMENT_STEPS,
+        "open_issues": OPEN_ISSUE_STEPS,
+    }
 
 
-def with_band(df: DataFrame, column: str, steps: list[tuple[float | None, str]]) -> DataFrame:
+def with_band(df: DataFrame, column: str, steps: Steps) -> DataFrame:
     """Add the ``band`` colour of a metric column."""
     return df.withColumn("band", scores.band(F.col(column), steps))
 
@@ -149,12 +166,14 @@ def metric_bands(
     events: DataFrame,
     issues: DataFrame,
     as_of: AsOf,
-    limits: dict[str, float],
+    steps: dict[str, Steps],
     long_days: int = 90,
     short_days: int = 7,
     repos=None,
 ) -> DataFrame:
-    """The banded panels as rows (metric, value, band), each table read once."""
+    """The metrics that ``steps`` names as rows (metric, value, band), each table
+    read once. Lead time and time to resolve look back ``long_days``, failures
+    and deployments ``short_days``."""
     recent = in_repos(last_days(events, as_of, long_days), repos)
     is_short = F.col("created_at") >= time_literal(
         events, "created_at", days_before(as_of, short_days)
@@ -164,34 +183,29 @@ def metric_bands(
     )
     lead = F.avg(F.when(is_merged(), hours_crossed(F.col("created_at"), merged_at(events))))
     failing = scores.percent(F.count_if(is_short & is_failure()), F.count_if(is_short))
-    of_events = recent.agg(
-        F.coalesce(lead, F.lit(0.0)).alias("lead_time"),
-        F.coalesce(failing, F.lit(0.0)).alias("cfr"),
-        F.count_if(is_short & is_merged()).cast("double").alias("deployments"),
-    )
     closed = issue_long & (F.col("state") == "closed")
     to_close = F.avg(F.when(closed, hours_crossed(F.col("created_at"), F.col("closed_at"))))
-    of_issues = in_repos(issues, repos).agg(
-        F.coalesce(to_close, F.lit(0.0)).alias("mttr"),
-        F.count_if(F.col("state") == "open").cast("double").alias("open_issues"),
-    )
-    steps = {
-        "lead_time": limit_steps(limits["lead_time_threshold"]),
-        "cfr": limit_steps(limits["cfr_threshold"]),
-        "mttr": limit_steps(limits["mttr_threshold"]),
-        "deployments": DEPLOYMENT_STEPS,
-        "open_issues": OPEN_ISSUE_STEPS,
+    of_events = {
+        "lead_time": F.coalesce(lead, F.lit(0.0)),
+        "cfr": F.coalesce(failing, F.lit(0.0)),
+        "deployments": F.count_if(is_short & is_merged()).cast("double"),
+    }
+    of_issues = {
+        "mttr": F.coalesce(to_close, F.lit(0.0)),
+        "open_issues": F.count_if(F.col("state") == "open").cast("double"),
     }
 
-    def rows(frame: DataFrame) -> DataFrame:
+    def rows(table: DataFrame, metrics: dict[str, Column]) -> DataFrame:
+        chosen = [name for name in metrics if name in steps]
         panels = [
             F.struct(
                 F.lit(name).alias("metric"),
                 F.col(name).alias("value"),
                 scores.band(F.col(name), steps[name]).alias("band"),
             )
-            for name in frame.columns
+            for name in chosen
         ]
-        return frame.select(F.inline(F.array(*panels)))
+        row = table.agg(*[metrics[name].alias(name) for name in chosen])
+        return row.select(F.inline(F.array(*panels)))
 
-    return rows(of_events).unionByName(rows(of_issues))
+    return rows(recent, of_events).unionByName(rows(in_repos(issues, repos), of_issues))

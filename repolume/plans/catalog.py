@@ -155,11 +155,24 @@ on_events("change_failure_rate_by_repo", delivery.change_failure_rate, AS_OF, by
 
 @register
 def metric_bands(spark: SparkSession, d: str) -> DataFrame:
+    steps = delivery.full_steps(thresholds.DEFAULTS)
+    return delivery.metric_bands(t.activity(spark, d), t.issues(spark, d), AS_OF, steps)
+
+
+@register
+def metric_bands_short(spark: SparkSession, d: str) -> DataFrame:
     return delivery.metric_bands(
-        t.activity(spark, d), t.issues(spark, d), AS_OF, thresholds.DEFAULTS
+        t.activity(spark, d), t.issues(spark, d), AS_OF, delivery.SHORT_STEPS, long_days=30
     )
 
 
+@register
+def event_traffic_bands(spark: SparkSession, d: str) -> DataFrame:
+    daily = traffic.event_traffic_daily(t.activity(spark, d))
+    steps = delivery.traffic_steps(thresholds.DEFAULTS["events_per_day"])
+    return delivery.with_band(daily, "events", steps)
+
+
 # --- issues --------------------------------------------------------------------
 
 on_issues("issues_by_state", issues.issues_by_state)

@@ -346,6 +346,20 @@ FROM (
  UNION ALL SELECT 'deployments', count(*)::DOUBLE, 0.0 FROM activity
   WHERE {MERGED} AND {_recent(7)}
  UNION ALL SELECT 'open_issues', count(*)::DOUBLE, 100.0 FROM issue WHERE state = 'open')"""),
+    "metric_bands_short": _both(f"""SELECT metric, value, CASE
+  WHEN metric = 'deployments' THEN
+    CASE WHEN value >= 10 THEN 'green' WHEN value >= 5 THEN 'yellow' ELSE 'red' END
+  WHEN value >= red THEN 'red' WHEN value >= yellow THEN 'yellow' ELSE 'green' END AS band
+FROM (
+ SELECT 'mttr' AS metric, coalesce(avg(date_diff('hour', created_at, closed_at)), 0.0::DOUBLE) AS value,
+   24.0 AS yellow, 72.0 AS red
+  FROM issue WHERE state = 'closed' AND closed_at IS NOT NULL AND {_recent(30)}
+ UNION ALL SELECT 'cfr', ({_CFR})::DOUBLE, 15.0, 30.0 FROM activity WHERE {_recent(7)}
+ UNION ALL SELECT 'deployments', count(*)::DOUBLE, 0.0, 0.0 FROM activity
+  WHERE {MERGED} AND {_recent(7)})"""),
+    "event_traffic_bands": _events("""SELECT CAST(created_at AS DATE) AS time,
+ count(*) AS events, CASE WHEN count(*) >= 100 THEN 'red' ELSE 'green' END AS band
+FROM activity GROUP BY 1"""),
     "issues_by_state": _issues(
         "SELECT repo_name, state, count(*) AS total FROM issue GROUP BY 1, 2"
     ),

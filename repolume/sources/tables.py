@@ -26,7 +26,8 @@ def _has_rows(df: DataFrame) -> bool:
 def append_events(
     events: DataFrame, path: str, load_id: int | None = None, backfill: bool = False
 ) -> None:
-    """Append event rows, filling ``_inserted_at`` and the month partition.
+    """Append event rows, filling ``_inserted_at`` and the month partition, each
+    file sorted by time.
 
     With ``load_id`` the append can be repeated: the load has its own partition
     under each month and a second run replaces it. ``backfill`` first spreads
@@ -38,10 +39,12 @@ def append_events(
     if backfill:
         rows = rows.hint("rebalance", MONTH)
     if load_id is None:
-        rows.write.mode("append").partitionBy(MONTH).parquet(path)
+        ordered = rows.sortWithinPartitions(MONTH, *SORT_KEY)
+        ordered.write.mode("append").partitionBy(MONTH).parquet(path)
         return
     (
         rows.withColumn("load_id", F.lit(load_id).cast("bigint"))
+        .sortWithinPartitions(MONTH, "load_id", *SORT_KEY)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(MONTH, "load_id")

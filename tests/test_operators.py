@@ -51,7 +51,9 @@ OPERATORS = {
     "lead_time": lambda e, i: delivery.lead_time_hours(e, AS_OF),
     "weekly": lambda e, i: delivery.deployment_frequency_weekly(e, AS_OF),
     "cfr": lambda e, i: delivery.change_failure_rate(e, AS_OF),
-    "bands": lambda e, i: delivery.metric_bands(e, i, AS_OF, DEFAULTS),
+    "bands": lambda e, i: delivery.metric_bands(
+        e, i, AS_OF, delivery.full_steps(DEFAULTS)
+    ),
     "mttr": lambda e, i: delivery.mttr_hours_exact(i),
     "labels": lambda e, i: issues.top_labels(i),
 }

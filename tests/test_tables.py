@@ -2,6 +2,7 @@ import glob
 import os
 from datetime import datetime, timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,15 @@ def test_a_repeated_load_replaces_itself(spark, tmp_path):
     assert ids(spark.read.parquet(path)) == list(range(100))
 
 
+@pytest.mark.parametrize("load_id", [None, 3])
+def test_files_are_sorted_by_time(spark, tmp_path, load_id):
+    path = str(tmp_path / "events")
+    tables.append_events(events(spark, 5000, step=timedelta(minutes=30)).orderBy(F.rand(1)), path, load_id)
+    for file in glob.glob(f"{path}/**/*.parquet", recursive=True):
+        times = pq.read_table(file, columns=["created_at"])["created_at"].to_pylist()
+        assert times == sorted(times)
+
+
 def test_look_back_prunes_months(spark, tmp_path):
     path = str(tmp_path / "events")
     tables.append_events(events(spark), path)
