@@ -63,10 +63,11 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
-    events = _with_k(read(spark, sf_dir, "events")).withColumnRenamed("event_id", "doc_id")
+    events = read(spark, sf_dir, "events").withColumnRenamed("event_id", "doc_id")
     labels = read(spark, sf_dir, "labels")
+    # the number in the properties is taken from the joined rows only
     return (
-        documents.join(events, "doc_id")
+        _with_k(documents.join(events, "doc_id"))
         .join(labels, "doc_id", "left")
         .selectExpr(
             "doc_id AS id",

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
+# Sketches, maps and lists are aggregated by hash up to this many keys in a task
+# (a sketch is at most 4 KB) and by sorting beyond; the default is 128.
+HASHED_KEYS = {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000"}
+
 # What a cluster job should set when it starts. Shuffles begin with many
 # partitions, and AQE joins small ones up to the advisory size and splits
 # skewed ones, so the same settings serve a gigabyte and 100 TB.
 CLUSTER_SETTINGS = {
+    **HASHED_KEYS,
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -34,7 +39,7 @@ def local_session(cores: int | str = "*", app: str = "repolume", **extra: str) -
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
     )
-    for key, value in extra.items():
+    for key, value in {**HASHED_KEYS, **extra}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
