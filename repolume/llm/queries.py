@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolume.llm import language as languages
-from repolume.llm import packing, toxicity
+from repolume.llm import packing, secret_scan, toxicity
 from repolume.llm import quality as qualities
+from repolume.llm import rules as quality_rules
 from repolume.llm.common import fold, table
+from repolume.llm.decontaminate import decontaminate
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +42,50 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    base = [r.kind for r in secret_scan.BASE_RULES]
+
+    def count(kind: str):
+        return F.size(F.filter("found", lambda s: s.kind == kind)).cast("long")
+
+    only = secret_scan.span_text(F.filter("found", lambda s: s.kind.isin(base)))
+    return found.select(
+        "doc_id",
+        *(count(kind).alias(f"n_{kind}") for kind in base),
+        F.sha2(only.cast("binary"), 256).alias("base_sha256"),
+        secret_scan.span_text(F.col("found")).alias("spans"),
+    )
+
+
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = toxicity.fit_toxicity(documents, table(spark, sf_dir, "labels"))
@@ -52,6 +98,9 @@ QUERIES = {
     "op1_pack": op1_pack,
     "op3_language": op3_language,
     "op5_quality": op5_quality,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_secrets": op7_secrets,
+    "op8_rules": op8_rules,
     "op10_toxicity": op10_toxicity,
 }
 
