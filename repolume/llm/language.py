@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolume.llm.common import bounded_rows, fold, sample_texts, worker_state, written
+from repolume.llm.common import bounded_rows, fold, map_arrow, sample_texts, worker_state, written
 
 VOCABULARY = "piece_bpe_32k.model"
 # Learnt texts of each language, at most, and languages, at most (the most frequent).
@@ -240,7 +240,7 @@ def fit_language(
     words = written(spark, words, "language-words").repartition("word")
     for _ in range(ROUNDS):
         sent = spark.sparkContext.broadcast((model.languages, np.log(model.table).T))
-        used = words.mapInArrow(_expectation(sent, path), "lang int, piece int, uses double")
+        used = map_arrow(words, _expectation(sent, path), "lang int, piece int, uses double")
         rows = used.groupBy("lang", "piece").agg(F.sum("uses").alias("uses")).toPandas()
         table = np.full_like(model.table, SMOOTHING)
         table[rows["lang"], rows["piece"]] += rows["uses"]
@@ -336,6 +336,5 @@ def language(documents: DataFrame, model: PieceUnigrams) -> DataFrame:
                 names=["doc_id", "lang_pred", "score"],
             )
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, lang_pred string, score double"
-    )
+    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return map_arrow(texts, run, "doc_id long, lang_pred string, score double")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolume.llm.common import worker_state
+from repolume.llm.common import map_arrow, worker_state
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1  # closes each document
@@ -192,6 +192,7 @@ def pack(documents: DataFrame, length: int = LENGTH, path: str | None = None) ->
             for at in range(0, len(out), 2000):
                 yield batch_of(out[at : at + 2000])
 
-    return documents.select(
+    texts = documents.select(
         F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")
-    ).mapInArrow(run, PIECES)
+    )
+    return map_arrow(texts, run, PIECES)

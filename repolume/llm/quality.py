@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolume.llm.common import bounded_rows, fold, one_label, sample_texts, worker_state
+from repolume.llm.common import bounded_rows, fold, map_arrow, one_label, sample_texts, worker_state
 
 # Labelled texts, at most: of class 0 and of class 1.
 PER_CLASS = (1500, 2500)
@@ -153,8 +153,6 @@ def quality(documents: DataFrame, model: LatentVotes, threshold: float = 0.7) ->
                 [batch.column(0), pa.array(score)], names=["doc_id", "score"]
             )
 
-    return (
-        documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .mapInArrow(run, "doc_id long, score double")
-        .withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-    )
+    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    scored = map_arrow(texts, run, "doc_id long, score double")
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

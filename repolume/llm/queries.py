@@ -11,6 +11,7 @@ from repolume.llm import quality as qualities
 from repolume.llm import rules as quality_rules
 from repolume.llm.common import fold, table
 from repolume.llm.decontaminate import decontaminate
+from repolume.llm.substrings import remove_repeats
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +87,12 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256"
+    )
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = toxicity.fit_toxicity(documents, table(spark, sf_dir, "labels"))
@@ -101,6 +108,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_secrets": op7_secrets,
     "op8_rules": op8_rules,
+    "op9_substrings": op9_substrings,
     "op10_toxicity": op10_toxicity,
 }
 
