@@ -11,6 +11,7 @@ from repolume.llm import quality as qualities
 from repolume.llm import rules as quality_rules
 from repolume.llm.common import fold, table
 from repolume.llm.decontaminate import decontaminate
+from repolume.llm.jaccard import similar_documents
 from repolume.llm.substrings import remove_repeats
 
 
@@ -35,6 +36,12 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"), words=4, percent=85).select(
+        "doc_id", "n_shingles", "component_id"
+    )
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = qualities.fit_quality(documents, table(spark, sf_dir, "labels"))
@@ -104,6 +111,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pack": op1_pack,
     "op3_language": op3_language,
+    "op4_jaccard": op4_jaccard,
     "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
     "op7_secrets": op7_secrets,
