@@ -108,11 +108,11 @@ class LatentVotes:
         return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        """Share of label 1 in the weighted votes; 0.5 without labelled texts, 0 for a text
-        without terms, which is like none of them."""
-        out = np.full(len(texts), 0.5)
+        """Share of label 1 in the weighted votes; 0 for a text without terms, which is like
+        none of them, and 0.5 for all others if there are no labelled texts."""
         if not len(self.used):
-            return out
+            return np.array([0.5 if t else 0.0 for t in texts])
+        out = np.zeros(len(texts))
         k = min(self.neighbours, len(self.labels))
         for at in range(0, len(texts), BLOCK):
             bags = [terms(t) for t in texts[at : at + BLOCK]]
@@ -135,6 +135,13 @@ def fit_quality(documents: DataFrame, labels: DataFrame, per_class: tuple = PER_
     return LatentVotes().fit([r.text for r in rows], [r.label for r in rows])
 
 
+def _scorer(model: LatentVotes, documents: DataFrame):
+    """Scores of a list of texts, in any task."""
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+    key = uuid.uuid4().hex
+    return lambda texts: worker_state(key, lambda: sent.value).score(texts)
+
+
 def quality(documents: DataFrame, model: LatentVotes, threshold: float = 0.7) -> DataFrame:
     """doc_id, score, predicted for every row, repeated rows and null ids included.
 
@@ -142,17 +149,27 @@ def quality(documents: DataFrame, model: LatentVotes, threshold: float = 0.7) ->
     the nearest labelled vectors are cut at ``NEIGHBOURS``. Only ``doc_id`` and ``text`` are
     read; other columns may have any name.
     """
-    sent = documents.sparkSession.sparkContext.broadcast(model)
-    key = uuid.uuid4().hex
+    score = _scorer(model, documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        votes = worker_state(key, lambda: sent.value)
         for batch in batches:
-            score = votes.score(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(score)], names=["doc_id", "score"]
-            )
+            scores = pa.array(score(batch.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["doc_id", "score"])
 
     texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     scored = map_arrow(texts, run, "doc_id long, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(documents: DataFrame, model: LatentVotes, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``documents``, with all their columns, that score ``threshold`` or more.
+    Columns other than ``text`` may be of any kind; they pass through untouched."""
+    score = _scorer(model, documents)
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = score(batch.column(at).to_pylist()) >= threshold
+            yield batch.filter(pa.array(good))
+
+    return map_arrow(documents, run, documents.schema)

@@ -12,6 +12,7 @@ from repolume.llm import rules as quality_rules
 from repolume.llm.common import fold, table
 from repolume.llm.decontaminate import decontaminate
 from repolume.llm.jaccard import similar_documents
+from repolume.llm.licences import license_blocks
 from repolume.llm.substrings import remove_repeats
 
 
@@ -28,6 +29,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_blocks(table(spark, sf_dir, "documents"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = languages.fit_language(documents)
@@ -110,6 +115,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pack": op1_pack,
+    "op2_licenses": op2_licenses,
     "op3_language": op3_language,
     "op4_jaccard": op4_jaccard,
     "op5_quality": op5_quality,
