@@ -20,17 +20,18 @@ from repolume.workspace import new_path
 KEY = ["doc_id", "text_hash"]
 
 
-def _text_hash():
-    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-
-
-def _only(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id and text are chosen, nulls included, with all columns."""
-    chosen = chosen.select(*(F.col(k).alias(f"_chosen_{k}") for k in KEY)).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("_chosen_doc_id")) & (
-        _text_hash() == F.col("_chosen_text_hash")
+def _joined(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Each row of ``docs`` as one column (no name can clash), its key, and the other columns
+    of ``chosen``, which has each key once; rows whose id and text are not chosen go."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(
+        F.struct("*").alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(text).alias("text_hash"),
     )
-    return docs.join(chosen, on, "left_semi")
+    chosen = chosen.withColumnsRenamed({k: f"r_{k}" for k in KEY})
+    on = [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in KEY]
+    return rows.join(chosen, on[0] & on[1]).drop(*(f"r_{k}" for k in KEY))
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,26 +42,23 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of near copies (five words, similarity 0.8) the document with
-    the smallest id; of rows that share that id, one. Texts without words, and rows whose
-    component has no id, all stay."""
+    """Keeps one document of each component of near copies (five words, similarity 0.8): the
+    one with the smallest id, null ids last; of repeated rows, one. Texts without words are
+    no copies of each other, and all stay."""
     found = similar_documents(docs, words=5, percent=80)
-    stays = found.where(
-        F.col("component_id").isNull()
-        | (F.col("doc_id") == F.col("component_id"))
-        | (F.col("n_shingles") == 0)
-    )
-    kept = _only(docs, stays)
-    # rows of one id: repeated rows, or other texts of the same component
-    once = kept.where(F.col("doc_id").isNotNull() & (F.trim("text") != ""))
-    others = kept.where(F.col("doc_id").isNull() | F.coalesce(F.trim("text") == "", F.lit(True)))
-    return once.dropDuplicates(["doc_id"]).unionByName(others)
+    first = F.struct(F.col("doc_id").isNull().alias("last"), *KEY)
+    one = found.where("n_shingles > 0").groupBy("component").agg(F.min(first).alias("k"))
+    one = one.select("k.doc_id", "k.text_hash", F.lit(True).alias("has_words")).distinct()
+    none = found.where("n_shingles = 0").select(*KEY, F.lit(False).alias("has_words")).distinct()
+    kept = _joined(docs, one.unionByName(none))
+    once = kept.where("has_words").dropDuplicates(KEY)
+    return once.unionByName(kept.where("NOT has_words")).select("row.*")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _only(docs, found.where("n_hit = 0"))
+    return _joined(docs, found.where("n_hit = 0").select(*KEY).distinct()).select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

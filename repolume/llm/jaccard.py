@@ -486,8 +486,9 @@ class Join:
 def similar_documents(
     documents: DataFrame, words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id for every row: the smallest id that links
-    reach from the row. Texts link at a Jaccard similarity of ``percent`` or more.
+    """doc_id, text_hash, n_shingles, component_id, component for every row: the smallest id
+    that links reach from the row, and a number of its component (null without words). Texts
+    link at a Jaccard similarity of ``percent`` or more.
 
     A text with fewer than ``words`` words is one shingle; null and empty texts have none and
     link with nothing, not even with each other: their component is their own id. Rows of equal
@@ -500,8 +501,13 @@ def similar_documents(
     own = join.rows.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     own = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = own.select("node", "root").join(named, "root").select("node", "component_id")
+    by_node = own.select("node", "root").join(named, "root")
+    by_node = by_node.select("node", "component_id", F.col("root").alias("component"))
     with_set = join.rows.where("size > 0").join(by_node, "node")
-    without = join.rows.where("size = 0").withColumn("component_id", F.col("doc_id"))
-    columns = ["doc_id", "text_hash", F.col("size").alias("n_shingles"), "component_id"]
+    without = join.rows.where("size = 0").select(
+        "*", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component")
+    )
+    columns = [
+        "doc_id", "text_hash", F.col("size").alias("n_shingles"), "component_id", "component"
+    ]
     return with_set.select(*columns).unionByName(without.select(*columns))

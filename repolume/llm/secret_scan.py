@@ -261,17 +261,17 @@ def redact(documents: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[
     spans as one; ``n_chars`` follows where there is such a column. Texts without a span, and
     null texts, stay as they are."""
     found = scan(documents, rules).where(F.size("found") > 0).dropDuplicates(KEY)
-    # merged spans: (end of the last one kept, list); spans come sorted by start
+    names = documents.columns
+    # the row travels as one column, so that no name can clash
+    docs = documents.select(
+        F.struct("*").alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    ).withColumn("text_hash", F.xxhash64("text"))
+    docs = _on_key(docs, found)
     start = F.struct(
         F.lit(0).cast("long").alias("at"), F.lit("").alias("out"), F.lit(False).alias("open")
     )
-    names = documents.columns
-    docs = documents.withColumn(
-        "text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    )
-    found = found.withColumnsRenamed({k: f"r_{k}" for k in KEY})
-    on = [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in KEY]
-    docs = docs.join(found, on[0] & on[1], "left")
 
     def step(state: Column, s: Column) -> Column:
         apart = s["start"] > state["at"]
@@ -289,10 +289,11 @@ def redact(documents: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[
         step,
         lambda state: F.concat(state["out"], F.substr(F.col("text"), state["at"] + 1)),
     )
-    docs = docs.withColumn("text", F.when(F.col("found").isNotNull(), clean).otherwise(F.col("text")))
-    if "n_chars" in names:
-        docs = docs.withColumn(
-            "n_chars",
-            F.when(F.col("found").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")),
-        )
-    return docs.select(*names)
+    docs = docs.withColumn("clean", F.when(F.col("found").isNotNull(), clean))
+    new = {
+        "text": F.coalesce("clean", "row.text"),
+        "n_chars": F.coalesce(F.length("clean").cast("long"), "row.n_chars")
+        if "n_chars" in names
+        else None,
+    }
+    return docs.select(*(new.get(n, F.col(f"row.`{n}`")).alias(n) for n in names))
