@@ -142,7 +142,7 @@ class Sets:
         return tuple(np.concatenate(parts) for parts in zip(*out))
 
 
-def _texts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[list, Sets]]:
+def _texts(batches: Iterator[pa.RecordBatch], words: int, most: int) -> Iterator[tuple[list, Sets]]:
     """Runs of rows: what stands before the text, and the sets. A-Z count as lower case."""
     hashes = worker_state("jaccard-words", WordHashes)
     rows, texts, held = [], [], 0
@@ -151,7 +151,7 @@ def _texts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[list
             rows.append(row)
             texts.append(hashes.of((text or b"").lower()))
             held += len(texts[-1])
-            if held >= RUN_WORDS:
+            if held >= most:
                 yield rows, Sets(texts, words)
                 rows, texts, held = [], [], 0
     if rows:
@@ -164,9 +164,10 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def nodes_of(texts: DataFrame, words: int) -> DataFrame:
     """doc_id, text_hash, node, size, parity of every row; size 0 for a text without words."""
+    run_words = RUN_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, sets in _texts(batches, words):
+        for rows, sets in _texts(batches, words, run_words):
             ids, hashes = zip(*rows)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -191,10 +192,10 @@ def shared_sketches(texts: DataFrame, words: int, percent: int, groups: int) ->
     there; one of the nodes takes part in the exchange, so a sketch meets there at most one
     node of each run, however many texts have it.
     """
-    bands = Bands(percent)
+    bands, run_words = Bands(percent), RUN_WORDS
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _texts(batches, words):
+        for _, sets in _texts(batches, words, run_words):
             key, row, spare = sets.sketches(bands)
             order = np.argsort(key, kind="stable")
             key, node, spare = key[order], sets.nodes[row][order], spare[order].astype(np.uint16)
@@ -364,10 +365,10 @@ class Join:
         )
         on = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_hash") == F.col("r_hash"))
         texts = self.texts.join(keys, on).select("node", "text")
-        words = self.words
+        words, run_words = self.words, RUN_WORDS
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows, sets in _texts(batches, words):
+            for rows, sets in _texts(batches, words, run_words):
                 for at in range(0, len(rows), 1000):
                     part = range(at, min(at + 1000, len(rows)))
                     yield pa.RecordBatch.from_arrays(

@@ -298,6 +298,8 @@ class _Words:
 
 
 def _predict(texts: list[str | None], words: _Words, model: PieceUnigrams):
+    if not model.languages:
+        return [UNKNOWN] * len(texts), [0.0] * len(texts)
     labels, scores = [], []
     for at in range(0, len(texts), 500):
         parts = [words_of(t) for t in texts[at : at + 500]]
@@ -305,7 +307,7 @@ def _predict(texts: list[str | None], words: _Words, model: PieceUnigrams):
             words.forget()
         words.learn({w for p in parts for w in p})
         for text, part in zip(texts[at : at + 500], parts):
-            if not model.languages or not text or not any(map(str.isalpha, text)):
+            if not text or not any(map(str.isalpha, text)):
                 labels.append(UNKNOWN)
                 scores.append(0.0)
                 continue

@@ -162,13 +162,19 @@ def candidates(documents: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     spark = documents.sparkSession
     queries = {r.kind: clauses(r.pattern) for r in rules}
     rows = [
-        (kind, n, len(parts), t)
+        F.struct(
+            F.lit(kind).alias("kind"),
+            F.lit(n).alias("clause"),
+            F.lit(len(parts)).alias("needed"),
+            F.lit(t).alias("trigram"),
+        )
         for kind, query in queries.items()
         for n, parts in enumerate(query)
         for t in parts
     ]
-    index = postings(documents, sorted({t for *_, t in rows}))
-    query = spark.createDataFrame(rows, "kind string, clause int, needed int, trigram string")
+    wanted = sorted({t for query in queries.values() for parts in query for t in parts})
+    index = postings(documents, wanted)
+    query = spark.range(1).select(F.inline(F.array(*rows)))
     return (
         index.join(F.broadcast(query), "trigram")  # as long as the list of rules
         .groupBy(*KEY, "kind", "clause", "needed")

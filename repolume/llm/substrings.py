@@ -224,8 +224,10 @@ def frequent_anchors(keyed: DataFrame, window: int, group_words: int) -> tuple[i
     """Number of groups, and the anchors with over a quarter of a group's share of windows:
     at most four for each group, as there are not more windows."""
 
+    run_words = RUN_WORDS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _texts(batches, window, RUN_WORDS):
+        for part in _texts(batches, window, run_words):
             anchors, count = part.frequent()
             yield pa.RecordBatch.from_arrays(
                 [
@@ -255,9 +257,10 @@ def repeated_spans(
     earlier (a smaller id, or earlier in the same text). Spans of one text may overlap."""
     keyed = _keyed(documents)
     groups, long_prefix = frequent_anchors(keyed, window, group_words)
+    run_words = RUN_WORDS
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _texts(batches, window, RUN_WORDS):
+        for part in _texts(batches, window, run_words):
             for group, blob in part.blobs(groups, long_prefix):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([group], pa.int64()), pa.array([blob], pa.binary())],

@@ -69,7 +69,7 @@ def test_benchmark_stage(spark):
 
 
 def test_secrets_stage(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = corpus_pipeline.redact_secrets(spark, docs, SF)
     assert out.columns == docs.columns
     before = {r.doc_id: r.text for r in docs.collect()}

@@ -49,7 +49,7 @@ def test_small_groups_and_long_prefixes(spark, monkeypatch):
 
     def all_frequent(keyed, window, group_words):
         groups, _ = whole(keyed, window, 100)
-        rows = [hashing.WordHashes().of(t.text.encode()) for t in keyed.collect()]
+        rows = [hashing.WordHashes().of(t.text) for t in keyed.collect()]
         grams = [hashing.prefix_hashes(r, substrings.ANCHOR) for r in rows if len(r) > 3]
         return groups, np.unique(np.concatenate(grams)[::2])
 
