@@ -22,6 +22,7 @@ DAILY_SUMMARY = T.StructType([
     T.StructField("event_type", T.StringType(), False),
     T.StructField("event_count", T.LongType(), False),
     T.StructField("unique_users", T.LongType(), False),
+    T.StructField("users_sketch", T.BinaryType(), True),
 ])
 
 FORECASTS = T.StructType([
@@ -46,6 +47,7 @@ ISSUES = T.StructType([
     T.StructField("closed_at", T.TimestampType(), True),
     T.StructField("user_login", T.StringType(), True),
     T.StructField("repo_name", T.StringType(), False),
+    T.StructField("fetch_id", T.LongType(), True),
 ])
 
 ISSUE_PREDICTIONS = T.StructType([
@@ -106,6 +108,13 @@ ISSUE_FEED = T.StructType([
     T.StructField("user", T.StructType([T.StructField("login", T.StringType())])),
 ])
 
+RELEASES = T.StructType([
+    T.StructField("id", T.StringType(), False),
+    T.StructField("repo_name", T.StringType(), False),
+    T.StructField("created_at", T.TimestampType(), False),
+    T.StructField("payload", T.StringType(), True),
+])
+
 TABLES = {
     "events": EVENTS,
     "daily_summary": DAILY_SUMMARY,
@@ -113,10 +122,17 @@ TABLES = {
     "issues": ISSUES,
     "issue_predictions": ISSUE_PREDICTIONS,
     "repo_activity": REPO_ACTIVITY,
+    "ci_workflow_runs": CI_WORKFLOW_RUNS,
+    "flaky_tests": FLAKY_TESTS,
+    "releases": RELEASES,
 }
 
-# Month partitions, filled on write by the append functions.
-PARTITIONS = {"events": "event_month INT", "daily_summary": "event_month INT"}
+# Partitions, filled on write by the functions that load these tables.
+PARTITIONS = {
+    "events": "event_month INT, load_id BIGINT",
+    "daily_summary": "event_month INT, load_id BIGINT",
+    "issues": "bucket INT",
+}
 
 
 def _ddl(schema: T.StructType) -> str:
@@ -126,17 +142,36 @@ def _ddl(schema: T.StructType) -> str:
     )
 
 
-def create_tables(spark: SparkSession, database: str) -> list[str]:
-    """Create the database and its parquet tables if absent; return the names."""
+def create_tables(spark: SparkSession, database: str, folder: str | None = None) -> list[str]:
+    """Create the database and its parquet tables if absent; return the names.
+
+    With ``folder`` each table lies in the subfolder of its name, which is the path to give to
+    the functions that load it: what they write is what SQL on the table sees, after
+    ``refresh_tables``.
+    """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
     names = []
     for table, schema in TABLES.items():
         columns = _ddl(schema)
-        partition = ""
+        partition = place = ""
         if table in PARTITIONS:
             columns += f", {PARTITIONS[table]}"
-            partition = "PARTITIONED BY (event_month)"
+            keys = ", ".join(part.split()[0] for part in PARTITIONS[table].split(", "))
+            partition = f"PARTITIONED BY ({keys})"
+        if folder is not None:
+            place = f"LOCATION '{folder.rstrip('/')}/{table}'"
         name = f"`{database}`.`{table}`"
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet {partition}")
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet {partition} {place}"
+        )
         names.append(f"{database}.{table}")
     return names
+
+
+def refresh_tables(spark: SparkSession, database: str) -> None:
+    """Make rows visible that were written to the tables' folders."""
+    for table in TABLES:
+        name = f"`{database}`.`{table}`"
+        spark.sql(f"REFRESH TABLE {name}")
+        if table in PARTITIONS:
+            spark.sql(f"MSCK REPAIR TABLE {name}")  # find the partitions that were written

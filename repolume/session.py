@@ -28,6 +28,17 @@ CLUSTER_SETTINGS = {
 }
 
 
+def apply_cluster_settings(builder: SparkSession.Builder, input_bytes: int) -> SparkSession.Builder:
+    """The builder with ``CLUSTER_SETTINGS``, and shuffles that begin with as many partitions
+    as make one of 256 MB if a job shuffles all of its input, 200 at least."""
+    for key, value in CLUSTER_SETTINGS.items():
+        builder = builder.config(key, value)
+    partitions = max(200, -(-input_bytes // (256 << 20)))
+    return builder.config(
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(partitions)
+    )
+
+
 def local_session(cores: int | str = "*", app: str = "repolume", **extra: str) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")

@@ -25,13 +25,24 @@ ISSUE_COLUMNS = [
 
 
 def feed_items(raw: DataFrame) -> DataFrame:
-    """One JSON object per row, whether a row held an object or a page of them."""
+    """One JSON object per row, whether a row held an object or a page of them.
+
+    A page that cannot be read stays as it is: a row whose ``value`` begins with ``[``.
+    """
     page = F.ltrim(F.col("value")).startswith("[")
-    items = F.when(page, F.from_json("value", "array<string>")).otherwise(F.array("value"))
+    whole = F.array("value")
+    items = F.when(page, F.coalesce(F.from_json("value", "array<string>"), whole)).otherwise(whole)
     others = [c for c in raw.columns if c != "value"]
     return raw.select(*others, F.explode(items).alias("value"))
 
 
+def _unreadable() -> Column:
+    """Why a row is no JSON object: part of a page, or no JSON; NULL if it is one."""
+    return F.when(F.ltrim(F.col("value")).startswith("["), F.lit("page")).when(
+        F.json_object_keys("value").isNull(), F.lit("json")
+    )
+
+
 def iso_time(text: Column) -> Column:
     """ISO 8601 text to a timestamp; text without a zone means UTC, and text that
     is no time becomes NULL."""
@@ -75,7 +86,9 @@ def parse_events(raw: DataFrame) -> DataFrame:
         ("created_at", "created_at"),
     ]
     error = F.coalesce(
+        F.when(F.ltrim(F.col("value")).startswith("["), F.lit("page")),
         *[F.when(F.col(column).isNull(), member) for column, member in required],
+        F.when(F.json_object_keys("value").isNull(), F.lit("json")),
         F.when(~F.col("payload").startswith("{"), "payload"),
         F.when(F.col("has_org") & F.col("org_login").isNull(), "org"),
     )
@@ -92,38 +105,68 @@ def rejected_events(raw: DataFrame) -> DataFrame:
     return parse_events(raw).where("error IS NOT NULL").select("value", "error")
 
 
-def normalize_issues(raw: DataFrame, repo: str | None = None) -> DataFrame:
-    """The issue feed as table rows, without the elements that are pull requests.
+def parse_issues(raw: DataFrame, repo: str | None = None) -> DataFrame:
+    """Every element of the issue feed that is no pull request, with its table columns and
+    ``error``: why it cannot be loaded, NULL for a good row.
 
     The feed does not name its repository: give ``repo``, or a ``repo_name``
     column beside ``value``.
     """
     items = feed_items(raw if repo is None else raw.withColumn("repo_name", F.lit(repo)))
     is_pull_request = F.array_contains(F.json_object_keys("value"), "pull_request")
-    issues = items.where(~is_pull_request)
-    members = _parsed(issues, F.from_json("value", ISSUE_FEED), "repo_name")
+    issues = items.where(~F.coalesce(is_pull_request, F.lit(False))).withColumn(
+        "unreadable", _unreadable()
+    )
+    members = _parsed(
+        issues, F.from_json("value", ISSUE_FEED), "value", "repo_name", "unreadable"
+    ).withColumnsRenamed({"created_at": "created", "closed_at": "closed"})
     names = F.transform("labels", lambda label: label["name"])
-    return members.select(
+    flat = members.select(
+        "value",
+        "unreadable",
+        "closed",
         "id",
         "number",
         "title",
         F.coalesce("body", F.lit("")).alias("body"),
         F.coalesce(names, F.array().cast("array<string>")).alias("labels"),
         "state",
-        iso_time(F.col("created_at")).alias("created_at"),
-        iso_time(F.col("closed_at")).alias("closed_at"),
+        iso_time(F.col("created")).alias("created_at"),
+        iso_time(F.col("closed")).alias("closed_at"),
         F.col("user.login").alias("user_login"),
         "repo_name",
-    ).where("id IS NOT NULL AND created_at IS NOT NULL")
+    )
+    error = F.coalesce(
+        "unreadable",
+        *[F.when(F.col(c).isNull(), F.lit(c)) for c in ("id", "created_at", "repo_name")],
+        F.when(F.col("closed").isNotNull() & F.col("closed_at").isNull(), F.lit("closed_at")),
+    )
+    return flat.withColumn("error", error).drop("unreadable", "closed")
+
+
+def normalize_issues(raw: DataFrame, repo: str | None = None) -> DataFrame:
+    """The good rows of the issue feed as table rows, without pull requests."""
+    return parse_issues(raw, repo).where("error IS NULL").select(*ISSUE_COLUMNS)
+
+
+def rejected_issues(raw: DataFrame, repo: str | None = None) -> DataFrame:
+    """The rows of the issue feed that cannot be loaded, and why."""
+    return parse_issues(raw, repo).where("error IS NOT NULL").select("value", "error")
+
+
+# What makes two rows one event, in batches and in streams: a copy has the time of its first.
+EVENT_KEY = ("id", "created_at")
 
 
-def dedup_events(events: DataFrame, key: str = "id") -> DataFrame:
-    """One row per ``id``: the earliest, ties broken by the other columns.
+def dedup_events(events: DataFrame, *key: str) -> DataFrame:
+    """One row per key (``EVENT_KEY`` if none is given): the earliest, ties broken by the
+    other columns.
 
     A repeated load brings the same event again. Rank 1 of a window is limited
     within each task before the shuffle, so an id that holds very many rows
     sends one row per task.
     """
-    others = [c for c in events.columns if c not in (key, "created_at")]
-    w = Window.partitionBy(key).orderBy("created_at", *others)
+    key = key or EVENT_KEY
+    others = [c for c in events.columns if c not in (*key, "created_at")]
+    w = Window.partitionBy(*key).orderBy("created_at", *others)
     return events.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")

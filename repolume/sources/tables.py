@@ -7,7 +7,7 @@ only. A table is written in one of the two ways throughout.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from repolume.functions.timecols import AsOf, as_datetime, days_before, month_key, time_literal
@@ -15,8 +15,13 @@ from repolume.functions.timecols import AsOf, as_datetime, days_before, month_ke
 MONTH = "event_month"
 SORT_KEY = ["created_at", "repo_name", "type"]
 TARGET_FILE_BYTES = 256 * 1024 * 1024
-# The load number of rows that compaction has merged; loads count from 0.
-COMPACTED_LOAD = -1
+# Loads count from 0; compactions take numbers from -1 down, and restored rows whose backup
+# was not kept by load have their own.
+COMPACTED_LOAD, RESTORED_LOAD = -1, -1_000_000_000
+LOAD = "load_id"
+# Beside the months: which loads compaction has merged. Spark reads no folder with this sign.
+MERGED_LOADS = "_merged_loads"
+_MERGED = f"{MONTH} int, {LOAD} bigint, merged_into bigint"
 
 
 def _has_rows(df: DataFrame) -> bool:
@@ -30,8 +35,9 @@ def append_events(
     file sorted by time.
 
     With ``load_id`` the append can be repeated: the load has its own partition
-    under each month and a second run replaces it. ``backfill`` first spreads
-    rows by month (splitting big months), for inputs that span many of them.
+    under each month and a second run replaces it; in months where compaction has
+    merged the load, its rows are there already and it is left out. ``backfill``
+    first spreads rows by month (splitting big months), for inputs that span many of them.
     """
     rows = events.withColumn(MONTH, month_key(F.col("created_at")))
     if "_inserted_at" not in rows.columns:
@@ -42,16 +48,40 @@ def append_events(
         ordered = rows.sortWithinPartitions(MONTH, *SORT_KEY)
         ordered.write.mode("append").partitionBy(MONTH).parquet(path)
         return
+    merged = merged_months(events.sparkSession, path, load_id)
+    if merged:
+        rows = rows.where(~F.col(MONTH).isin(merged))
+    replace_partitions(
+        rows.withColumn(LOAD, F.lit(load_id).cast("bigint")).sortWithinPartitions(
+            MONTH, LOAD, *SORT_KEY
+        ),
+        path,
+    )
+
+
+def partitions_of(table: DataFrame) -> list[str]:
+    """The partition columns that a table of this module has."""
+    return [c for c in (MONTH, LOAD) if c in table.columns]
+
+
+def replace_partitions(rows: DataFrame, path: str) -> None:
+    """Write rows over the partitions that they belong to, and no other."""
     (
-        rows.withColumn("load_id", F.lit(load_id).cast("bigint"))
-        .sortWithinPartitions(MONTH, "load_id", *SORT_KEY)
-        .write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(MONTH, "load_id")
+        .partitionBy(*partitions_of(rows))
         .parquet(path)
     )
 
 
+def merged_months(spark: SparkSession, path: str, load_id: int) -> list[int]:
+    """The months in which compaction has merged a load."""
+    if MERGED_LOADS not in _folders(spark, path):
+        return []
+    merged = spark.read.schema(_MERGED).parquet(f"{path}/{MERGED_LOADS}")
+    return [r[0] for r in merged.where(F.col(LOAD) == load_id).select(MONTH).distinct().collect()]
+
+
 def append_rows(rows: DataFrame, path: str) -> None:
     """Append to a table without partitions (issues, forecasts, predictions)."""
     rows.write.mode("append").parquet(path)
@@ -68,20 +98,64 @@ def export_table(
     return True
 
 
+def append_forecasts(rows: DataFrame, path: str) -> None:
+    """Append forecast rows, filling ``created_at``."""
+    append_rows(rows.withColumn("created_at", F.current_timestamp()), path)
+
+
+def store_issues(issues: DataFrame, path: str, fetch_id: int, buckets: int = 64) -> None:
+    """Put fetched issues into the issue table, one row per id: that of the latest fetch.
+
+    The table is kept in ``buckets`` partitions by a hash of the id; only those that a fetch
+    touches are read and rewritten. A repeated fetch replaces its own rows, an earlier one
+    that comes late replaces none.
+    """
+    spark = issues.sparkSession
+    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+    rows = issues.withColumn("fetch_id", F.lit(fetch_id).cast("bigint")).withColumn(
+        "bucket", bucket
+    )
+    if table_exists(spark, path):
+        stored = spark.read.parquet(path)
+        touched = rows.select("bucket").distinct()
+        rows = rows.unionByName(stored.join(touched, "bucket", "left_semi").select(*rows.columns))
+    others = [F.to_json(F.struct(*[c for c in issues.columns if c != "id"]))]
+    newest = Window.partitionBy("bucket", "id").orderBy(F.desc("fetch_id"), *others)
+    (
+        rows.withColumn("_rank", F.row_number().over(newest))
+        .where("_rank = 1")
+        .drop("_rank")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("bucket")
+        .parquet(path)
+    )
+
+
 def backup_table(table: DataFrame, folder: str, as_of: AsOf) -> str:
-    """Copy a table to a folder named by date and time; return its path."""
+    """Copy a table, in its partitions, to a folder named by date and time; return its path."""
     target = f"{folder.rstrip('/')}/{as_datetime(as_of):%Y%m%d_%H%M%S}"
-    table.write.mode("errorifexists").parquet(target)
+    table.write.mode("errorifexists").partitionBy(*partitions_of(table)).parquet(target)
     return target
 
 
 def restore_table(spark: SparkSession, backup: str, path: str) -> None:
-    """Append a backup's rows to the table at ``path``."""
+    """Put a backup's rows into the table at ``path``, in the layout of that table, or of the
+    backup if there is none.
+
+    A table kept by load gets the backup's loads back: they replace loads of the same number,
+    so restoring twice, or repeating a load after it, doubles nothing. Rows of a backup
+    without loads get a load number of their own. A table without loads is appended to.
+    """
     rows = spark.read.parquet(backup)
-    writer = rows.write.mode("append")
-    if MONTH in rows.columns:
-        writer = writer.partitionBy(MONTH)
-    writer.parquet(path)
+    by_load = LOAD in (spark.read.parquet(path) if table_exists(spark, path) else rows).columns
+    if by_load and LOAD not in rows.columns:
+        rows = rows.withColumn(LOAD, F.lit(RESTORED_LOAD).cast("bigint"))
+    if by_load:
+        replace_partitions(rows, path)
+        return
+    rows = rows.drop(LOAD)
+    rows.write.mode("append").partitionBy(*partitions_of(rows)).parquet(path)
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -96,7 +170,7 @@ def _delete_folder(spark: SparkSession, path: str) -> None:
 
 def table_exists(spark: SparkSession, path: str) -> bool:
     """Whether a table has been written at ``path``; an empty folder holds none."""
-    return bool(_folders(spark, path))
+    return any(not name.startswith(("_", ".")) for name in _folders(spark, path))
 
 
 def _folders(spark: SparkSession, path: str) -> list[str]:
@@ -141,7 +215,7 @@ def apply_retention(spark: SparkSession, path: str, as_of: AsOf, days: int = 90)
     falls in is rewritten.
     """
     table = spark.read.parquet(path)
-    partitions = [MONTH] + (["load_id"] if "load_id" in table.columns else [])
+    partitions = partitions_of(table)
     cut = days_before(as_of, days)
     cut_month = cut.year * 100 + cut.month
     on_cut = table.where(F.col(MONTH) == cut_month)
@@ -152,22 +226,50 @@ def apply_retention(spark: SparkSession, path: str, as_of: AsOf, days: int = 90)
     ).collect()
 
     if any(r["keep"] and not r["whole"] for r in parts):
-        (
-            retention_keep(on_cut, as_of, days)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*partitions)
-            .parquet(path)
-        )
+        replace_partitions(retention_keep(on_cut, as_of, days), path)
     for r in parts:
         if not r["keep"]:
-            _delete_folder(spark, "/".join([path] + [f"{p}={r[p]}" for p in partitions]))
+            _delete_folder(spark, _partition_path(path, partitions, r))
     for name in _folders(spark, path):
         key, _, month = name.partition("=")
-        if key == MONTH and int(month) < cut_month:
+        # rows without a time are in a month that is no number, and stay
+        if key == MONTH and month.isdigit() and int(month) < cut_month:
             _delete_folder(spark, f"{path}/{name}")
 
 
+def _partition_path(path: str, partitions: list[str], row) -> str:
+    return "/".join([path] + [f"{p}={row[p]}" for p in partitions])
+
+
+def delete_in_place(spark: SparkSession, path: str, condition) -> None:
+    """Delete the rows that match ``condition`` from the table at ``path``.
+
+    Only partitions that hold such rows are rewritten, and those that hold no other row are
+    removed; rows for which the condition is NULL stay. It can be repeated.
+    """
+    table = spark.read.parquet(path)
+    partitions = partitions_of(table)
+    matches = F.coalesce(condition, F.lit(False))
+    touched = (
+        table.groupBy(*partitions)
+        .agg(F.max(matches).alias("some"), F.min(matches).alias("every"))
+        .where("some")
+        .collect()
+    )  # one row per partition
+    part = [r for r in touched if not r["every"]]
+    if part:
+        here = F.lit(False)
+        for r in part:
+            own = F.lit(True)
+            for p in partitions:
+                own &= F.col(p).eqNullSafe(F.lit(r[p]))
+            here |= own
+        replace_partitions(delete_rows(table.where(here), condition), path)
+    for r in touched:
+        if r["every"]:
+            _delete_folder(spark, _partition_path(path, partitions, r))
+
+
 def table_sizes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Bytes and files of each table, from the file listing alone: the contents
     column of the file source is not asked for, so no file is opened."""
@@ -188,6 +290,80 @@ def table_sizes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return result
 
 
+def crowded_months(
+    spark: SparkSession, path: str, file_bytes: int = TARGET_FILE_BYTES, spare_files: int = 4
+) -> list[tuple[int, int]]:
+    """(month, files it needs) of the months with more than ``spare_files`` files beyond that,
+    from the file listing alone."""
+    month = F.regexp_extract("path", rf"/{MONTH}=(\d+)/", 1).try_cast("int")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    needed = F.ceil(F.sum("length") / F.lit(file_bytes))
+    rows = (
+        files.where(~F.contains("path", F.lit(f"/{MERGED_LOADS}/")))
+        .groupBy(month.alias("month"))
+        .agg(F.count("*").alias("files"), needed.alias("needed"))
+        .where((F.col("files") > F.col("needed") + spare_files) & F.col("month").isNotNull())
+        .orderBy("month")
+        .collect()
+    )  # one row per month
+    return [(r["month"], int(r["needed"])) for r in rows]
+
+
+def compact_in_place(
+    spark: SparkSession,
+    path: str,
+    staging: str,
+    file_bytes: int = TARGET_FILE_BYTES,
+    spare_files: int = 4,
+) -> list[int]:
+    """Merge the many small files of the months that have them; return these months.
+
+    A month is rewritten to ``staging``, then takes the place of its loads under a load number
+    of its own. The merged loads and that number are listed beside the table first, so a load
+    that is repeated later is left out and nothing doubles. A crash in between is mended by the
+    next call: it removes the listed loads whose merged rows are in place, and leaves the
+    others. Not to be run beside a load of the same months.
+    """
+    table = spark.read.parquet(path)
+    partitions = partitions_of(table)
+    _remove_merged(spark, path)
+    done = []
+    for month, files in crowded_months(spark, path, file_bytes, spare_files):
+        rows = spark.read.parquet(path).where(F.col(MONTH) == month)
+        loads, into = [], COMPACTED_LOAD
+        if LOAD in partitions:
+            loads = [r[0] for r in rows.select(LOAD).distinct().collect()]
+            merged_before = [n for n in loads if RESTORED_LOAD < n < 0]
+            into = min(merged_before, default=0) - 1
+            rows = rows.withColumn(LOAD, F.lit(into).cast("bigint"))
+        own = f"{staging.rstrip('/')}/{month}"
+        (
+            rows.repartitionByRange(max(1, files), *SORT_KEY)
+            .sortWithinPartitions(*SORT_KEY)
+            .write.mode("overwrite")
+            .parquet(own)
+        )
+        if loads:
+            listed = spark.createDataFrame([(month, n, into) for n in loads], _MERGED)
+            listed.coalesce(1).write.mode("append").parquet(f"{path}/{MERGED_LOADS}")
+        replace_partitions(spark.read.parquet(own), path)
+        _remove_merged(spark, path)
+        _delete_folder(spark, own)
+        done.append(month)
+    return done
+
+
+def _remove_merged(spark: SparkSession, path: str) -> None:
+    """Remove the folders of merged loads, where the merged rows are in their place."""
+    if MERGED_LOADS not in _folders(spark, path):
+        return
+    merged = spark.read.schema(_MERGED).parquet(f"{path}/{MERGED_LOADS}")
+    for row in merged.distinct().collect():  # one row per load and month that was merged
+        month = f"{path}/{MONTH}={row[0]}"
+        if f"{LOAD}={row[2]}" in _folders(spark, month):
+            _delete_folder(spark, f"{month}/{LOAD}={row[1]}")
+
+
 def compact_events(
     spark: SparkSession, path: str, target: str, file_bytes: int = TARGET_FILE_BYTES
 ) -> None:

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from repolume.functions.timecols import from_micros, in_range
-from repolume.sources.feeds import EVENT_COLUMNS, dedup_events, parse_events
-from repolume.sources.tables import append_events, table_exists
+from repolume.functions.timecols import day, month_key
+from repolume.sources.feeds import EVENT_COLUMNS, EVENT_KEY, dedup_events, parse_events
+from repolume.sources.tables import LOAD, MONTH, append_events, table_exists
 from repolume.streaming.rollup import append_delta, rollup_delta
 
 
@@ -33,10 +33,14 @@ def stream_ingest(
     rejected_path: str,
     checkpoint: str,
     files_per_batch: int = 1000,
+    once: bool = False,
 ) -> StreamingQuery:
     """Load landed feed files: good rows to the event table, their delta to the
-    rollup, bad rows with the reason to their own table. Repeated events are
-    loaded again, as the feed gives them; ``dedup_events`` removes them on read.
+    rollup, bad rows with the reason to their own table.
+
+    Repeated events are loaded again, as the feed gives them. With ``once`` an event
+    that is stored already, or comes again, goes neither to the table nor to the rollup,
+    so a feed that is read again every hour counts once.
     """
     feed = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(landing)
 
@@ -44,14 +48,19 @@ def stream_ingest(
         parsed = parse_events(batch).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             good = parsed.where("error IS NULL").select(*EVENT_COLUMNS)
-            append_events(good, events_path, load_id=batch_id)
+            if once:
+                append_events(new_events(good, events_path, batch_id), events_path, batch_id)
+                # what was stored is read back, so that both tables agree
+                good = _load_of(spark, events_path, batch_id, good)
+            else:
+                append_events(good, events_path, load_id=batch_id)
             append_delta(rollup_delta(good), rollup_path, load_id=batch_id)
             bad = parsed.where("error IS NOT NULL").select("value", "error")
             (
-                bad.withColumn("load_id", F.lit(batch_id))
+                bad.withColumn(LOAD, F.lit(batch_id))
                 .write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("load_id")
+                .partitionBy(LOAD)
                 .parquet(rejected_path)
             )
         finally:
@@ -107,23 +116,52 @@ def latest_daily_counts(versions: DataFrame) -> DataFrame:
     )
 
 
-def append_new_events(batch: DataFrame, path: str, load_id: int) -> None:
-    """Append the events whose id the table does not hold yet, each once.
+def collapse_daily_counts(spark: SparkSession, path: str, target: str) -> None:
+    """The newest counts of all versions at ``path``, as a table of their own."""
+    latest_daily_counts(spark.read.parquet(path)).write.mode("overwrite").parquet(target)
+
+
+def _days(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        month_key(F.col("created_at")).alias(MONTH), day(F.col("created_at")).alias("_day")
+    ).distinct()
 
-    Copies of an event have its time, so only stored rows of the batch's own
-    months and time span are read, and of them id and time. A repeated load
-    is not compared with its own rows, which it replaces.
+
+def new_events(batch: DataFrame, path: str, load_id: int) -> DataFrame:
+    """The events of a batch that the table does not hold yet, each once.
+
+    Copies of an event have its id and its time (``EVENT_KEY``; an id that comes with another
+    time is another event, here and in ``dedup_events``), so only stored rows of the batch's
+    own days are compared, and of them only the key is read, in the days' months. A repeated
+    load is not compared with its own rows, which it replaces.
     """
     spark = batch.sparkSession
     new = dedup_events(batch)
-    if table_exists(spark, path):
-        times = F.unix_micros("created_at")
-        first, last = batch.agg(F.min(times), F.max(times)).first()
-        if first is not None:
-            stored = in_range(spark.read.parquet(path), from_micros(first), from_micros(last))
-            held = stored.where(F.col("load_id") != load_id).select("id", "created_at")
-            new = new.join(held, ["id", "created_at"], "left_anti")
-    append_events(new, path, load_id=load_id)
+    if not table_exists(spark, path):
+        return new
+    days = _days(batch)
+    months = [r[0] for r in days.select(MONTH).distinct().collect()]  # a few for each batch
+    stored = spark.read.parquet(path).where(
+        F.col(MONTH).isin(months) & (F.col(LOAD) != load_id)
+    )
+    held = (
+        stored.withColumn("_day", day(F.col("created_at")))
+        .join(days.select("_day"), "_day", "left_semi")
+        .select(*EVENT_KEY)
+    )
+    return new.join(held, list(EVENT_KEY), "left_anti")
+
+
+def _load_of(spark: SparkSession, path: str, load_id: int, like: DataFrame) -> DataFrame:
+    """The stored rows of one load; none if it stored nothing."""
+    if not table_exists(spark, path):
+        return like.limit(0)
+    return spark.read.parquet(path).where(F.col(LOAD) == load_id).select(*like.columns)
+
+
+def append_new_events(batch: DataFrame, path: str, load_id: int) -> None:
+    """Append the events that the table does not hold yet, each once."""
+    append_events(new_events(batch, path, load_id), path, load_id=load_id)
 
 
 def stream_dedup(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repolume.functions.timecols import day, month_key
-from repolume.sources.tables import MONTH
+from repolume.sources.tables import LOAD, MONTH, merged_months, replace_partitions
 
 KEY = ["date", "repo_name", "event_type"]
 # Sketch size: 2^12 registers, about 1.6 % error.
@@ -43,13 +43,11 @@ def append_delta(delta: DataFrame, path: str, load_id: int | None = None) -> Non
     itself; without ``load_id`` the delta has a column of that name."""
     rows = delta.withColumn(MONTH, month_key(F.col("date")))
     if load_id is not None:
-        rows = rows.withColumn("load_id", F.lit(load_id).cast("bigint"))
-    (
-        rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(MONTH, "load_id")
-        .parquet(path)
-    )
+        rows = rows.withColumn(LOAD, F.lit(load_id).cast("bigint"))
+        merged = merged_months(delta.sparkSession, path, load_id)
+        if merged:
+            rows = rows.where(~F.col(MONTH).isin(merged))
+    replace_partitions(rows, path)
 
 
 def summed_rollup(rollup: DataFrame) -> DataFrame:

@@ -25,6 +25,22 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_MADE: dict[str, list[str]] = {}
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own for one run of one job."""
-    return f"{shared_folder(spark).rstrip('/')}/repolume/{name}-{uuid.uuid4().hex}"
+    """A path of its own for one run of one job. ``remove_written`` removes it."""
+    path = f"{shared_folder(spark).rstrip('/')}/repolume/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_written(spark: SparkSession) -> int:
+    """Remove everything this application has written under paths of ``new_path``, once its
+    results are read; return the number of paths."""
+    paths = _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.delete(hadoop_path, True)
+    return len(paths)

@@ -133,8 +133,41 @@ def test_dedup_keeps_the_earliest_whatever_the_partitioning(spark):
     df = spark.createDataFrame(rows, "id string, t string, n int").withColumn(
         "created_at", F.col("t").cast("timestamp")
     )
-    expected = sorted(tuple(r) for r in feeds.dedup_events(df).collect())
+    expected = sorted(tuple(r) for r in feeds.dedup_events(df, "id").collect())
     assert len(expected) == 10
     for parts in (1, 7, 50):
-        again = feeds.dedup_events(df.repartition(parts)).collect()
+        again = feeds.dedup_events(df.repartition(parts), "id").collect()
         assert sorted(tuple(r) for r in again) == expected
+
+
+def outcomes(parsed):
+    return sorted((r["value"], r["error"] or "") for r in parsed.select("value", "error").collect())
+
+
+def test_no_event_row_is_lost(spark):
+    good = [event(id=str(i)) for i in range(3)]
+    cut_page = "[" + good[0] + "," + good[1][:-9]
+    texts = [cut_page, "[" + ",".join(good) + "]", "[]", good[2][:-9], "", None, "[[1]]", "[5]"]
+    parsed = feeds.parse_events(raw(spark, *texts))
+    errors = sorted(r["error"] for r in parsed.where("error IS NOT NULL").collect())
+    assert parsed.where("error IS NULL").count() == 3
+    # one row of each unreadable text, and none of the empty page
+    assert len(errors) == 6 and errors.count("page") == 2
+    assert feeds.rejected_events(raw(spark, cut_page)).first()["value"] == cut_page
+
+
+def test_no_issue_row_is_lost(spark):
+    bad = {
+        "json": issue()[:-9],
+        "id": issue(id="text"),
+        "created_at": issue(created_at="soon"),
+        "closed_at": issue(closed_at="never"),
+        "page": "[" + issue() + "," + issue()[:-9],
+    }
+    feed = raw(spark, issue(), issue(pull_request={"url": "x"}), *bad.values())
+    found = {r["error"]: r["value"] for r in feeds.rejected_issues(feed, "o/r").collect()}
+    assert found == bad
+    assert feeds.normalize_issues(feed, "o/r").count() == 1
+    nowhere = feed.withColumn("repo_name", F.lit(None).cast("string"))
+    assert feeds.normalize_issues(nowhere).count() == 0
+    assert feeds.rejected_issues(nowhere).count() == 6

@@ -134,3 +134,43 @@ def test_stream_counts_over_runs_with_late_rows(spark, tmp_path):
         F.to_date("created_at").alias("date"), "repo_name", F.col("type").alias("event_type")
     ).agg(F.count("*").alias("event_count"))
     assert rows(found) == rows(whole)
+
+
+def test_a_feed_landed_three_times_counts_once(spark, tmp_path):
+    landing = tmp_path / "landing"
+    lines = [feed_line(i) for i in range(60)]
+    # the hourly job reads the last day again: the same events at other times, and in one batch
+    for n, part in enumerate((lines[:40], lines[10:] + lines[:3], lines + lines, lines)):
+        land(landing, f"{n}.json", part)
+        ingest.stream_ingest(spark, str(landing), *paths(tmp_path), once=True)
+    events_path, rollup_path = paths(tmp_path)[:2]
+    whole = normalize_events(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert rows(spark.read.parquet(events_path).select(*EVENT_COLUMNS)) == rows(whole)
+    batch = rollup.rollup_delta(whole).select(*rollup.KEY, "event_count", "unique_users")
+    assert rows(rollup.merged_rollup(spark.read.parquet(rollup_path))) == rows(batch)
+
+
+def test_stream_and_batch_agree_on_what_an_event_is(spark, tmp_path):
+    source, target = str(tmp_path / "source"), str(tmp_path / "target")
+    once = events(spark, range(4))
+    moved = once.withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 1 HOUR"))
+    parts = (once, once.unionByName(moved), moved)
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(once.schema).parquet(source)
+        ingest.stream_dedup(stream, target, str(tmp_path / "cp"))
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    assert rows(spark.read.parquet(target).select(*EVENT_COLUMNS)) == rows(
+        dedup_events(both).select(*EVENT_COLUMNS)
+    )
+
+
+def test_a_late_event_widens_the_look_up_by_its_day_only(spark, tmp_path):
+    path = str(tmp_path / "events")
+    append_events(events(spark, range(24 * 60)), path, load_id=0)
+    batch = events(spark, [0, 24 * 50, 24 * 70])
+    new = ingest.new_events(batch, path, 1)
+    assert [r["id"] for r in new.collect()] == [str(24 * 70)]
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    stored = [line for line in plan.split("\n") if "PartitionFilters: [" in line and "load_id" in line]
+    assert stored and "202401" in stored[0] and "202402" in stored[0]

@@ -178,7 +178,7 @@ def test_create_tables(spark):
     assert len(names) == len(schema.TABLES)
     schema.create_tables(spark, "activity_test")
     created = spark.table("activity_test.events")
-    assert created.columns == [f.name for f in schema.EVENTS.fields] + ["event_month"]
+    assert created.columns == [f.name for f in schema.EVENTS.fields] + ["event_month", "load_id"]
     for name in names:
         spark.sql(f"DROP TABLE {name}")
     spark.sql("DROP DATABASE activity_test")
@@ -194,3 +194,181 @@ def test_sql_entry_keeps_columns_of_an_empty_result(spark):
     assert df.columns == ["id"] and df.count() == 0
     with pytest.raises(Exception):
         sqlentry.query(spark, "SELECT nothing FROM {e}", tables={"e": events(spark, 1)})
+
+
+def loaded(spark, path, loads=3, n=60):
+    for load in range(loads):
+        part = events(spark, n).where(F.col("id").cast("int") % loads == load)
+        tables.append_events(part, path, load_id=load)
+
+
+def test_restore_of_a_table_kept_by_load(spark, tmp_path):
+    path, folder, target = (str(tmp_path / p) for p in ("events", "backups", "restored"))
+    loaded(spark, path)
+    backup = tables.backup_table(spark.read.parquet(path), folder, AS_OF)
+    for where in (target, target, path):  # a new place, twice, and the table itself
+        tables.restore_table(spark, backup, where)
+        stored = spark.read.parquet(where)
+        assert ids(stored) == list(range(60))
+        assert {r[0] for r in stored.select("load_id").distinct().collect()} == {0, 1, 2}
+    # loads go on there, repeated ones and new ones
+    tables.append_events(events(spark, 60).where("CAST(id AS INT) % 3 = 1"), target, load_id=1)
+    tables.append_events(events(spark, 70).where("CAST(id AS INT) >= 60"), target, load_id=3)
+    assert ids(spark.read.parquet(target)) == list(range(70))
+
+
+def test_restore_of_a_backup_without_loads_into_a_table_kept_by_load(spark, tmp_path):
+    path, folder, plain = (str(tmp_path / p) for p in ("events", "backups", "plain"))
+    loaded(spark, path, n=30)
+    tables.append_events(events(spark, 40).where("CAST(id AS INT) >= 30"), plain)
+    backup = tables.backup_table(spark.read.parquet(plain), folder, AS_OF)
+    for _ in range(2):
+        tables.restore_table(spark, backup, path)
+    assert ids(spark.read.parquet(path)) == list(range(40))
+
+
+def crowded(spark, path, loads=8):
+    data = events(spark, 80, step=timedelta(hours=6))  # one month
+    for load in range(loads):
+        part = data.where(F.col("id").cast("int") % loads == load)
+        tables.append_events(part, path, load_id=load)
+    return data
+
+
+def test_a_load_repeated_after_compaction_doubles_nothing(spark, tmp_path):
+    path, staging = str(tmp_path / "events"), str(tmp_path / "staging")
+    data = crowded(spark, path)
+    assert tables.compact_in_place(spark, path, staging) == [202312]
+    assert tables.compact_in_place(spark, path, staging) == []
+    assert ids(spark.read.parquet(path)) == list(range(80))
+    assert len(glob.glob(f"{path}/event_month=202312/*/*.parquet")) == 1
+    for load in (0, 5):
+        tables.append_events(data.where(F.col("id").cast("int") % 8 == load), path, load_id=load)
+    assert ids(spark.read.parquet(path)) == list(range(80))
+    more = events(spark, 90, step=timedelta(hours=6)).where("CAST(id AS INT) >= 80")
+    tables.append_events(more, path, load_id=8)
+    assert ids(spark.read.parquet(path)) == list(range(90))
+
+
+def test_a_second_compaction_merges_the_first(spark, tmp_path):
+    path, staging = str(tmp_path / "events"), str(tmp_path / "staging")
+    crowded(spark, path)
+    tables.compact_in_place(spark, path, staging)
+    for load in range(8, 16):
+        part = events(spark, 96, step=timedelta(hours=6)).where(f"CAST(id AS INT) = {72 + load}")
+        tables.append_events(part, path, load_id=load)
+    assert tables.compact_in_place(spark, path, staging) == [202312]
+    stored = spark.read.parquet(path)
+    assert ids(stored) == list(range(88))
+    assert {r[0] for r in stored.select("load_id").distinct().collect()} == {-2}
+
+
+def test_compaction_that_was_cut_off_is_mended(spark, tmp_path, monkeypatch):
+    path, staging = str(tmp_path / "events"), str(tmp_path / "staging")
+    data = crowded(spark, path)
+
+    def crash(*_):
+        raise OSError("lost")
+
+    # after the merged rows are in place, before the loads are removed
+    with monkeypatch.context() as m:
+        m.setattr(tables, "_delete_folder", crash)
+        with pytest.raises(OSError):
+            tables.compact_in_place(spark, path, staging)
+    tables.compact_in_place(spark, path, staging)
+    assert ids(spark.read.parquet(path)) == list(range(80))
+    # before the merged rows are in place: the loads stay
+    other = str(tmp_path / "other")
+    crowded(spark, other)
+    with monkeypatch.context() as m:
+        m.setattr(tables, "replace_partitions", crash)
+        with pytest.raises(OSError):
+            tables.compact_in_place(spark, other, staging)
+    assert ids(spark.read.parquet(other)) == list(range(80))
+    tables.append_events(data.where("CAST(id AS INT) % 8 = 2"), other, load_id=2)
+    tables.compact_in_place(spark, other, staging)
+    assert ids(spark.read.parquet(other)) == list(range(80))
+
+
+def test_only_crowded_months_are_compacted(spark, tmp_path):
+    path, staging = str(tmp_path / "events"), str(tmp_path / "staging")
+    crowded(spark, path)
+    later = events(spark, 100, datetime(2024, 2, 1)).where("CAST(id AS INT) >= 80")
+    tables.append_events(later, path, load_id=20)
+    before = glob.glob(f"{path}/event_month=2024*/**/*.parquet", recursive=True)
+    assert tables.compact_in_place(spark, path, staging) == [202312]
+    assert glob.glob(f"{path}/event_month=2024*/**/*.parquet", recursive=True) == before
+
+
+@pytest.mark.parametrize("by_load", [True, False])
+def test_delete_by_key_in_place(spark, tmp_path, by_load):
+    path = str(tmp_path / "events")
+    if by_load:
+        loaded(spark, path)
+    else:
+        tables.append_events(events(spark, 60), path)
+    for _ in range(2):
+        tables.delete_in_place(spark, path, F.col("repo_name") == "o/r1")
+    assert ids(spark.read.parquet(path)) == [i for i in range(60) if i % 3 != 1]
+    tables.delete_in_place(spark, path, F.lit(None).cast("boolean"))
+    assert len(ids(spark.read.parquet(path))) == 40
+
+
+def test_retention_with_rows_without_a_time(spark, tmp_path):
+    path = str(tmp_path / "events")
+    data = events(spark)
+    nameless = data.limit(2).withColumn("created_at", F.lit(None).cast("timestamp"))
+    tables.append_events(data.unionByName(nameless), path)
+    tables.apply_retention(spark, path, AS_OF)
+    stored = spark.read.parquet(path)
+    assert stored.where("created_at IS NULL").count() == 2
+    assert ids(stored.where("created_at IS NOT NULL")) == ids(tables.retention_keep(data, AS_OF))
+
+
+def issues(spark, rows):
+    return spark.createDataFrame(
+        [(i, i, f"t{i}", "", ["bug"], state, datetime(2024, 1, 1), None, "ann", "o/r") for i, state in rows],
+        "id long, number long, title string, body string, labels array<string>, state string, "
+        "created_at timestamp, closed_at timestamp, user_login string, repo_name string",
+    )
+
+
+def test_fetched_issues_replace_themselves(spark, tmp_path):
+    path = str(tmp_path / "issues")
+    first = issues(spark, [(i, "open") for i in range(20)])
+    second = issues(spark, [(i, "closed") for i in range(5, 25)] + [(7, "closed")])
+    for fetch_id, rows in ((0, first), (1, second), (1, second), (0, first)):
+        tables.store_issues(rows, path, fetch_id, buckets=4)
+    stored = {r["id"]: r["state"] for r in spark.read.parquet(path).collect()}
+    assert stored == {i: "open" if i < 5 else "closed" for i in range(25)}
+    assert spark.read.parquet(path).count() == 25
+
+
+def test_sql_sees_what_the_writers_wrote(spark, tmp_path):
+    from repolume.operators import forecast
+    from repolume.streaming import rollup
+
+    folder = str(tmp_path / "db")
+    schema.create_tables(spark, "written_test", folder)
+    data = events(spark, 60)
+    loaded(spark, f"{folder}/events")
+    rollup.append_delta(rollup.rollup_delta(data), f"{folder}/daily_summary", load_id=0)
+    tables.append_forecasts(forecast.forecast_repos(data, AS_OF), f"{folder}/forecasts")
+    tables.store_issues(issues(spark, [(1, "open")]), f"{folder}/issues", 0)
+    schema.refresh_tables(spark, "written_test")
+    counts = {
+        name: spark.sql(f"SELECT * FROM written_test.{name}").count()
+        for name in ("events", "daily_summary", "forecasts", "issues", "releases")
+    }
+    assert counts["events"] == 60 and counts["issues"] == 1 and counts["releases"] == 0
+    assert counts["daily_summary"] > 0 and counts["forecasts"] == 90
+    total = "SELECT sum(event_count) AS n FROM written_test.daily_summary"
+    assert spark.sql(total).first()["n"] == 60
+    assert spark.sql("SELECT count(created_at) AS n FROM written_test.forecasts").first()["n"] == 90
+    # columns are those that the writers write
+    for name in ("events", "daily_summary", "forecasts", "issues"):
+        written = set(spark.read.parquet(f"{folder}/{name}").columns)
+        assert written == set(spark.table(f"written_test.{name}").columns)
+    for name in schema.TABLES:
+        spark.sql(f"DROP TABLE written_test.{name}")
+    spark.sql("DROP DATABASE written_test")
