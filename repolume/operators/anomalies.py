@@ -138,7 +138,7 @@ def daily_anomalies(
     days: int = 90,
     start: AsOf | None = None,
     end: AsOf | None = None,
-    repos: list[str] | None = None,
+    repos: list[str] | DataFrame | None = None,
 ) -> DataFrame:
     """Daily traffic of the chosen repositories and range beside the limit line
     of all repositories, and whether the day exceeds it.
@@ -156,7 +156,12 @@ def daily_anomalies(
     first = days_before(as_of, days) if start is not None else None
     if first is not None:
         events = from_time(events, min(first, as_datetime(start)))
-    if repos is not None:
+    if isinstance(repos, DataFrame):
+        # rows are marked, not filtered: the limit is that of all repositories
+        wanted = repos.select(F.col(repos.columns[0]).alias("repo_name")).distinct()
+        events = events.join(wanted.withColumn("_wanted", F.lit(True)), "repo_name", "left")
+        chosen &= F.col("_wanted").isNotNull()
+    elif repos is not None:
         chosen &= F.col("repo_name").isin(list(repos))
     daily = events.groupBy(day(F.col("created_at")).alias("time")).agg(
         F.count_if(chosen).alias("events"), F.count_if(in_look_back).alias("n")

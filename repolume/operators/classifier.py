@@ -26,8 +26,6 @@ VOCABULARY = 5000
 MAX_ITERATIONS = 1000
 TEST_SHARE = 0.2
 SEED = 42
-# A list of this many labels is a few megabytes at most.
-BROADCAST_CLASSES = 50_000
 # Words of two or more characters, in any script.
 TOKEN = r"(?U)\w\w+"
 
@@ -57,9 +55,8 @@ def valid_classes(rows: DataFrame, min_rows: int = MIN_CLASS_ROWS) -> DataFrame:
 def in_valid_classes(rows: DataFrame, min_rows: int = MIN_CLASS_ROWS) -> DataFrame:
     """The rows of classes with enough rows.
 
-    The classes are counted first (from the labels alone), so that the rows,
-    which carry whole texts, are not shuffled to meet a short list: up to
-    ``BROADCAST_CLASSES`` it is broadcast, beyond that joined.
+    The classes are counted from the labels alone. They are a short list as a rule, which
+    Spark then broadcasts by its measured size, so that the texts are not shuffled.
     """
     classes = (
         rows.groupBy("label")
@@ -67,8 +64,6 @@ def in_valid_classes(rows: DataFrame, min_rows: int = MIN_CLASS_ROWS) -> DataFra
         .where(F.col("count") >= min_rows)
         .select("label")
     )
-    if classes.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES:
-        classes = F.broadcast(classes)
     return rows.join(classes, "label", "left_semi")
 
 
@@ -84,7 +79,9 @@ def train(rows: DataFrame, max_iterations: int = MAX_ITERATIONS) -> PipelineMode
     """TF-IDF over the most frequent words and a multinomial logistic regression.
 
     The texts are read twice (vocabulary, then counts); the later steps use the
-    stored word counts. The penalty is that of an unscaled L2 term over n rows.
+    stored word counts. The penalty is that of an unscaled L2 term over n rows. The
+    coefficients, classes x ``VOCABULARY`` doubles, are held by the driver: with tens of
+    thousands of classes raise ``min_rows`` of ``in_valid_classes``.
     """
     tokenizer = RegexTokenizer(inputCol="text", outputCol="words", pattern=TOKEN, gaps=False)
     stop_words = StopWordsRemover(inputCol="words", outputCol="terms")

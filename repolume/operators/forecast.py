@@ -1,7 +1,8 @@
 """Daily forecasts per repository.
 
-The model is a straight trend plus weekday means, and month means where a
-repository has two years of history, fitted to the days that had events. All
+The model is a straight trend plus weekday means and, as ``yearly`` says, month
+means, fitted to the days that had events. ``yearly`` is True, False, or "auto": month
+means for repositories with two years of history. All
 repositories are fitted in one job: events are counted per (repository, day),
 and what is left of a repository, one row per day, meets in one task.
 """
@@ -34,14 +35,18 @@ def training_series_from_rollup(rollup: DataFrame, repos=None) -> DataFrame:
     ).agg(F.sum("event_count").alias("y"))
 
 
-def fit(series: DataFrame) -> DataFrame:
-    """One row of parameters per repository."""
+def fit(series: DataFrame, yearly: bool | str = "auto") -> DataFrame:
+    """One row of parameters per repository, among them whether month means are used."""
     repo = Window.partitionBy("repository")
     weekday = Window.partitionBy("repository", "dow")
     month = Window.partitionBy("repository", "month")
     x = F.datediff("ds", "first_day")
     line = F.col("intercept") + F.col("slope") * F.col("x")
-    has_years = F.datediff("last_day", "first_day") >= YEARLY_MIN_DAYS
+    has_years = (
+        F.datediff("last_day", "first_day") >= YEARLY_MIN_DAYS
+        if yearly == "auto"
+        else F.lit(bool(yearly))
+    )
     fitted = (
         series.withColumns({
             "first_day": F.min("ds").over(repo),
@@ -64,7 +69,8 @@ def fit(series: DataFrame) -> DataFrame:
         .withColumn("rest", F.col("y") - line)
         .withColumn("weekly", F.avg("rest").over(weekday))
         .withColumn("rest", F.col("rest") - F.col("weekly"))
-        .withColumn("yearly", F.when(has_years, F.avg("rest").over(month)).otherwise(0.0))
+        .withColumn("has_years", has_years)
+        .withColumn("yearly", F.when(F.col("has_years"), F.avg("rest").over(month)).otherwise(0.0))
         .withColumn("rest", F.col("rest") - F.col("yearly"))
     )
     return fitted.groupBy("repository").agg(
@@ -73,6 +79,7 @@ def fit(series: DataFrame) -> DataFrame:
         F.max("slope").alias("slope"),
         F.max("intercept").alias("intercept"),
         F.stddev_pop("rest").alias("sigma"),
+        F.max("has_years").alias("has_years"),
         F.map_from_entries(F.collect_set(F.struct("dow", "weekly"))).alias("weekly"),
         F.map_from_entries(F.collect_set(F.struct("month", "yearly"))).alias("yearly"),
     )
@@ -85,20 +92,30 @@ def _whole(value: Column) -> Column:
 
 
 def forecast_repos(
-    events: DataFrame, training_date: AsOf, periods: int = PERIODS, repos=None
+    events: DataFrame,
+    training_date: AsOf,
+    periods: int = PERIODS,
+    repos=None,
+    yearly: bool | str = "auto",
 ) -> DataFrame:
     """Forecast and 95 % bounds for the days after each repository's last day."""
-    return forecast_from_series(training_series(events, repos), training_date, periods)
+    return forecast_from_series(training_series(events, repos), training_date, periods, yearly)
 
 
 def forecast_from_series(
-    series: DataFrame, training_date: AsOf, periods: int = PERIODS
+    series: DataFrame,
+    training_date: AsOf,
+    periods: int = PERIODS,
+    yearly: bool | str = "auto",
 ) -> DataFrame:
     """``forecast_repos`` from a training series."""
-    days = fit(series).withColumn(
-        "forecast_date",
-        F.explode(F.sequence(F.date_add("last_day", 1), F.date_add("last_day", periods))),
-    )
+    days = F.sequence(F.date_add("last_day", 1), F.date_add("last_day", periods))
+    return _predicted(fit(series, yearly), days, training_date)
+
+
+def _predicted(fitted: DataFrame, dates: Column, training_date: AsOf) -> DataFrame:
+    """Forecast rows of fitted repositories for an array of dates."""
+    days = fitted.withColumn("forecast_date", F.explode(dates))
     x = F.datediff("forecast_date", "first_day")
     weekly = F.coalesce(F.try_element_at("weekly", F.dayofweek("forecast_date")), F.lit(0.0))
     yearly = F.coalesce(F.try_element_at("yearly", F.month("forecast_date")), F.lit(0.0))
@@ -115,21 +132,25 @@ def forecast_from_series(
     )
 
 
-def backtest(events: DataFrame, as_of: AsOf, holdout: int = 7, repos=None) -> DataFrame:
-    """Fit without the last ``holdout`` days before ``as_of`` and compare: mean
-    absolute error and share of days inside the bounds, per repository."""
+def backtest(
+    events: DataFrame, as_of: AsOf, holdout: int = 7, repos=None, yearly: bool | str = "auto"
+) -> DataFrame:
+    """Fit without the last ``holdout`` days before ``as_of`` and compare, for every repository
+    with earlier days: the hold-out days that had events, their mean absolute error and the
+    share of them inside the bounds (NULL where no day had any). The forecast covers the
+    hold-out days themselves, however long a repository was quiet before them."""
     edge = days_before(as_of, holdout).replace(hour=0, minute=0, second=0, microsecond=0)
+    first, last = F.lit(edge.date()), F.lit(as_datetime(as_of).date())
     series = training_series(events, repos)
-    past = events.where(day(F.col("created_at")) < F.lit(edge.date()))
-    actual = series.where(F.col("ds") >= F.lit(edge.date())).withColumnRenamed("ds", "forecast_date")
-    both = forecast_repos(past, as_of, 2 * holdout, repos).join(
-        actual, ["repository", "forecast_date"]
-    )
+    actual = series.where(F.col("ds").between(first, last)).withColumnRenamed("ds", "forecast_date")
+    fitted = fit(series.where(F.col("ds") < first), yearly)
+    predicted = _predicted(fitted, F.sequence(first, last), as_of)
+    both = predicted.join(actual, ["repository", "forecast_date"], "left")
     inside = F.col("y").between(F.col("lower_bound"), F.col("upper_bound"))
     return both.groupBy("repository").agg(
-        F.count("*").alias("days"),
+        F.count("y").alias("days"),
         F.avg(F.abs(F.col("y") - F.col("predicted_events"))).alias("mae"),
-        (F.count_if(inside) / F.count("*")).alias("coverage"),
+        F.try_divide(F.count_if(inside), F.count("y")).alias("coverage"),
     )
 
 

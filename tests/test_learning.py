@@ -162,3 +162,30 @@ def test_report_of_a_class_never_predicted(spark):
     assert found["accuracy"]["f1_score"] == 0.6
     assert found["macro avg"]["precision"] == 0.25
     assert found["weighted avg"]["recall"] == 0.6
+
+
+def test_backtest_keeps_a_repository_that_was_quiet(spark):
+    counts = [5] * 8 + [0] * 19 + [5]
+    both = series(spark, counts).unionByName(series(spark, [3] * 30, "o/steady"))
+    rows = {r["repository"]: r for r in forecast.backtest(both, "2024-01-31").collect()}
+    assert rows["o/r"]["days"] == 1 and rows["o/r"]["mae"] == 0.0
+    assert rows["o/steady"]["days"] == 7
+    # no hold-out day had events
+    quiet = forecast.backtest(series(spark, [5] * 8), "2024-01-31").first()
+    assert (quiet["days"], quiet["mae"], quiet["coverage"]) == (0, None, None)
+
+
+def test_yearly_term_as_told(spark):
+    data = forecast.training_series(series(spark, [4 + d % 3 for d in range(60)]))
+    used = {y: forecast.fit(data, y).first()["has_years"] for y in (True, False, "auto")}
+    assert used == {True: True, False: False, "auto": False}
+
+
+def test_no_job_runs_while_the_classes_are_joined(spark):
+    rows = spark.createDataFrame([(1, "x", "a")], "id bigint, text string, label string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    classifier.in_valid_classes(rows, 1)
+    jobs = tracker.getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not list(jobs)

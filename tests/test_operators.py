@@ -275,3 +275,49 @@ def test_top_labels_counts_each_label_of_an_issue(spark):
     df = spark.createDataFrame(data, ISSUES)
     assert [tuple(r) for r in issues.top_labels(df, AS_OF).collect()] == [("a", 2), ("b", 1)]
     assert [r["label"] for r in issues.top_labels(df, limit=2).collect()] == ["a", "b"]
+
+
+def _takes_repos():
+    """Every operator with a ``repos`` argument, found by its signature."""
+    import inspect
+
+    from repolume.operators import forecast
+
+    modules = (anomalies, contributors, delivery, forecast, issues, repositories, traffic)
+    for module in modules:
+        for name, function in vars(module).items():
+            if (
+                inspect.isfunction(function)
+                and function.__module__ == module.__name__
+                and not name.startswith("_")
+                and "repos" in (parameters := inspect.signature(function).parameters)
+            ):
+                yield f"{module.__name__.split('.')[-1]}.{name}", function, list(parameters)
+
+
+@pytest.mark.parametrize("name, operator, parameters", list(_takes_repos()), ids=lambda x: x if isinstance(x, str) else "")
+def test_repositories_as_a_list_and_as_a_frame(spark, name, operator, parameters):
+    from repolume.streaming.rollup import rollup_delta
+
+    events, issue_rows = on_sf(spark)
+    given = {
+        "events": events,
+        "issues": issue_rows,
+        "rollup": rollup_delta(events),
+        "forecasts": t.forecast_standin(spark, SF_DIR),
+        "as_of": AS_OF,
+        "training_date": AS_OF,
+    }
+    arguments = {p: given[p] for p in parameters if p in given}
+    if "steps" in parameters:
+        arguments["steps"] = delivery.full_steps(DEFAULTS)
+    some = [r[0] for r in events.select("repo_name").distinct().orderBy("repo_name").limit(2).collect()]
+    frame = spark.createDataFrame([(r,) for r in [*some, some[0]]], "name string")
+
+    def found(repos):
+        return sorted(map(str, operator(**arguments, repos=repos).collect()))
+
+    assert found(some) == found(frame)
+    everything = found(None)
+    if len(everything) > 1:
+        assert found(some) != everything
