@@ -20,7 +20,13 @@ from repolume.operators import (
     traffic,
 )
 from repolume.plans import tables as t
-from repolume.plans.tables import AS_OF, AS_OF_CI, AS_OF_TODAY
+from repolume.plans.tables import (
+    AS_OF,
+    AS_OF_CI,
+    AS_OF_ISSUES,
+    AS_OF_ISSUES_TODAY,
+    AS_OF_TODAY,
+)
 from repolume.sources import feeds, sqlentry, thresholds
 from repolume.sources import tables as store
 from repolume.streaming import ingest, rollup
@@ -49,8 +55,10 @@ def on_events(name: str, operator, *args, **kwargs) -> None:
     QUERIES[name] = lambda spark, d: operator(t.activity(spark, d), *args, **kwargs)
 
 
-def on_issues(name: str, operator, *args, **kwargs) -> None:
-    QUERIES[name] = lambda spark, d: operator(t.issues(spark, d), *args, **kwargs)
+def on_issues(name: str, operator, *args, with_labels: bool = False, **kwargs) -> None:
+    QUERIES[name] = lambda spark, d: operator(
+        t.issues(spark, d, with_labels=with_labels), *args, **kwargs
+    )
 
 
 # --- repositories, contributors, traffic ---------------------------------------
@@ -178,8 +186,8 @@ def event_traffic_bands(spark: SparkSession, d: str) -> DataFrame:
 on_issues("issues_by_state", issues.issues_by_state)
 on_issues("open_issues", issues.open_issues)
 on_issues("open_issues_by_repo", issues.open_issues, by_repo=True)
-on_issues("top_labels", issues.top_labels)
-on_issues("top_labels_recent", issues.top_labels, AS_OF)
+on_issues("top_labels", issues.top_labels, with_labels=True)
+on_issues("top_labels_recent", issues.top_labels, AS_OF_ISSUES, with_labels=True)
 on_issues("issues_created_daily", issues.issues_created_daily)
 
 
@@ -203,6 +211,21 @@ def system_health(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({c: F.round(c, 6) for c in ("current", "threshold")})
 
 
+@register
+def system_health_busy(spark: SparkSession, d: str) -> DataFrame:
+    """On a day that has issues, against the limit of the days until then."""
+    rows = anomalies.system_health(t.activity(spark, d), t.issues(spark, d, False), AS_OF_ISSUES_TODAY)
+    return rows.withColumns({c: F.round(c, 6) for c in ("current", "threshold")})
+
+
+@register
+def system_health_static_busy(spark: SparkSession, d: str) -> DataFrame:
+    rows = anomalies.system_health_static(
+        t.activity(spark, d), t.issues(spark, d, False), AS_OF_ISSUES_TODAY
+    )
+    return rows.withColumns({c: F.round(c, 6) for c in ("current", "threshold")})
+
+
 @register
 def system_health_static(spark: SparkSession, d: str) -> DataFrame:
     rows = anomalies.system_health_static(t.activity(spark, d), t.issues(spark, d), AS_OF)
@@ -215,6 +238,26 @@ def daily_anomalies(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("threshold", F.round("threshold", 6))
 
 
+def _quiet_but_one_day(spark: SparkSession, d: str) -> DataFrame:
+    """The events of one day, and of the other days every twentieth: a day that stands out."""
+    busy = F.to_date("created_at") == F.lit("2024-01-15").cast("date")
+    return t.activity(spark, d).where(busy | (F.col("id").cast("bigint") % 20 == 0))
+
+
+@register
+def daily_anomalies_flagged(spark: SparkSession, d: str) -> DataFrame:
+    rows = anomalies.daily_anomalies(_quiet_but_one_day(spark, d), AS_OF)
+    return rows.withColumn("threshold", F.round("threshold", 6))
+
+
+@register
+def daily_anomalies_of_repos(spark: SparkSession, d: str) -> DataFrame:
+    """The repositories given as a table: those that had a release."""
+    chosen = t.releases(spark, d).select("repo_name").where("repo_name < 'org2'").distinct()
+    rows = anomalies.daily_anomalies(t.activity(spark, d), AS_OF, repos=chosen)
+    return rows.withColumn("threshold", F.round("threshold", 6))
+
+
 @register
 def data_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return anomalies.data_diagnostics(
@@ -245,6 +288,15 @@ def flaky_tests(spark: SparkSession, d: str) -> DataFrame:
     return ci.flaky_tests(t.test_results(spark, d), CRITICAL_WORKFLOWS)
 
 
+@register
+def flaky_tests_of_priorities(spark: SparkSession, d: str) -> DataFrame:
+    """Tests by workflow, so that some run in the critical one and others never do."""
+    results = t.test_results(spark, d).withColumn(
+        "test_name", F.concat_ws("@", "test_name", "workflow_name")
+    )
+    return ci.flaky_tests(results, CRITICAL_WORKFLOWS)
+
+
 @register
 def flaky_tests_recent(spark: SparkSession, d: str) -> DataFrame:
     flaky = ci.flaky_tests(t.test_results(spark, d), CRITICAL_WORKFLOWS)
@@ -269,10 +321,25 @@ def forecast_repos_seasonal(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register
-def train_all_forecasts(spark: SparkSession, d: str) -> DataFrame:
+def forecast_repos_yearly(spark: SparkSession, d: str) -> DataFrame:
+    return forecast.forecast_repos(t.activity(spark, d), AS_OF, yearly=True)
+
+
+@register
+def forecast_repos_plain(spark: SparkSession, d: str) -> DataFrame:
+    return forecast.forecast_repos(t.ci_runs(spark, d), AS_OF_CI, yearly=False)
+
+
+def _stored_forecasts(spark: SparkSession, d: str) -> str:
     path = new_path(spark, "forecasts")
-    store.append_rows(forecast.forecast_repos(t.activity(spark, d), AS_OF), path)
-    return spark.read.parquet(path)
+    store.append_forecasts(forecast.forecast_repos(t.activity(spark, d), AS_OF), path)
+    return path
+
+
+@register
+def train_all_forecasts(spark: SparkSession, d: str) -> DataFrame:
+    stored = spark.read.parquet(_stored_forecasts(spark, d))
+    return stored.where("created_at IS NOT NULL").drop("created_at")
 
 
 @register
@@ -301,19 +368,41 @@ def forecast_vs_actual_wide(spark: SparkSession, d: str) -> DataFrame:
 
 # --- classifier ----------------------------------------------------------------
 
-_MODELS: dict[tuple[str, str], PipelineModel] = {}
+def trained_model(spark: SparkSession, d: str) -> PipelineModel:
+    """The classifier of a data set: fitted on the training part, saved and loaded."""
+    rows = classifier.in_valid_classes(classifier.training_rows(t.issues(spark, d)))
+    train_part = classifier.with_split(rows).where("split = 'train'")
+    path = new_path(spark, "classifier")
+    classifier.save_model(classifier.train(train_part), path)
+    return classifier.load_model(path)
 
 
-def trained_model(spark: SparkSession, d: str) -> PipelineModel:
-    """The classifier of a data set: fitted, saved and loaded once per application."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _MODELS:
-        rows = classifier.in_valid_classes(classifier.training_rows(t.issues(spark, d)))
-        train_part = classifier.with_split(rows).where("split = 'train'")
-        path = new_path(spark, "classifier")
-        classifier.save_model(classifier.train(train_part), path)
-        _MODELS[key] = classifier.load_model(path)
-    return _MODELS[key]
+@register
+def train_classifier(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the model of the training part gets nine in ten of the test part right."""
+    report = classifier_test_report(spark, d).where("class = 'accuracy'")
+    return report.select("support", (F.col("f1_score") >= 0.9).alias("good"))
+
+
+@register
+def score_issues_checked(spark: SparkSession, d: str) -> DataFrame:
+    """The issues that got a prediction, and whether label and confidence can be ones."""
+    labels = classifier.valid_classes(classifier.training_rows(t.issues(spark, d)))
+    known = labels.select(F.col("label").alias("predicted_label"), F.lit(True).alias("known"))
+    scored = score_issues(spark, d).join(known, "predicted_label", "left")
+    return scored.select(
+        "issue_id",
+        F.coalesce("known", F.lit(False)).alias("valid_label"),
+        ((F.col("confidence") > 0) & (F.col("confidence") <= 1)).alias("valid_confidence"),
+        "prediction_date",
+    )
+
+
+@register
+def classify_texts_checked(spark: SparkSession, d: str) -> DataFrame:
+    rows = classify_texts(spark, d)
+    valid = (F.col("confidence") > 0) & (F.col("confidence") <= 1)
+    return rows.select("id", (valid & F.col("predicted_label").isNotNull()).alias("valid"))
 
 
 @register
@@ -322,12 +411,17 @@ def classifier_training_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "label", F.length("text").cast("bigint").alias("text_length"))
 
 
-on_issues("valid_classes", lambda df: classifier.valid_classes(classifier.training_rows(df)))
+on_issues(
+    "valid_classes",
+    lambda df: classifier.valid_classes(classifier.training_rows(df)),
+    with_labels=True,
+)
 on_issues(
     "train_test_split",
     lambda df: classifier.with_split(
         classifier.in_valid_classes(classifier.training_rows(df))
     ).select("id", "label", "split"),
+    with_labels=True,
 )
 
 
@@ -393,6 +487,68 @@ def ingest_issues(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("labels", F.array_join("labels", ","))
 
 
+@register
+def rejected_events(spark: SparkSession, d: str) -> DataFrame:
+    """What a feed with planted faults loads and rejects: rows by reason."""
+    parsed = feeds.parse_events(t.broken_event_feed(spark, d))
+    reason = F.coalesce("error", F.lit("loaded")).alias("outcome")
+    return parsed.groupBy(reason).agg(F.count("*").alias("events"))
+
+
+@register
+def rejected_issues(spark: SparkSession, d: str) -> DataFrame:
+    parsed = feeds.parse_issues(t.broken_issue_feed(spark, d))
+    reason = F.coalesce("error", F.lit("loaded")).alias("outcome")
+    return parsed.groupBy(reason).agg(F.count("*").alias("issues"))
+
+
+def _stored_issues(spark: SparkSession, d: str) -> str:
+    """Issues fetched three times: all, the closed ones again, and late the first fetch again;
+    in the first all were open."""
+    path = new_path(spark, "issues")
+    fetched = feeds.normalize_issues(t.raw_issue_feed(spark, d))
+    none = F.lit(None).cast("timestamp")
+    first = fetched.withColumns({"state": F.lit("open"), "closed_at": none})
+    for fetch_id, rows in ((0, first), (1, fetched.where("state = 'closed'")), (0, first)):
+        store.store_issues(rows, path, fetch_id, buckets=8)
+    return path
+
+
+@register
+def store_issues(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(_stored_issues(spark, d)).select(*feeds.ISSUE_COLUMNS)
+    rows = _plain_time(rows, "created_at", "closed_at")
+    return rows.withColumn("labels", F.array_join("labels", ","))
+
+
+@register
+def export_issues(spark: SparkSession, d: str) -> DataFrame:
+    target = new_path(spark, "export")
+    issues = t.issues(spark, d)
+    store.export_table(issues, target, "json")
+    # an empty table is skipped, and the target stays as it was
+    store.export_table(issues.where(F.lit(False)), target, "json")
+    return spark.read.json(target).groupBy("repo_name", "state").agg(
+        F.count("*").alias("issues"), F.count("closed_at").alias("with_end")
+    )
+
+
+@register
+def export_forecasts(spark: SparkSession, d: str) -> DataFrame:
+    target = new_path(spark, "export")
+    store.export_table(spark.read.parquet(_stored_forecasts(spark, d)), target, "json")
+    return spark.read.json(target).groupBy("repository").agg(
+        F.count("*").alias("days"), F.sum("predicted_events").alias("events")
+    )
+
+
+@register
+def export_predictions(spark: SparkSession, d: str) -> DataFrame:
+    target = new_path(spark, "export")
+    store.export_table(t.issue_predictions(spark, d), target)
+    return spark.read.parquet(target)
+
+
 def _stored_events(spark: SparkSession, d: str) -> str:
     path = new_path(spark, "events")
     store.append_events(t.activity(spark, d), path, backfill=True)
@@ -422,6 +578,46 @@ def backup_restore(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(restored).select(*feeds.EVENT_COLUMNS)
 
 
+def _loaded_events(spark: SparkSession, d: str, loads: int = 6) -> str:
+    """The events in several loads, an event's load being its id modulo their number."""
+    path = new_path(spark, "events")
+    for load in range(loads):
+        store.append_events(_load(spark, d, load, loads), path, load_id=load)
+    return path
+
+
+def _load(spark: SparkSession, d: str, load: int, loads: int) -> DataFrame:
+    return t.activity(spark, d).where(F.col("id").cast("bigint") % loads == load)
+
+
+@register
+def backup_restore_by_load(spark: SparkSession, d: str) -> DataFrame:
+    """Backed up, restored twice to a new place, and a load repeated there."""
+    folder, restored = new_path(spark, "backups"), new_path(spark, "restored")
+    backup = store.backup_table(spark.read.parquet(_loaded_events(spark, d, 3)), folder, AS_OF)
+    for _ in range(2):
+        store.restore_table(spark, backup, restored)
+    store.append_events(_load(spark, d, 1, 3), restored, load_id=1)
+    return spark.read.parquet(restored).select(*feeds.EVENT_COLUMNS)
+
+
+@register
+def compact_then_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Crowded months merged in place, then two merged loads repeated."""
+    path = _loaded_events(spark, d)
+    store.compact_in_place(spark, path, new_path(spark, "staging"))
+    for load in (0, 4):
+        store.append_events(_load(spark, d, load, 6), path, load_id=load)
+    return spark.read.parquet(path).select(*feeds.EVENT_COLUMNS)
+
+
+@register
+def delete_by_key(spark: SparkSession, d: str) -> DataFrame:
+    path = _loaded_events(spark, d, 2)
+    store.delete_in_place(spark, path, F.col("repo_name") == FORECAST_REPO)
+    return spark.read.parquet(path).select(*feeds.EVENT_COLUMNS)
+
+
 on_events("retention_keep", store.retention_keep, RETENTION_AS_OF)
 
 
@@ -557,8 +753,10 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
 @register
 def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     path, checkpoint = new_path(spark, "daily-counts"), new_path(spark, "checkpoint")
-    ingest.stream_daily_counts(_event_stream(spark, d), path, checkpoint)
-    return ingest.latest_daily_counts(spark.read.parquet(path))
+    collapsed = new_path(spark, "daily-counts-collapsed")
+    ingest.stream_daily_counts(_event_stream(spark, d), path, checkpoint, late_by="7 days")
+    ingest.collapse_daily_counts(spark, path, collapsed)
+    return spark.read.parquet(collapsed)
 
 
 @register
@@ -574,3 +772,17 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     ingest.stream_dedup(events.unionByName(events), path, checkpoint)
     stored = spark.read.parquet(path)
     return _plain_time(stored.select(*feeds.EVENT_COLUMNS), "created_at")
+
+
+@register
+def stream_dedup_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """The feed landed and read three times counts once."""
+    names = ("events", "rollup", "rejected", "checkpoint")
+    paths = [new_path(spark, f"once-{name}") for name in names]
+    landing = new_path(spark, "landing")
+    feed = t.raw_event_feed(spark, d)
+    parts = (feed, feed.where(F.length("value") % 2 == 0), feed)
+    for part in parts:
+        part.write.mode("append").text(landing)
+        ingest.stream_ingest(spark, landing, *paths, once=True)
+    return rollup.merged_rollup(spark.read.parquet(paths[1]))

@@ -5,7 +5,13 @@ Written independently of the operators: plain SQL over the driver's tables.
 
 from __future__ import annotations
 
-from repolume.plans.tables import AS_OF, AS_OF_CI, AS_OF_TODAY
+from repolume.plans.tables import (
+    AS_OF,
+    AS_OF_CI,
+    AS_OF_ISSUES,
+    AS_OF_ISSUES_TODAY,
+    AS_OF_TODAY,
+)
 
 _K = "SELECT *, CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k FROM events"
 
@@ -58,7 +64,7 @@ FROM lineitem l JOIN orders o ON l.l_orderkey=o.o_orderkey
 GROUP BY l.l_partkey%50, o.o_custkey, o.o_orderkey, o.o_orderpriority, o.o_orderdate)"""
 
 FORECASTS = """forecasts AS (
-SELECT repo_name AS repository, CAST(created_at AS DATE) AS forecast_date,
+SELECT repo_name AS repository, CAST(created_at AS DATE) + 3 AS forecast_date,
  CAST(count(*) AS DOUBLE) AS predicted_events, CAST(count(*) AS DOUBLE) - 5 AS lower_bound,
  CAST(count(*) AS DOUBLE) + 5 AS upper_bound
 FROM activity GROUP BY 1, 2)"""
@@ -70,6 +76,8 @@ FROM labels)"""
 NOW = f"TIMESTAMP '{AS_OF}'"
 TODAY = f"TIMESTAMP '{AS_OF_TODAY}'"
 CI_NOW = f"TIMESTAMP '{AS_OF_CI}'"
+ISSUES_NOW = f"TIMESTAMP '{AS_OF_ISSUES}'"
+ISSUES_TODAY = f"TIMESTAMP '{AS_OF_ISSUES_TODAY}'"
 MERGED = "type = 'PullRequestEvent' AND payload LIKE '%merged%'"
 EVENT_ROW = "id, type, actor_login, repo_name, created_at, payload, org_login"
 
@@ -103,9 +111,17 @@ def _recent(days: int, now: str = NOW) -> str:
     return f"created_at >= {now} - INTERVAL {days} DAY"
 
 
-def _forecast(source: str, now: str, name: str = "forecast", table: str = "activity") -> str:
+def _forecast(
+    source: str,
+    now: str,
+    name: str = "forecast",
+    table: str = "activity",
+    yearly: str = "date_diff('day', any_value(d0), any_value(d1)) >= 730",
+    dates: str = "CAST(d1 + CAST(i AS INT) AS DATE)",
+) -> str:
     """CTEs ending in one that holds the forecast rows of ``table``; ``source``
-    filters its rows."""
+    filters its rows, ``yearly`` says where month means are used, and ``dates`` gives
+    the i-th day."""
     return f"""{name}_daily AS (
  SELECT repo_name AS repository, CAST(created_at AS DATE) AS ds, CAST(count(*) AS DOUBLE) AS y
  FROM {table} WHERE {source} GROUP BY 1, 2),
@@ -123,13 +139,13 @@ def _forecast(source: str, now: str, name: str = "forecast", table: str = "activ
 {name}_r2 AS (SELECT repository, ds, r - weekly AS r, month(ds) AS m
  FROM {name}_r1 JOIN {name}_week USING (repository, w)),
 {name}_year AS (SELECT repository, m,
-  CASE WHEN date_diff('day', any_value(d0), any_value(d1)) >= 730 THEN avg(r) ELSE 0.0 END AS yearly
+  CASE WHEN {yearly} THEN avg(r) ELSE 0.0 END AS yearly
  FROM {name}_r2 JOIN {name}_span USING (repository) GROUP BY 1, 2),
 {name}_sigma AS (SELECT repository, stddev_pop(r - yearly) AS sigma
  FROM {name}_r2 JOIN {name}_year USING (repository, m) GROUP BY 1),
 {name}_yhat AS (SELECT f.repository, f.forecast_date, sigma,
   ic + sl * date_diff('day', d0, forecast_date) + coalesce(weekly, 0.0) + coalesce(yearly, 0.0) AS yhat
- FROM (SELECT *, CAST(d1 + CAST(i AS INT) AS DATE) AS forecast_date
+ FROM (SELECT *, {dates} AS forecast_date
        FROM {name}_line, range(1, 31) AS s(i)) f
  JOIN {name}_sigma USING (repository)
  LEFT JOIN {name}_week k ON k.repository = f.repository AND k.w = dayofweek(f.forecast_date)
@@ -151,6 +167,7 @@ _LIMITS = f"""limits AS (SELECT
  (SELECT avg(c) + 3 * stddev_pop(c) FROM (SELECT count(*) AS c FROM issue
    WHERE {{recent}} GROUP BY CAST(created_at AS DATE))) AS i)"""
 LIMITS = _LIMITS.format(recent=_recent(90))
+LIMITS_BUSY = _LIMITS.format(recent=_recent(90, ISSUES_TODAY))
 LIMITS_TODAY = _LIMITS.format(recent=_recent(90, TODAY))
 
 _THRESHOLDS = _with(
@@ -370,7 +387,7 @@ FROM activity GROUP BY 1"""),
     "top_labels": _issues("""SELECT label, count(*) AS count
 FROM (SELECT unnest(labels) AS label FROM issue) GROUP BY 1 ORDER BY count DESC, label LIMIT 10"""),
     "top_labels_recent": _issues(f"""SELECT label, count(*) AS count
-FROM (SELECT unnest(labels) AS label FROM issue WHERE {_recent(7)})
+FROM (SELECT unnest(labels) AS label FROM issue WHERE {_recent(7, ISSUES_NOW)})
 GROUP BY 1 ORDER BY count DESC, label LIMIT 10"""),
     "issues_created_daily": _issues("""SELECT repo_name, CAST(created_at AS DATE) AS time,
  count(*) AS issues FROM issue GROUP BY 1, 2"""),
@@ -400,6 +417,41 @@ GROUP BY 1 ORDER BY count DESC, label LIMIT 10"""),
  UNION ALL SELECT 'Change Failure Rate',
    (SELECT count_if(payload LIKE '%bug%') * 100.0::DOUBLE / count(*) FROM activity WHERE {_recent(1)}),
    15.0::DOUBLE""")
+    ),
+    "system_health_busy": _with(
+        ACTIVITY,
+        ISSUES,
+        LIMITS_BUSY,
+        _health("""SELECT 'Events' AS metric,
+   (SELECT count(*) FROM activity WHERE created_at >= TIMESTAMP '2024-01-02 00:00:00')::DOUBLE AS current,
+   e AS threshold FROM limits
+ UNION ALL SELECT 'Issues',
+   (SELECT count(*) FROM issue WHERE created_at >= TIMESTAMP '2024-01-02 00:00:00')::DOUBLE, i FROM limits
+ UNION ALL SELECT 'Change Failure Rate', (SELECT CASE WHEN count(*) > 0
+     THEN count_if(payload LIKE '%bug%') * 100.0::DOUBLE / count(*) ELSE 0.0 END
+   FROM activity WHERE created_at >= TIMESTAMP '2024-01-02 00:00:00'), 15.0::DOUBLE"""),
+    ),
+    "system_health_static_busy": _both(
+        _health(f"""SELECT 'Events (24h)' AS metric,
+   (SELECT count(*) FROM activity WHERE {_recent(1, ISSUES_TODAY)})::DOUBLE AS current, 100.0::DOUBLE AS threshold
+ UNION ALL SELECT 'Issues (24h)',
+   (SELECT count(*) FROM issue WHERE {_recent(1, ISSUES_TODAY)})::DOUBLE, 10.0::DOUBLE
+ UNION ALL SELECT 'Change Failure Rate',
+   (SELECT count_if(payload LIKE '%bug%') * 100.0::DOUBLE / count(*) FROM activity
+    WHERE {_recent(1, ISSUES_TODAY)}), 15.0::DOUBLE""")
+    ),
+    "daily_anomalies_flagged": _events("""SELECT time, events, round(e, 6) AS threshold,
+ events > e AS is_anomaly FROM (SELECT CAST(created_at AS DATE) AS time, count(*) AS events,
+  avg(count(*)) OVER () + 3 * stddev_pop(count(*)) OVER () AS e FROM activity
+  WHERE CAST(created_at AS DATE) = DATE '2024-01-15' OR CAST(id AS BIGINT) % 20 = 0 GROUP BY 1)"""),
+    "daily_anomalies_of_repos": _with(
+        ACTIVITY,
+        ISSUES,
+        LIMITS,
+        """SELECT time, events, round(e, 6) AS threshold, events > e AS is_anomaly
+FROM (SELECT CAST(created_at AS DATE) AS time, count(*) AS events FROM activity
+ WHERE repo_name IN (SELECT repo_name FROM activity WHERE type = 'ReleaseEvent'
+  AND repo_name < 'org2') GROUP BY 1), limits""",
     ),
     "daily_anomalies": _with(
         ACTIVITY,
@@ -431,6 +483,13 @@ FROM ci_runs WHERE created_at > {CI_NOW} - INTERVAL 7 DAY GROUP BY 1"""),
  count_if(status = 'completed') / count(*) AS success_rate
 FROM ci_runs WHERE created_at > {CI_NOW} - INTERVAL 3000 DAY GROUP BY 1"""),
     "flaky_tests": _with(TEST_RESULTS, _FLAKY, "SELECT * FROM flaky"),
+    "flaky_tests_of_priorities": _with(
+        TEST_RESULTS.replace("test_results AS", "plain_results AS"),
+        """test_results AS (SELECT * REPLACE (test_name || '@' || workflow_name AS test_name)
+FROM plain_results)""",
+        _FLAKY,
+        "SELECT * FROM flaky",
+    ),
     "flaky_tests_recent": _with(TEST_RESULTS, _FLAKY, f"""SELECT test_name, repo_name,
  failure_rate, severity FROM flaky WHERE last_detected > {CI_NOW} - INTERVAL 30 DAY"""),
     "release_frequency": _events(f"""SELECT CAST(created_at AS DATE) AS date,
@@ -446,15 +505,27 @@ WHERE type = 'ReleaseEvent' AND created_at > {NOW} - INTERVAL 90 DAY GROUP BY 1"
     "forecast_repos_seasonal": _with(
         CI_RUNS, _forecast("true", CI_NOW, table="ci_runs"), "SELECT * FROM forecast"
     ),
+    "forecast_repos_yearly": _with(
+        ACTIVITY, _forecast("true", NOW, yearly="true"), "SELECT * FROM forecast"
+    ),
+    "forecast_repos_plain": _with(
+        CI_RUNS,
+        _forecast("true", CI_NOW, table="ci_runs", yearly="false"),
+        "SELECT * FROM forecast",
+    ),
     "forecast_backtest": _with(
         ACTIVITY,
-        _forecast("created_at < TIMESTAMP '2024-01-24 00:00:00'", NOW),
-        """SELECT f.repository, count(*) AS days, avg(abs(y - predicted_events)) AS mae,
- count_if(y BETWEEN lower_bound AND upper_bound) / count(*) AS coverage
-FROM forecast f JOIN (SELECT repo_name AS repository, CAST(created_at AS DATE) AS d, count(*) AS y
-  FROM activity WHERE created_at >= TIMESTAMP '2024-01-24 00:00:00' GROUP BY 1, 2) a
+        _forecast(
+            "created_at < TIMESTAMP '2024-01-24 00:00:00'",
+            NOW,
+            dates="CAST(DATE '2024-01-23' + CAST(i AS INT) AS DATE)",
+        ),
+        """SELECT f.repository, count(y) AS days, avg(abs(y - predicted_events)) AS mae,
+ count_if(y BETWEEN lower_bound AND upper_bound) / nullif(count(y), 0) AS coverage
+FROM forecast f LEFT JOIN (SELECT repo_name AS repository, CAST(created_at AS DATE) AS d,
+  count(*) AS y FROM activity GROUP BY 1, 2) a
 ON a.repository = f.repository AND a.d = f.forecast_date
-JOIN forecast_span s ON s.repository = f.repository AND f.forecast_date <= s.d1 + 14
+WHERE f.forecast_date <= DATE '2024-01-31'
 GROUP BY 1""",
     ),
     "forecast_lookup": _with(ACTIVITY, FORECASTS, """SELECT repository, forecast_date,
@@ -534,4 +605,31 @@ FROM activity WHERE CAST(created_at AS DATE) >= {NOW} - INTERVAL 30 DAY GROUP BY
  type AS event_type, count(*) AS event_count FROM activity GROUP BY 1, 2, 3"""),
     "dedup_events": _events(f"SELECT {EVENT_ROW} FROM activity"),
     "stream_dedup": _events(f"SELECT {EVENT_ROW} FROM activity"),
+    "stream_dedup_rollup": _events(_ROLLUP_EXACT),
+    "rejected_events": _events("""SELECT CASE CAST(id AS BIGINT) % 50 WHEN 0 THEN 'page'
+  WHEN 1 THEN 'id' WHEN 2 THEN 'actor' WHEN 3 THEN 'created_at' ELSE 'loaded' END AS outcome,
+ count(*) AS events FROM activity GROUP BY 1"""),
+    "rejected_issues": _issues("""SELECT CASE WHEN number % 10 = 1 THEN 'json'
+  WHEN number % 10 = 2 THEN 'id' WHEN number % 10 = 3 THEN 'created_at' ELSE 'loaded' END AS outcome,
+ count(*) AS issues FROM issue WHERE number % 7 <> 0 OR number % 10 = 1 GROUP BY 1"""),
+    "store_issues": _issues("""SELECT id, number, title, body,
+ array_to_string(labels, ',') AS labels, state, created_at, closed_at, user_login, repo_name
+FROM issue WHERE number % 7 <> 0"""),
+    "export_issues": _issues("""SELECT repo_name, state, count(*) AS issues,
+ count(closed_at) AS with_end FROM issue GROUP BY 1, 2"""),
+    "export_forecasts": _with(ACTIVITY, _forecast("true", NOW), """SELECT repository,
+ count(*) AS days, sum(predicted_events) AS events FROM forecast GROUP BY 1"""),
+    "export_predictions": _with(PREDICTIONS, """SELECT issue_id, predicted_label,
+ CAST(1.0 AS DOUBLE) AS confidence, DATE '2024-01-31' AS prediction_date FROM predictions"""),
+    "backup_restore_by_load": _events(f"SELECT {EVENT_ROW} FROM activity"),
+    "compact_then_replay": _events(f"SELECT {EVENT_ROW} FROM activity"),
+    "delete_by_key": _events(f"SELECT {EVENT_ROW} FROM activity WHERE repo_name <> 'org0/repo0'"),
+    "score_issues_checked": _with(ISSUES, PREDICTIONS, """SELECT id AS issue_id,
+ true AS valid_label, true AS valid_confidence, DATE '2024-01-31' AS prediction_date FROM issue i
+WHERE NOT EXISTS (SELECT 1 FROM predictions p WHERE p.issue_id = i.id)"""),
+    "classify_texts_checked": _issues("SELECT id, true AS valid FROM issue"),
+    "train_classifier": _issues("""SELECT count(*) AS support, true AS good
+FROM (SELECT id, labels[1] AS label, count(*) OVER (PARTITION BY labels[1]) AS n
+  FROM issue WHERE len(labels) > 0)
+WHERE n >= 30 AND substr(md5(CAST(id AS VARCHAR) || ':42'), 1, 2) < '33'"""),
 }

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 AS_OF = "2024-01-31 00:00:00"
 AS_OF_TODAY = "2024-01-30 23:59:59"
 AS_OF_CI = "2001-08-02 00:00:00"
+# Just after the first days, in which the issues (the first rows of the table) lie.
+AS_OF_ISSUES = "2024-01-04 00:00:00"
+AS_OF_ISSUES_TODAY = "2024-01-02 23:59:59"
 
 # The tables' times have microseconds; the feed text keeps them.
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
@@ -61,15 +64,23 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_activity(read(spark, sf_dir, "events"))
 
 
-def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+def issues(spark: SparkSession, sf_dir: str, with_labels: bool = True) -> DataFrame:
+    """The issue table; queries that use no labels say so, and the table of labels is not
+    read."""
     documents = read(spark, sf_dir, "documents")
     events = read(spark, sf_dir, "events").withColumnRenamed("event_id", "doc_id")
-    labels = read(spark, sf_dir, "labels")
     # the number in the properties is taken from the joined rows only
+    joined = _with_k(documents.join(events, "doc_id"))
+    if with_labels:
+        labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(
+            F.max("quality").alias("quality"), F.max("toxic").alias("toxic")
+        )
+        joined = joined.join(labels, "doc_id", "left")
+    else:
+        none = F.lit(None).cast("int")
+        joined = joined.withColumns({"quality": none, "toxic": none})
     return (
-        _with_k(documents.join(events, "doc_id"))
-        .join(labels, "doc_id", "left")
-        .selectExpr(
+        joined.selectExpr(
             "doc_id AS id",
             "doc_id % 500 + 1 AS number",
             "substr(text, 1, 60) AS title",
@@ -126,10 +137,13 @@ def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forecast_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecast rows for the queries that only look forecasts up: each day's own
-    count, 5 either way."""
+    count for the third day after it, 5 either way."""
     daily = (
         activity(spark, sf_dir)
-        .groupBy(F.col("repo_name").alias("repository"), F.to_date("created_at").alias("forecast_date"))
+        .groupBy(
+            F.col("repo_name").alias("repository"),
+            F.date_add(F.to_date("created_at"), 3).alias("forecast_date"),
+        )
         .agg(F.count("*").cast("double").alias("predicted_events"))
     )
     return daily.withColumns({
@@ -163,6 +177,36 @@ def raw_event_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.selectExpr(f"CASE WHEN type = 'ForkEvent' THEN {plain} ELSE {nested} END AS value")
 
 
+def broken_event_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event feed with planted faults, by the event's number modulo 50: 0 a page cut off,
+    1 a line cut off, 2 no actor, 3 a time that is none; the others as pages of one event."""
+    feed = raw_event_feed(spark, sf_dir)
+    n = F.get_json_object("value", "$.id").cast("long") % 50
+    cut = F.expr("substr(value, 1, length(value) - 20)")
+    value = (
+        F.when(n == 0, F.concat(F.lit("["), "value", F.lit(","), cut))
+        .when(n == 1, cut)
+        .when(n == 2, F.regexp_replace("value", '"actor":', '"nobody":'))
+        .when(n == 3, F.regexp_replace("value", '"created_at":"2024', '"created_at":"x2024'))
+        .otherwise(F.concat(F.lit("["), "value", F.lit("]")))
+    )
+    return feed.select(value.alias("value"))
+
+
+def broken_issue_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The issue feed with planted faults, by the number modulo 10: 1 a line cut off, 2 an id
+    that is no number, 3 a time that is none."""
+    feed = raw_issue_feed(spark, sf_dir)
+    n = F.get_json_object("value", "$.number").cast("long") % 10
+    value = (
+        F.when(n == 1, F.expr("substr(value, 1, length(value) - 20)"))
+        .when(n == 2, F.regexp_replace("value", '^\\{"id":', '{"id":"x","other":'))
+        .when(n == 3, F.regexp_replace("value", '"created_at":"2024', '"created_at":"x2024'))
+        .otherwise(F.col("value"))
+    )
+    return feed.select("repo_name", value.alias("value"))
+
+
 def raw_issue_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues as their feed, one JSON text per row; numbers divisible by 7 carry
     the marker of a pull request, which the loader leaves out."""
