@@ -8,16 +8,17 @@ their blocks. A set takes part in its own band and in the next, where its larger
 
 Frequent sketches, such as those of an empty block or of a passage that many texts share,
 would join everything with everything. So there are more blocks than T + 1: similar sets
-agree in at least 1 + EMPTY + FREQUENT blocks. A set with at most EMPTY empty blocks leaves
-them out; a set with at most FREQUENT frequent sketches needs none of them; any other set
-needs only its rarest but FREQUENT ones.
+agree in at least 1 + EMPTY + SHARED blocks. A set with at most EMPTY empty blocks leaves
+them out. Sets that share no more than SHARED sketches are not similar, so of the sketches
+that a set shares with others it needs all but its SHARED most frequent ones.
 
 Texts with equal sets are one node. First each node is joined with one node of each sketch
 (a star); links that hold join nodes to components, and whatever lies within one component
 needs no further look. Only sketches that still hold nodes of several components are joined
-in full. A second sketch of PARITY bits, in which every shingle flips one bit, rules pairs
-out: its Hamming distance can't exceed the number of shingles in which two sets differ.
-What is left is verified on the whole sets.
+further, and there only nodes of different components. A second sketch of PARITY bits, in
+which every shingle flips one bit, rules pairs out within the join: its Hamming distance
+can't exceed the number of shingles in which two sets differ. What is left is verified on
+the whole sets.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ WORDS, PERCENT = 5, 80  # unless a caller asks for others
 RUN_WORDS = 1_500_000  # words that a task works on at once
 GROUP_ROWS = 1_000_000  # sketches of one group
 PARITY = 512
-FREQUENT_NODES = 64  # a sketch with more nodes of several components is frequent
+PARITIES = [f"parity_{i}" for i in range(PARITY // 64)]
 
 
 def most_different(total: int, percent: int) -> int:
@@ -53,10 +54,10 @@ class Bands:
             starts.append(starts[-1] * 100 // percent + 1)
         self.starts = np.array(starts, np.int64)
         top = [most_different(2 * (end - 1), percent) for end in starts[1:]] + [0]
-        spare = [1 + (t + 1) // 24 for t in top]
         self.most = np.array(top, np.int64)  # T; if 0, only equal sets are similar
-        self.spare = np.array(spare, np.int64)  # EMPTY, and FREQUENT as well
-        self.blocks = self.most + 1 + 2 * self.spare
+        self.empty = 1 + (self.most + 1) // 24
+        self.shared = 1 + (self.most + 1) // 4
+        self.blocks = self.most + 1 + self.empty + self.shared
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, sizes, "right") - 1
@@ -99,14 +100,15 @@ class Sets:
         return self.shingles[a:b]
 
     def parity(self) -> np.ndarray:
-        """Rows x PARITY / 8 bytes: the parity of the shingles that flip each bit."""
+        """Rows x PARITY / 64 numbers: the parity of the shingles that flip each bit."""
         bit = (self.shingles >> np.uint64(20)).astype(np.int64) % PARITY
         count = np.bincount(self.owners * PARITY + bit, minlength=len(self.sizes) * PARITY)
-        return np.packbits((count & 1).astype(np.uint8).reshape(-1, PARITY), axis=1)
+        bits = np.packbits((count & 1).astype(np.uint8).reshape(-1, PARITY), axis=1)
+        return bits.view(np.int64)
 
     def sketches(self, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sketches, their rows, and how many blocks may agree by chance, of every row that is
-        the first of its node."""
+        """Sketches, their rows, and how many of them similar sets share and need not, of every
+        row that is the first of its node."""
         first = np.unique(self.nodes, return_index=True)[1]
         chosen = np.zeros(len(self.nodes), bool)
         chosen[first] = True
@@ -135,10 +137,10 @@ class Sets:
             number = np.arange(total) - begin[rows]
             # empty blocks count only where there are more of them than may be left out
             empty = np.bincount(rows[~full], minlength=len(blocks))
-            kept = full | (empty > bands.spare[band])[rows]
+            kept = full | (empty > bands.empty[band])[rows]
             code = (band[rows] * 2 + 1).astype(np.uint64) << np.uint64(40)
             key = mix(sketch, code + number.astype(np.uint64))
-            out.append((key[kept], rows[kept], bands.spare[band][rows][kept]))
+            out.append((key[kept], rows[kept], bands.shared[band][rows][kept]))
         return tuple(np.concatenate(parts) for parts in zip(*out))
 
 
@@ -163,7 +165,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def nodes_of(texts: DataFrame, words: int) -> DataFrame:
-    """doc_id, text_hash, node, size, parity of every row; size 0 for a text without words."""
+    """doc_id, text_hash, node, size, parities of every row; size 0 for a text without words."""
     run_words = RUN_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,14 +177,13 @@ def nodes_of(texts: DataFrame, words: int) -> DataFrame:
                     pa.array(hashes, pa.int64()),
                     _signed(sets.nodes),
                     _signed(sets.sizes),
-                    pa.array([p.tobytes() for p in sets.parity()], pa.binary()),
+                    *(pa.array(column) for column in sets.parity().T),
                 ],
-                names=["doc_id", "text_hash", "node", "size", "parity"],
+                names=["doc_id", "text_hash", "node", "size", *PARITIES],
             )
 
-    return map_arrow(
-        texts, run, "doc_id long, text_hash long, node long, size long, parity binary"
-    )
+    names = ("doc_id", "text_hash", "node", "size", *PARITIES)
+    return map_arrow(texts, run, ", ".join(f"{name} long" for name in names))
 
 
 def shared_sketches(texts: DataFrame, words: int, percent: int, groups: int) -> DataFrame:
@@ -258,20 +259,19 @@ def shared_sketches(texts: DataFrame, words: int, percent: int, groups: int) ->
 
 
 def _hamming() -> Column:
-    """Bits in which the parities of a pair differ; taken in pieces of 8 bytes."""
-
-    def piece(name: str, i: int) -> Column:
-        return F.conv(F.hex(F.substring(name, 8 * i + 1, 8)), 16, -10).cast("long")
-
+    """Bits in which the parities of a pair differ."""
     return sum(
-        (
-            F.bit_count(piece("parity_a", i).bitwiseXOR(piece("parity_b", i)))
-            for i in range(PARITY // 64)
-        ),
-        F.lit(0),
+        (F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITIES), F.lit(0)
     )
 
 
+def _may_be_similar(percent: int) -> Column:
+    """Whether sizes and parities of a pair allow the similarity."""
+    a, b = F.col("size_a"), F.col("size_b")
+    allowed = F.floor((a + b) * (100 - percent) / F.lit(100 + percent))
+    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (_hamming() <= allowed)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: connected components of (a, b) pairs; the root is the smallest node.
 
@@ -321,7 +321,7 @@ class Join:
         self.nodes = written(
             self.spark,
             self.rows.where("size > 0").groupBy("node").agg(
-                F.first("size").alias("size"), F.first("parity").alias("parity")
+                *(F.first(c).alias(c) for c in ("size", *PARITIES))
             ),
             "distinct-sets",
         )
@@ -329,27 +329,20 @@ class Join:
         self.shared = written(self.spark, shared.distinct(), "shared-sketches")
         self.links = self.checked = None
 
+    def side(self, name: str) -> DataFrame:
+        """What a pair needs to know of its node ``name``."""
+        return self.nodes.select(
+            F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("size", *PARITIES))
+        )
+
     def possible(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs a < b whose sizes and parities allow the similarity; with the
-        distance of the parities."""
+        """Distinct pairs a < b that may be similar, with the distance of their parities."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = pairs.where("a < b").distinct()
-        for side in ("a", "b"):
-            pairs = pairs.join(
-                self.nodes.select(
-                    F.col("node").alias(side),
-                    F.col("size").alias(f"size_{side}"),
-                    F.col("parity").alias(f"parity_{side}"),
-                ),
-                side,
-            )
-        p = self.percent
-        allowed = F.floor((F.col("size_a") + F.col("size_b")) * (100 - p) / F.lit(100 + p))
-        return (
-            pairs.where(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * p)
-            .withColumn("distance", _hamming())
-            .where(F.col("distance") <= allowed)
-            .select("a", "b", "distance")
+        for name in ("a", "b"):
+            pairs = pairs.join(self.side(name), name)
+        return pairs.where(_may_be_similar(self.percent)).select(
+            "a", "b", _hamming().alias("distance")
         )
 
     def sets(self, pairs: DataFrame) -> DataFrame:
@@ -433,8 +426,8 @@ class Join:
         )
 
     def mixed(self, roots: DataFrame) -> DataFrame:
-        """Pairs (a, b) of different components with a common sketch; of frequent sketches,
-        the rarest that a set needs."""
+        """Distinct pairs (a, b) of different components that share a sketch and may be
+        similar; each set takes part with all but its most frequent sketches."""
         held = self.shared.join(roots, "node", "left").withColumn(
             "root", F.coalesce("root", "node")
         )
@@ -444,22 +437,26 @@ class Join:
             .where("low <> high")
             .select("sketch", "n")
         )
-        held = written(self.spark, held.join(spread, "sketch"), "mixed-sketches")
-        rare = held.where(F.col("n") <= FREQUENT_NODES)
-        often = held.where(F.col("n") > FREQUENT_NODES)
+        held = held.join(spread, "sketch")
         # a set's sketches of one band have the same number to spare
-        order = Window.partitionBy("node", "spare").orderBy("n", "sketch")
-        often = (
-            often.withColumn("place", F.row_number().over(order))
-            .withColumn("many", F.count("*").over(Window.partitionBy("node", "spare")))
+        own = Window.partitionBy("node", "spare")
+        used = (
+            held.withColumn("place", F.row_number().over(own.orderBy("n", "sketch")))
+            .withColumn("many", F.count("*").over(own))
             .where(F.col("place") <= F.col("many") - F.col("spare"))
+            .select("sketch", "node", "root")
         )
-        used = rare.select("sketch", "node", "root").unionByName(
-            often.select("sketch", "node", "root")
-        )
-        left = used.select("sketch", F.col("node").alias("a"), F.col("root").alias("root_a"))
-        right = used.select("sketch", F.col("node").alias("b"), F.col("root").alias("root_b"))
-        return left.join(right, "sketch").where("a < b AND root_a <> root_b").select("a", "b")
+        used = written(self.spark, used, "mixed-sketches")
+
+        def end(name: str) -> DataFrame:
+            ends = used.withColumnsRenamed({"node": name, "root": f"root_{name}"})
+            return ends.join(self.side(name), name)
+
+        apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
+        left, right = end("a"), end("b").withColumnRenamed("sketch", "sketch_b")
+        same = F.col("sketch") == F.col("sketch_b")
+        pairs = left.join(right, same & apart & _may_be_similar(self.percent))
+        return pairs.select("a", "b").distinct()
 
     def run(self) -> DataFrame:
         """node, root of all nodes that have a link."""
@@ -474,7 +471,7 @@ class Join:
         rest = self._apart(stars.select("a", "b").join(self.checked, ["a", "b"], "left_anti"), roots)
         roots = self._add(rest, sets, "rest-of-stars")
 
-        more = self.possible(self.mixed(roots)).select("a", "b")
+        more = self.mixed(roots)
         more = written(
             self.spark, more.join(self.checked, ["a", "b"], "left_anti"), "mixed-pairs"
         )

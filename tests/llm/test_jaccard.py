@@ -55,8 +55,7 @@ def test_components_equal_all_pairs(spark, seed, k, percent):
     same_partition(rows, found.collect(), k, percent)
 
 
-def test_frequent_sketches_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "FREQUENT_NODES", 2)
+def test_small_runs_and_groups_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "RUN_WORDS", 600)
     monkeypatch.setattr(jaccard, "GROUP_ROWS", 500)
     rows = rows_of_many_kinds(5)
@@ -81,8 +80,9 @@ def test_pigeonhole_has_room():
                 band_a, band_b = bands.of(jaccard.np.array([a, b]))
                 assert band_b - band_a in (0, 1)
                 differ = jaccard.most_different(a + b, percent)
-                spare = bands.blocks[band_b] - differ
-                assert spare >= 1 + 2 * bands.spare[band_b] or bands.most[band_b] == 0
+                agree = bands.blocks[band_b] - differ
+                least = 1 + bands.empty[band_b] + bands.shared[band_b]
+                assert agree >= least or bands.most[band_b] == 0
                 if bands.most[band_b] == 0:
                     assert differ == 0
 
