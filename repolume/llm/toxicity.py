@@ -76,7 +76,7 @@ class SubwordSoftmax:
     """Averaged n-gram embeddings under a softmax of two classes, by Adagrad."""
 
     def __init__(
-        self, dim: int = 8, epochs: int = 8, rate: float = 0.1, decay: float = 0.01,
+        self, dim: int = 8, epochs: int = 6, rate: float = 0.1, decay: float = 0.05,
         least: int = 3, seed: int = 7,
     ):
         self.dim, self.epochs, self.rate, self.seed = dim, epochs, rate, seed
