@@ -13,6 +13,7 @@ from repolume.llm.common import fold, table
 from repolume.llm.decontaminate import decontaminate
 from repolume.llm.jaccard import similar_documents
 from repolume.llm.licences import license_blocks
+from repolume.llm.oracles import ORACLES  # noqa: F401
 from repolume.llm.substrings import remove_repeats
 
 
@@ -125,5 +126,3 @@ QUERIES = {
     "op9_substrings": op9_substrings,
     "op10_toxicity": op10_toxicity,
 }
-
-ORACLES: dict[str, str] = {}
