@@ -37,6 +37,7 @@ WORDS, PERCENT = 5, 80  # unless a caller asks for others
 RUN_WORDS = 1_500_000  # words that a task works on at once
 GROUP_ROWS = 1_000_000  # sketches of one group
 PARITY = 512
+STARS = 4  # nodes drawn of each sketch in the second round
 PARITIES = [f"parity_{i}" for i in range(PARITY // 64)]
 
 
@@ -326,8 +327,13 @@ class Join:
             "distinct-sets",
         )
         shared = shared_sketches(self.texts, words, percent, self.groups)
-        self.shared = written(self.spark, shared.distinct(), "shared-sketches")
-        self.links = self.checked = None
+        shared = written(self.spark, shared.distinct(), "shared-sketches")
+        # similar sets share more sketches of a band than there are to spare
+        able = shared.groupBy("node", "spare").count().where("count > spare").drop("count")
+        shared = shared.join(able, ["node", "spare"], "left_semi")
+        self.shared = written(self.spark, shared, "needed-sketches")
+        self.sets = written(self.spark, self._sets(), "compared-sets")
+        self.roots = self.checked = None
 
     def side(self, name: str) -> DataFrame:
         """What a pair needs to know of its node ``name``."""
@@ -345,9 +351,9 @@ class Join:
             "a", "b", _hamming().alias("distance")
         )
 
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        """node, shingles (binary) of every node of the pairs, from one text of each."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def _sets(self) -> DataFrame:
+        """node, shingles (binary) of every node that may be compared, from one text of each."""
+        wanted = self.shared.select("node").distinct()
         keys = (
             self.rows.where("size > 0")
             .select("node", F.struct("doc_id", "text_hash").alias("k"))
@@ -375,11 +381,11 @@ class Join:
         # rows of equal id and text are one set
         return map_arrow(texts, run, "node long, shingles binary").dropDuplicates(["node"])
 
-    def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def verify(self, pairs: DataFrame) -> DataFrame:
         """a, b, similar: exact comparison of whole sets."""
         for side in ("a", "b"):
             pairs = pairs.join(
-                sets.select(F.col("node").alias(side), F.col("shingles").alias(f"set_{side}")), side
+                self.sets.select(F.col("node").alias(side), F.col("shingles").alias(f"set_{side}")), side
             )
         percent = self.percent
 
@@ -398,23 +404,16 @@ class Join:
         columns = pairs.select("a", "b", "set_a", "set_b")
         return map_arrow(columns, run, "a long, b long, similar boolean")
 
-    def _add(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-        """Verifies pairs and returns the components of all links so far."""
-        done = written(self.spark, self.verify(pairs, sets), name)
+    def _add(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Verifies pairs and returns the components of all links so far: those of the links
+        before, as stars, and the new links."""
+        done = written(self.spark, self.verify(pairs), name)
         links = done.where("similar").select("a", "b")
-        self.links = links if self.links is None else self.links.unionByName(links)
+        if self.roots is not None:
+            links = links.unionByName(self.roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         self.checked = done if self.checked is None else self.checked.unionByName(done)
-        return components(self.links)
-
-    @staticmethod
-    def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """Pairs whose nodes are not in one component yet."""
-        for side in ("a", "b"):
-            root = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-            pairs = pairs.join(root, side, "left").withColumn(
-                f"root_{side}", F.coalesce(f"root_{side}", side)
-            )
-        return pairs.where("root_a <> root_b").drop("root_a", "root_b")
+        self.roots = components(links)
+        return self.roots
 
     def stars(self) -> DataFrame:
         """Pairs (a, b): each node with the smallest of each of its sketches."""
@@ -425,9 +424,8 @@ class Join:
             .select("a", F.col("node").alias("b"))
         )
 
-    def mixed(self, roots: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b) of different components that share a sketch and may be
-        similar; each set takes part with all but its most frequent sketches."""
+    def mixed(self, roots: DataFrame, name: str) -> DataFrame:
+        """sketch, node, spare, root, n of the sketches that hold several components."""
         held = self.shared.join(roots, "node", "left").withColumn(
             "root", F.coalesce("root", "node")
         )
@@ -437,7 +435,44 @@ class Join:
             .where("low <> high")
             .select("sketch", "n")
         )
-        held = held.join(spread, "sketch")
+        return written(self.spark, held.join(spread, "sketch"), name)
+
+    def _met(self, left: DataFrame, right: DataFrame, among: bool = False) -> DataFrame:
+        """Distinct pairs of nodes with a common sketch, of different components, that may be
+        similar and have not been compared. ``among`` says that both sides are the same rows."""
+
+        def end(rows: DataFrame, name: str) -> DataFrame:
+            rows = rows.select(
+                F.col("sketch").alias(f"sketch_{name}"),
+                F.col("node").alias(name),
+                F.col("root").alias(f"root_{name}"),
+            )
+            return rows.join(self.side(name), name)
+
+        same = F.col("sketch_a") == F.col("sketch_b")
+        apart = F.col("root_a") != F.col("root_b")
+        if among:
+            apart &= F.col("a") < F.col("b")
+        pairs = end(left, "a").join(
+            end(right, "b"), same & apart & _may_be_similar(self.percent)
+        )
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return pairs.distinct().join(self.checked, ["a", "b"], "left_anti")
+
+    def more_stars(self, held: DataFrame) -> DataFrame:
+        """Pairs of each node with some nodes of each of its sketches, drawn by hashes."""
+        drawn = [
+            F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "root"))
+            for i in range(STARS)
+        ]
+        drawn.append(F.min(F.struct(F.col("node").alias("h"), "node", "root")))
+        centres = held.groupBy("sketch").agg(F.array_distinct(F.array(*drawn)).alias("c"))
+        centres = centres.select("sketch", F.inline("c")).select("sketch", "node", "root")
+        return self._met(centres.distinct(), held)
+
+    def all_pairs(self, held: DataFrame) -> DataFrame:
+        """Pairs of all nodes of each sketch; each set takes part with all but its most
+        frequent sketches."""
         # a set's sketches of one band have the same number to spare
         own = Window.partitionBy("node", "spare")
         used = (
@@ -447,38 +482,21 @@ class Join:
             .select("sketch", "node", "root")
         )
         used = written(self.spark, used, "mixed-sketches")
-
-        def end(name: str) -> DataFrame:
-            ends = used.withColumnsRenamed({"node": name, "root": f"root_{name}"})
-            return ends.join(self.side(name), name)
-
-        apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
-        left, right = end("a"), end("b").withColumnRenamed("sketch", "sketch_b")
-        same = F.col("sketch") == F.col("sketch_b")
-        pairs = left.join(right, same & apart & _may_be_similar(self.percent))
-        return pairs.select("a", "b").distinct()
+        return self._met(used, used, among=True)
 
     def run(self) -> DataFrame:
         """node, root of all nodes that have a link."""
         stars = written(self.spark, self.possible(self.stars()), "star-pairs")
-        sets = written(self.spark, self.sets(stars), "star-sets")
         # one partner for each node first: most of the other pairs then lie within a component
         ends = stars.select(F.col("a").alias("node"), "a", "b", "distance").unionByName(
             stars.select(F.col("b").alias("node"), "a", "b", "distance")
         )
         nearest = ends.groupBy("node").agg(F.min(F.struct("distance", "a", "b")).alias("p"))
-        roots = self._add(nearest.select("p.a", "p.b").distinct(), sets, "nearest")
-        rest = self._apart(stars.select("a", "b").join(self.checked, ["a", "b"], "left_anti"), roots)
-        roots = self._add(rest, sets, "rest-of-stars")
-
-        more = self.mixed(roots)
-        more = written(
-            self.spark, more.join(self.checked, ["a", "b"], "left_anti"), "mixed-pairs"
-        )
-        if not more.isEmpty():
-            sets = written(self.spark, self.sets(more), "mixed-sets")
-            roots = self._add(more, sets, "rest-of-sketches")
-        return roots
+        roots = self._add(nearest.select("p.a", "p.b").distinct(), "nearest")
+        roots = self._add(self.more_stars(self.mixed(roots, "mixed-once")), "more-stars")
+        rest = self.all_pairs(self.mixed(roots, "mixed-twice"))
+        rest = written(self.spark, rest, "rest-of-pairs")
+        return roots if rest.isEmpty() else self._add(rest, "rest")
 
 
 def similar_documents(
