@@ -103,12 +103,12 @@ def test_nothing_to_learn(spark):
     assert language.language(empty, language.fit_language(empty)).count() == 0
 
 
-def held(spark, query, label=None):
-    rows = query(spark, SF).where("held_out").collect()
+def held(spark, query, label=None, sf=SF):
+    rows = query(spark, sf).where("held_out").collect()
     if label is None:
-        truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+        truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     else:
-        truth = {r.doc_id: r[label] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+        truth = {r.doc_id: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     return [(r, truth[r.doc_id]) for r in rows if truth.get(r.doc_id) is not None]
 
 
@@ -126,11 +126,11 @@ def test_quality_query(spark):
 
 
 def test_toxicity_query(spark):
-    pairs = held(spark, queries.op10_toxicity, "toxic")
+    # the smaller tables have too few toxic texts to learn from
+    pairs = held(spark, queries.op10_toxicity, "toxic", "/root/testdata/sf0.1")
     toxic = [r.predicted for r, y in pairs if y == 1]
     clean = [r.predicted for r, y in pairs if y == 0]
-    # few are toxic at this scale, in training as well
-    assert np.mean(toxic) >= 0.5 and np.mean(clean) < 0.1
+    assert np.mean(toxic) > 0.7 and np.mean(clean) < 0.06
 
 
 def test_votes_equal_all_cosines():
