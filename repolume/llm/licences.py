@@ -1,22 +1,26 @@
 """License scans by conditional compression.
 
-Lines with a word of license language, and short gaps between them, form candidate blocks;
-they are found by a DataFrame expression over whole texts. Each block is compressed on its own
-and with each template as a raw dictionary of zstandard. The share of bytes that a template
-saves ranks the templates; the best ones are confirmed by their exact differences in wording:
-which words of the template are missing from the block, in order. A block that no template
-confirms is reported as unknown license language.
-
-All work on a block stays within its row; nothing is shuffled.
+Words of license language ("cues"; their parts may stand on different lines) mark a text. Around
+them, as far as the longest template reaches, every template is aligned with the words of the
+text, whatever the line breaks: a word of the template may be missing, and words of the text may
+come in between. An alignment counts if few words of the template are missing and if the aligned
+passage, compressed by zstandard with the template as a raw dictionary, is so much shorter than
+on its own. Passages that count are taken the longest template first, their words are set apart,
+and the search goes on in the rest until nothing more is found. Cues that are not near any
+passage found form blocks that are reported as unknown license language.
+
+All work on a text stays within its row; nothing is shuffled.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
 import uuid
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -90,15 +94,20 @@ TEMPLATES = {
     "Proprietary": ("All rights reserved.",),
 }
 CUES = (
-    r"(?i:licen[sc]e|copyright|warrant|public domain|all rights reserved|"
-    r"hereby granted|redistribut|sublicen|creative commons|\bCC BY\b|"
-    r"apache\.org|mozilla\.org|permission notice|merchantability)"
+    r"(?i:licen[sc]e|copyright|warrant|public[\W_]+domain|all[\W_]+rights[\W_]+reserved|"
+    r"hereby[\W_]+granted|redistribut|sublicen|creative[\W_]+commons|\bCC[\W_]+BY\b|"
+    r"apache\.org|mozilla\.org|permission[\W_]+notice|merchantability)"
 )
-GAP_LINES = 2  # lines without a cue that a block may bridge
-TRIED = 4  # templates that are confirmed by wording, best savings first
-LEAST_SAVED = 0.2  # share of the block's bytes
+GAP_LINES, GAP_WORDS = 2, 60  # between cues of one block: lines without a cue, and words
+LEAST_SAVED = 0.2  # share of the passage's bytes
+LONGEST = round(1 / LEAST_SAVED)  # a passage of more times the template's words can't save that
 MOST_MISSING = 0.1  # share of the template's words
-WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
+# Extra words that a missing word is worth: a close alignment first, then ones of fewer missing.
+WEIGHTS = (1, 10, 400)
+# A hyphen at the end of a line joins as one within a line does.
+WORD = re.compile(r"[^\W_]+(?:(?:[.']|-(?:\s*\n[\W_]*)?)[^\W_]+)*")
+WRAPPED = re.compile(r"-\s*\n[\W_]*")
+SCALE = 1 << 20  # of a packed cost: the missing words are below
 
 BLOCKS = (
     "doc_id long, first_line long, last_line long, license string, status string, "
@@ -106,85 +115,184 @@ BLOCKS = (
 )
 
 
-def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+def words_of(text: str) -> tuple[list[str], list[int]]:
+    """The words in lower case, and where they begin."""
+    words, starts = [], []
+    for m in WORD.finditer(text):
+        word = m[0].lower()
+        words.append(WRAPPED.sub("-", word) if "\n" in word else word)
+        starts.append(m.start())
+    return words, starts
 
 
-def blocks_of(lines: list[str], cue: re.Pattern) -> list[tuple[int, int]]:
-    """First and last line of each block."""
+def runs_of(places: list[int], near) -> list[tuple[int, int]]:
+    """First and last of each run of sorted places; ``near`` tells whether two are linked."""
     out: list = []
-    for i, line in enumerate(lines):
-        if cue.search(line):
-            if out and i - out[-1][1] - 1 <= GAP_LINES:
-                out[-1][1] = i
-            else:
-                out.append([i, i])
+    for i in places:
+        if out and near(out[-1][1], i):
+            out[-1][1] = i
+        else:
+            out.append([i, i])
     return [tuple(b) for b in out]
 
 
+def costs(wanted: np.ndarray, words: np.ndarray, weight: int) -> Iterator[np.ndarray]:
+    """For each beginning of ``wanted``, the least packed cost of aligning it with words that
+    end before each place: ``weight`` and 1 below for each missing word, 1 for each extra
+    word in between. Words before the first aligned one are free."""
+    n = len(words)
+    ramp = np.arange(n + 1, dtype=np.int64) * SCALE
+    row = np.zeros(n + 1, np.int64)
+    yield row
+    for w in wanted:
+        new = row + (weight * SCALE + 1)
+        new[1:] = np.where(words == w, np.minimum(new[1:], row[:-1]), new[1:])
+        row = np.minimum.accumulate(new - ramp) + ramp
+        yield row
+
+
+class Template:
+    def __init__(self, name: str, text: str, ids: dict[str, int]):
+        self.name = name
+        self.words = words_of(text)[0]
+        self.ids = np.array([ids.setdefault(w, len(ids)) for w in self.words])
+        self.needs = Counter(self.ids.tolist())
+        self.most_missing = int(MOST_MISSING * len(self.words))
+        # a dictionary of a few bytes is refused: it is repeated up to 64
+        data = " ".join(self.words).encode()
+        data *= -(-64 // len(data))
+        raw = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.compressor = zstandard.ZstdCompressor(level=9, dict_data=raw)
+
+    def may_hold(self, words: np.ndarray) -> bool:
+        """Whether enough of the template's words occur at all."""
+        have = Counter(words[words >= 0].tolist())
+        common = sum(min(n, have[w]) for w, n in self.needs.items())
+        return common >= len(self.words) - self.most_missing
+
+    def passages(self, words: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(begin, end, missing, extra, weight) of alignments that don't overlap."""
+        size, out = len(self.words), []
+        taken = np.zeros(len(words), bool)
+        for weight in WEIGHTS:
+            for last in costs(self.ids, words, weight):
+                pass
+            missing = last % SCALE
+            extra = last // SCALE - weight * missing
+            spans = size - missing + extra
+            ends = np.flatnonzero((missing <= self.most_missing) & (spans <= LONGEST * size))
+            for end in ends[np.argsort(last[ends], kind="stable")].tolist():
+                begin = end - int(spans[end])
+                if not taken[begin:end].any():
+                    taken[begin:end] = True
+                    out.append((begin, end, int(missing[end]), int(extra[end]), weight))
+        return out
+
+    def trace(self, words: np.ndarray, weight: int) -> tuple[list[int], list[str]]:
+        """Places of the aligned words, and the missing words, of a passage."""
+        rows = list(costs(self.ids, words, weight))
+        i, j = len(self.ids), len(words)
+        places, lost = [], []
+        while i:
+            if j and words[j - 1] == self.ids[i - 1] and rows[i][j] == rows[i - 1][j - 1]:
+                i, j = i - 1, j - 1
+                places.append(j)
+            elif rows[i][j] == rows[i - 1][j] + weight * SCALE + 1:
+                i -= 1
+                lost.append(self.words[i])
+            else:
+                j -= 1
+        return places[::-1], lost[::-1]
+
+
 class Matcher:
     def __init__(self, templates: dict[str, tuple[str, ...]]):
         self.cue = re.compile(CUES)
         self.plain = zstandard.ZstdCompressor(level=9)
-        self.templates = []
-        for name, texts in templates.items():
-            for text in texts:
-                words = words_of(text)
-                # a dictionary of a few bytes is refused: it is repeated up to 64
-                data = " ".join(words).encode()
-                data *= -(-64 // len(data))
-                raw = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                self.templates.append(
-                    (name, words, zstandard.ZstdCompressor(level=9, dict_data=raw))
-                )
-
-    def match(self, block: str) -> tuple[str, str, float, int, int, str]:
-        """License, status, saved share, missing and extra words, and the differing words."""
-        words = words_of(block)
+        self.ids: dict[str, int] = {}
+        self.templates = [
+            Template(name, text, self.ids) for name, texts in templates.items() for text in texts
+        ]
+        self.reach = LONGEST * max((len(t.words) for t in self.templates), default=0)
+
+    def saved(self, words: list[str], template: Template) -> float:
+        """Share of the bytes that the template saves."""
         data = " ".join(words).encode()
-        alone = len(self.plain.compress(data))
-        ranked = sorted(
-            (
-                (len(compressor.compress(data)) / alone, i)
-                for i, (_, _, compressor) in enumerate(self.templates)
-            ),
-        )
-        best = None
-        for size, i in ranked[:TRIED]:
-            if 1 - size < LEAST_SAVED:
+        return 1 - len(template.compressor.compress(data)) / len(self.plain.compress(data))
+
+    def notices(self, words: list[str]) -> Iterator[tuple]:
+        """(begin, end, license, status, saved, missing, extra, wording) of all notices."""
+        ids = np.array([self.ids.get(w, -1) for w in words], np.int64)
+        left = self.templates
+        while left := [t for t in left if t.may_hold(ids)]:
+            found = [
+                (missing - len(t.words), missing + extra, begin, k, end, missing, extra, weight)
+                for k, t in enumerate(left)
+                for begin, end, missing, extra, weight in t.passages(ids)
+            ]
+            taken, some = np.zeros(len(words), bool), False
+            for _, _, begin, k, end, missing, extra, weight in sorted(found):
+                if taken[begin:end].any():
+                    continue
+                # words of notices found before are no part of this one
+                own = [words[i] for i in range(begin, end) if ids[i] != -2]
+                share = self.saved(own, left[k])
+                if share < LEAST_SAVED:
+                    continue
+                places, lost = left[k].trace(ids[begin:end], weight)
+                taken[begin:end] = some = True
+                ids[[begin + p for p in places]] = -2
+                status = "variant" if missing or extra else "exact"
+                yield begin, end, left[k].name, status, share, missing, extra, " ".join(lost)
+            if not some:
                 break
-            name, wanted, _ = self.templates[i]
-            runs = difflib.SequenceMatcher(None, wanted, words, autojunk=False)
-            lost, at = [], 0
-            begin = end = None
-            for a, b, n in runs.get_matching_blocks():
-                lost += wanted[at:a]
-                at = a + n
-                if n:
-                    begin = b if begin is None else begin
-                    end = b + n
-            # words of the block between the first and the last that agree
-            extra = 0 if begin is None else (end - begin) - (len(wanted) - len(lost))
-            if len(lost) > MOST_MISSING * len(wanted):
-                continue
-            status = "variant" if lost or extra else "exact"
-            found = (len(lost) + extra, -len(wanted), (name, status, 1 - size, len(lost), extra, " ".join(lost)))
-            best = found if best is None or found < best else best
-        if best:
-            return best[2]
-        return "unknown", "unconfirmed", 1 - ranked[0][0], 0, 0, ""
+
+    def rows(self, text: str) -> list[tuple]:
+        """first_line, last_line and the other columns, of a text's notices and unknown blocks."""
+        words, starts = words_of(text)
+        ends = {p for m in self.cue.finditer(text) for p in (m.start(), m.end() - 1)}
+        cues = sorted({bisect_right(starts, p) - 1 for p in ends})
+        breaks = [m.start() for m in re.finditer("\n", text)]
+        out, held = [], []  # held: first and last word of each notice
+        for first, last in runs_of(cues, lambda a, b: b - a <= 2 * self.reach):
+            low = max(first - self.reach, 0)
+            for begin, end, *found in self.notices(words[low : last + self.reach + 1]):
+                held.append((low + begin, low + end - 1))
+                out.append((*held[-1], *found))
+        line = [bisect_left(breaks, start) for start in starts]
+        # a cue belongs to a notice that it is in a row with
+        marks = [(i, i, False) for i in cues] + [(first, last, True) for first, last in held]
+        blocks: list = []
+        for first, last, known in sorted(marks):
+            if (
+                blocks
+                and line[first] - line[blocks[-1][1]] - 1 <= GAP_LINES
+                and first - blocks[-1][1] <= GAP_WORDS
+            ):
+                blocks[-1][1:] = max(blocks[-1][1], last), blocks[-1][2] or known
+            else:
+                blocks.append([first, last, known])
+        lines = [(line[first], line[last], *found) for first, last, *found in out]
+        for first, last, known in blocks:
+            if not known:
+                low = max(first - GAP_WORDS, bisect_left(line, line[first]))
+                high = min(last + 1 + GAP_WORDS, bisect_right(line, line[last]))
+                share = max((self.saved(words[low:high], t) for t in self.templates), default=0.0)
+                lines.append((line[first], line[last], "unknown", "unconfirmed", share, 0, 0, ""))
+        return sorted(lines)
 
 
 def license_blocks(
     documents: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES
 ) -> DataFrame:
-    """One row per block of license language: doc_id, first_line, last_line (from 0), license
-    (``unknown`` if no template is confirmed), status (exact, variant, unconfirmed), saved
-    (share of bytes that the best template saves), missing and extra words, and the missing
-    wording.
+    """One row per notice found, and per block of license language without one near it: doc_id,
+    first_line, last_line (from 0), license (``unknown`` for such a block), status (exact,
+    variant, unconfirmed), saved (share of bytes that the template saves; of an unknown block,
+    the best one), missing and extra words, and the missing wording. Notices on one line, or
+    within words that another has in between, get rows of their own.
 
     Null and empty texts, and texts without license language, give no row. Repeated rows and
-    rows with a null id give rows of their own. Equal savings go by the order of templates.
+    rows with a null id give rows of their own. Equally good notices go by place, then by the order of templates.
     Only ``doc_id`` and ``text`` are read; other columns may have any name.
     """
     key = uuid.uuid4().hex
@@ -197,10 +305,7 @@ def license_blocks(
         for batch in batches:
             rows = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                lines = text.split("\n")
-                for first, last in blocks_of(lines, matcher.cue):
-                    found = matcher.match("\n".join(lines[first : last + 1]))
-                    rows.append((doc_id, first, last, *found))
+                rows += [(doc_id, *row) for row in matcher.rows(text)]
             names = [f.split()[0] for f in BLOCKS.split(", ")]
             kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
             types = [kinds[f.split()[1]] for f in BLOCKS.split(", ")]

@@ -1,5 +1,7 @@
 """License blocks: planted notices, variants, and texts without any."""
 
+import textwrap
+
 from repolume.llm import licences, queries
 from tests.llm.helpers import ODD_TEXTS, documents, prose
 
@@ -46,6 +48,27 @@ def test_variants_and_unknown_language(spark):
     assert [b.license for b in sorted(found[4], key=lambda b: b.first_line)] == ["MIT", "Proprietary"]
 
 
+def test_wrapped_notices(spark):
+    """Every template at 60 to 80 columns, plain and as a comment, with the blank lines of the
+    real files."""
+    rows, wanted = [], []
+    for name, texts in licences.TEMPLATES.items():
+        for text in texts:
+            for mark in ("conditions: ", "2.0. ", "License. ", "at ", "LICENSE-2.0 "):
+                if name in ("MIT", "Apache-2.0", "BSD-3-Clause"):
+                    text = text.replace(mark, mark.strip() + "\n\n")
+            for width in range(60, 81):
+                for prefix in ("", "# "):
+                    parts = [textwrap.fill(p, width - len(prefix)) for p in text.split("\n\n")]
+                    block = textwrap.indent("\n\n".join(parts), prefix, lambda line: True)
+                    rows.append((len(rows), f"Words before it.\n\n{block}\n\nand words\nafter it."))
+                    wanted.append((name, "exact", 2, 2 + block.count("\n")))
+    found = found_in(spark, rows)
+    for (i, text), name in zip(rows, wanted):
+        got = [(b.license, b.status, b.first_line, b.last_line) for b in found.get(i, [])]
+        assert got == [name], text
+
+
 def test_query_finds_every_known_notice(spark):
     sf_dir = "/root/testdata/sf0.01"
     notices = [t for texts in licences.TEMPLATES.values() for t in texts]
