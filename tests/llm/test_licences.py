@@ -69,6 +69,26 @@ def test_wrapped_notices(spark):
         assert got == [name], text
 
 
+def test_every_notice_of_a_block(spark):
+    """Notices on neighbouring lines, on one line, inside a long line, and one within another."""
+    every = [(name, t) for name, texts in licences.TEMPLATES.items() for t in texts]
+    names = sorted(name for name, _ in every)
+    words = " ".join(prose(5, 900))
+    apache = licences.TEMPLATES["Apache-2.0"][1]
+    texts = {
+        "All rights reserved.\nReleased under the MIT License.": ["MIT", "Proprietary"],
+        MIT + "\n\n" + apache: ["Apache-2.0", "MIT"],
+        "\n".join(t for _, t in every): names,
+        " ".join(t for _, t in every): names,
+        f"{MIT} {MIT}": ["MIT", "MIT"],
+        MIT.replace("subject to", "All rights reserved. subject to"): ["MIT", "Proprietary"],
+        f"{words} The license of this is not known. {words} {MIT}": ["MIT", "unknown"],
+    } | {f"{words} {t} {words}": [name] for name, t in every}
+    found = found_in(spark, list(enumerate(texts)))
+    for i, (text, wanted) in enumerate(texts.items()):
+        assert sorted(b.license for b in found.get(i, [])) == wanted, text
+
+
 def test_query_finds_every_known_notice(spark):
     sf_dir = "/root/testdata/sf0.01"
     notices = [t for texts in licences.TEMPLATES.values() for t in texts]
