@@ -14,6 +14,9 @@ Everything is a DataFrame expression: hashes of words and windows, sorted within
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +37,6 @@ CUTOFFS = {
 }
 
 GAP = r"[\x20\x09-\x0D]+"
-LOW_BITS = (1 << 28) - 1  # of a packed number: the place of a window
 
 
 def _combine(a: Column, b: Column) -> Column:
@@ -45,9 +47,10 @@ def features(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words,
     n_exclaims, n_capitals of every row; all 0 for a null text.
 
-    Repeated windows are found by sorting: a window's hash and place share one number, so
-    equal windows are neighbours. Arrays are combined pairwise, so no step looks back into
-    an array for each of its elements, and a text of n words takes n log n.
+    Repeated windows are found by sorting: by a window's hash, then its three words, then its
+    place, so equal windows are neighbours, and neighbours count as equal by their words.
+    Arrays are combined pairwise, so no step looks back into an array for each of its
+    elements, and a text of n words takes n log n.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = documents.select(F.col("doc_id").cast("long"), text.alias("text"))
@@ -66,36 +69,38 @@ def features(documents: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        "words",
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
-    plain = df.columns[:-1]
+    plain = df.columns[:-2]
     inner = F.greatest(F.size("hashes") - 2, F.lit(0))
     pairs = F.zip_with(
         F.slice("hashes", F.lit(1), inner), F.slice("hashes", F.lit(2), inner), _combine
     )
     df = df.select(
         *plain,
-        F.zip_with(pairs, F.slice("hashes", F.lit(3), inner), _combine).alias("windows"),
+        F.zip_with(pairs, F.slice("hashes", F.lit(3), inner), _combine).alias("hash"),
+        *(F.slice("words", F.lit(i + 1), inner).alias(c) for i, c in enumerate("abc")),
     )
-    some = F.size("windows") > F.size(F.array_distinct("windows"))
-    packed = F.transform(
-        "windows",
-        lambda x, i: x.bitwiseAND(F.lit(~LOW_BITS)).bitwiseOR(i.cast("long")),
+    some = F.size("hash") > F.size(F.array_distinct("hash"))
+    parts = ("hash", *"abc")
+    windows = F.transform(
+        F.arrays_zip(*parts),
+        lambda x, i: F.struct(*(x[p].alias(p) for p in parts), i.cast("long").alias("place")),
     )
-    df = df.select(*plain, F.when(some, F.sort_array(packed)).alias("sorted"))
+    df = df.select(*plain, F.when(some, F.sort_array(windows)).alias("sorted"))
     count = F.size("sorted")
-    none = F.array(F.lit(None).cast("long"))
-    same = F.zip_with(  # with the one before
+    after = F.zip_with(  # same as the one after
         "sorted",
-        F.concat(none, F.slice("sorted", F.lit(1), count - 1)),
-        lambda a, b: F.coalesce(a.bitwiseXOR(b).between(0, LOW_BITS), F.lit(False)),
+        F.slice("sorted", F.lit(2), count),
+        lambda x, y: F.coalesce(reduce(and_, (x[p] == y[p] for p in parts)), F.lit(False)),
     )
-    df = df.select(*plain, "sorted", same.alias("same"))
-    after = F.concat(F.slice("same", F.lit(2), count), F.array(F.lit(False)))
+    df = df.select(*plain, "sorted", after.alias("after"))
+    same = F.concat(F.array(F.lit(False)), F.slice("after", F.lit(1), count - 1))
     places = F.zip_with(
         "sorted",
-        F.zip_with("same", after, lambda a, b: a | b),
-        lambda s, twice: F.when(twice, s.bitwiseAND(F.lit(LOW_BITS))).otherwise(F.lit(-1)),
+        F.zip_with(same, "after", lambda a, b: a | b),
+        lambda s, twice: F.when(twice, s["place"]).otherwise(F.lit(-1)),
     )
     df = df.select(
         *plain, F.sort_array(F.array_remove(places, F.lit(-1).cast("long"))).alias("places")

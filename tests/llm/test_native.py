@@ -199,6 +199,19 @@ def test_base_features_equal_scan(spark):
     assert sorted((str(r[0]), *r[1:]) for r in got) == expected
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_windows_are_compared_by_their_words(spark, monkeypatch, weak):
+    """Windows whose hashes agree in the upper 36 bits, or that have one of five hashes, beside
+    real repeats."""
+    if weak:
+        monkeypatch.setattr(rules, "_combine", lambda a, b: F.pmod(a, F.lit(5)))
+    alike = [f"n{i + k}" for i in (77721, 447884, 372556, 987053) for k in range(3)]
+    rows = [(1, " ".join(alike + ["x y z"] * 2)), (2, " ".join(prose(7, 900, 9) + alike))]
+    rows += [(3, " ".join(alike)), (4, " ".join(prose(8, 300)))]
+    found = rules.features(documents(spark, rows)).select("doc_id", "n_repeat_words").collect()
+    assert {r[0]: r[1] for r in found} == {i: rule_base(t)[4] for i, t in rows}
+
+
 @pytest.mark.parametrize("k, n, rate", [(0, 1, 0.1), (0, 900, 0.01), (3, 50, 0.02), (40, 5000, 0.01)])
 def test_binomial_is_exact(spark, k, n, rate):
     row = spark.range(1).select(
