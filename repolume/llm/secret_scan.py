@@ -32,6 +32,24 @@ class Rule:
     least: int = 1
 
 
+# A private key runs to its END line with no other such line in between. Where that is missing,
+# it is the base64 after the header, in lines of 16 characters or more and a last one of any
+# length, whatever marks the lines begin with, escaped line ends included. Expressions are such
+# that three engines agree: without looking ahead, without large counts in counts. Java nests
+# once for each turn of a group of varying length, so these have a limit: 400 dashes on the way
+# to END; without END 200 lines, beside any number of plain ones of 64, 70 or 76 characters.
+_NAME = r"[A-Z0-9\x20]*PRIVATE\x20KEY(?:\x20BLOCK)?-*"
+_MARKS = r"[\x20\x09-\x0D\\>#*|\"',;-]*"
+_BASE64 = r"[A-Za-z0-9+/]"
+_TO_END = rf"[^-]*(?:--?-?-?[^-]+){{0,400}}-----+END\x20{_NAME}"
+_HEADERS = rf"(?:{_MARKS}(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[^\n\\]*){{0,20}}"
+_LINE = rf"{_MARKS}{_BASE64}{{16,}}=?=?"
+_PLAIN = "".join(
+    rf"(?:{end}{_BASE64}{{{n}}})*{_BASE64}*" for end in (r"\n", r"\r\n", r"\\n") for n in (76, 70, 64)
+)
+_LAST = rf"(?:{_MARKS}{_BASE64}{{0,15}}==?|{_MARKS}{_BASE64}{{1,15}}(?:[\x09-\x0D\\]|$))?"
+_LINES = rf"{_HEADERS}{_LINE}{_PLAIN}{f'(?:{_LINE})?' * 200}{_LAST}(?:{_MARKS}={_BASE64}{{4}})?"
+
 BASE_RULES = (
     Rule(
         "assign",
@@ -44,14 +62,15 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY"),
+    Rule("private_key", rf"-----BEGIN\x20{_NAME}(?:{_TO_END}|{_LINES}|)"),
     Rule("code_host", r"(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("payment", r"(?:sk|rk)_(?:live|test)_[0-9A-Za-z]{16,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("bearer", r"[Bb]earer\x20+[A-Za-z0-9._~+/-]{20,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"),
+    # a longer scheme is matched by its end
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/:@]{3,}@"),
 )
 RULES = BASE_RULES + MORE_RULES
 
