@@ -115,9 +115,10 @@ def occurrences(documents: DataFrame, wanted: DataFrame, sizes: list[int]) -> Da
     """doc_id, text_hash, n_words, q, place, shingle: for every row one with place -1, and
     one for each shingle that the benchmark has. ``wanted`` has (q, shingle)."""
     few = wanted.count() <= BROADCAST_SHINGLES
-    docs = documents.select(
-        F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")
-    ).withColumn("text_hash", F.xxhash64("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = documents.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn(
+        "text_hash", F.xxhash64("text")
+    )
     out = None
     for q in sizes:
         own = wanted.where(F.col("q") == q).select("shingle", F.lit(True).alias("known"))

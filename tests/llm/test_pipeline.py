@@ -92,6 +92,18 @@ def test_stages_take_odd_rows(spark):
             assert name == "packing" or out.columns == docs.columns
 
 
+def test_stages_keep_odd_rows(spark):
+    """Null and empty texts, texts without words and null ids stay in the stages that have
+    nothing to say about them; of texts with words, one of each."""
+    rows = list(enumerate(ODD_TEXTS)) + [(None, "null id"), (None, None), (1, None), (3, "one")]
+    docs = documents(spark, rows, clashing=True)
+    for stage in (corpus_pipeline.drop_benchmark, corpus_pipeline.redact_secrets):
+        got = [(r.doc_id, r.text) for r in stage(spark, docs, SF).collect()]
+        assert sorted(got, key=str) == sorted(rows, key=str)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(rows[:-1], key=str)
+
+
 def test_run(spark):
     kept = {r.doc_id: r.text for r in staged(spark, 4).collect()}
     rows = corpus_pipeline.run(spark, SF).collect()
