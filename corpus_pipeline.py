@@ -35,10 +35,10 @@ def _joined(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose score says label 0: score below 0.5. The labelled vectors are
+    """Drops documents that the classifier rejects, at its own cutoff. The labelled vectors are
     fitted on the documents of this stage."""
     model = qualities.fit_quality(docs, table(spark, sf_dir, "labels"))
-    return qualities.keep_good(docs, model, threshold=0.5)
+    return qualities.keep_good(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

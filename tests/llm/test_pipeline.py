@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from repolume.llm import packing
+from repolume.llm import packing, queries
 from tests.llm.helpers import (
     ODD_TEXTS,
     base_spans,
@@ -36,6 +36,15 @@ def test_quality_stage_keeps_clean_documents(spark):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.4
 
 
+def test_quality_stage_keeps_what_the_classifier_keeps(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.filter_quality(spark, docs, sf_dir).collect()}
+    judged = queries.op5_quality(spark, sf_dir).collect()
+    assert any(0.5 <= r.score < 0.7 for r in judged)
+    assert kept == {r.doc_id for r in judged if r.predicted}
+
+
 def near_rows():
     base = prose(1, 100)
     texts = [" ".join(base), " ".join(base[:97] + ["x"]), "apart " + " ".join(prose(2, 50))]
