@@ -214,7 +214,8 @@ def fit_language(
     documents: DataFrame, per_language: int = PER_LANGUAGE, path: str | None = None
 ) -> PieceUnigrams:
     """Learns from rows with text and language whose crc32(doc_id) modulo 3 is not 1, at most
-    ``per_language`` of each language, whole texts."""
+    ``per_language`` of each of the ``LANGUAGES`` most frequent languages, whole texts but for
+    runs of more than ``LONGEST_LEARNT`` letters."""
     path = path or public_tokenizers.path(VOCABULARY)
     spark = documents.sparkSession
     known = documents.where(
