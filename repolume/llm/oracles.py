@@ -89,9 +89,27 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
  sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)"""
 
+NEGATIVES = """WITH v AS MATERIALIZED (
+ SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS c
+ FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: coalesce(NOT isfinite(x), true))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+  CAST(list_inner_product(a.c, b.c) AS BIGINT) AS score
+ FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+ QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT anchor_id, positive_id, positive_score, id AS negative_id, score AS negative_score,
+  row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS rank
+ FROM p JOIN s USING (anchor_id) WHERE NOT same
+  AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score,
+ negative_score FROM n WHERE rank <= 10"""
+
 ORACLES = {
     "op4_jaccard": JACCARD,
     "op6_decontaminate": DECONTAMINATE,
     "op7_secrets": SECRETS,
     "op9_substrings": SUBSTRINGS,
+    "op11_negatives": NEGATIVES,
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolume.llm import language as languages
-from repolume.llm import packing, secret_scan, toxicity
+from repolume.llm import matching, negatives, packing, periods, secret_scan, toxicity
 from repolume.llm import quality as qualities
 from repolume.llm import rules as quality_rules
 from repolume.llm.common import fold, table
@@ -114,6 +114,60 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", label.alias("label"), negatives.whole_cells(F.col("embedding"), 256).alias("cells")
+    )
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def with_planted_periods(documents: DataFrame) -> DataFrame:
+    """doc_id, text: in a tenth of the documents, by a hash of the id, the words from a place on
+    repeat with a period that is about a third to a tenth of what follows."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = documents.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("w"))
+    rows = rows.withColumn("n", F.size("w").cast("long")).withColumn("g", F.floor(F.col("h") / 10))
+    rows = rows.withColumn("a", F.expr("g % n")).withColumn(
+        "p", F.expr("1 + (n - a) div (3 + g % 8)")
+    )
+    again = F.expr("transform(w, (x, i) -> if(i < a, x, w[CAST(a + (i - a) % p AS INT)]))")
+    planted = F.col("w").isNotNull() & (F.col("n") > 0)
+    return rows.select(
+        "doc_id", F.when(planted, F.array_join(again, " ")).otherwise(F.col("text")).alias("text")
+    )
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    # the greatest length / period: compared by whole numbers, first by what a milli tells apart
+    best = F.expr(
+        """aggregate(runs, CAST(null AS struct<start:long,length:long,period:long>), (b, r) ->
+             CASE WHEN b IS NULL OR r.length * b.period > b.length * r.period
+                    OR (r.length * b.period = b.length * r.period
+                        AND (r.start < b.start OR (r.start = b.start AND r.period < b.period)))
+                  THEN r ELSE b END)"""
+    )
+    lines = F.transform(
+        "runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))
+    )
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.text_scores(table(spark, sf_dir, "documents"), fold("doc_id", 10) == 0)
+
+
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_licenses": op2_licenses,
@@ -125,4 +179,7 @@ QUERIES = {
     "op8_rules": op8_rules,
     "op9_substrings": op9_substrings,
     "op10_toxicity": op10_toxicity,
+    "op11_negatives": op11_negatives,
+    "op12_periods": op12_periods,
+    "op13_matching": op13_matching,
 }
