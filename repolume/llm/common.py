@@ -22,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def written(
+    spark: SparkSession, df: DataFrame, name: str, compression: str | None = None
+) -> DataFrame:
     """The rows of ``df``, kept as a table in the shared folder: computed once, and safe
     from the loss of an executor."""
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

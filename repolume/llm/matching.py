@@ -30,10 +30,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolume.llm.common import map_arrow, ship, written
@@ -62,10 +63,10 @@ def grams_of(data: np.ndarray, sizes: np.ndarray, order: int) -> np.ndarray:
     of ``order + 1`` bytes for each byte of a piece without its context."""
     if not len(sizes):
         return np.zeros(0, np.uint64)
-    codes = np.zeros(len(data) - order, np.uint64)
-    for k in range(order + 1):
-        np.left_shift(codes, np.uint64(8), out=codes)
-        np.bitwise_or(codes, data[k : len(data) - order + k], out=codes)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    # the eight bytes from each place on, of which the first are the gram
+    eight = np.ndarray((len(data) - order,), ">u8", padded, strides=(1,))
+    codes = eight.astype(np.uint64) >> np.uint64(64 - 8 * (order + 1))
     # windows that end in a context belong to no piece
     keep = np.ones(len(codes), bool)
     begins = np.cumsum(sizes)[:-1]
@@ -338,23 +339,25 @@ def text_scores(documents: DataFrame, held_out: Column, order: int = ORDER) -> D
         raise ValueError("order is 1 to 6")
     spark = documents.sparkSession
     runs = written(spark, runs_of(documents, held_out, order), "text-runs")
-    asked = written(spark, asked_of(runs, order), "asked-grams")
+    asked = written(spark, asked_of(runs, order), "asked-grams", "zstd")
     grams, words = asked.where("gram IS NOT NULL"), asked.where("word IS NOT NULL")
 
     counts = written(spark, grams.groupBy("gram").agg(F.sum("n").alias("n")), "gram-counts")
     values = written(spark, trie_of(counts, order), "gram-values")
-    known = written(spark, words.groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
-    total = known.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    tokens = total["n"] or 0
-    whole = tokens + SMOOTH * (total["v"] + 1)
-
+    tokens = words.agg(F.sum("n")).first()[0] or 0
+    # a word has a row for each run; one of them counts it among the distinct words
+    same = Window.partitionBy("word")
     none = F.lit(None)
     told = (
         grams.join(values, "gram")
-        .select("run", "gram", none.cast("binary").alias("word"), "value")
+        .select("run", "gram", none.cast("binary").alias("word"), "value", F.lit(False).alias("first"))
         .unionByName(
-            words.join(known, "word").select(
-                "run", none.cast("long").alias("gram"), "word", F.col("c").cast("double").alias("value")
+            words.select(
+                "run",
+                none.cast("long").alias("gram"),
+                "word",
+                F.sum("n").over(same).cast("double").alias("value"),
+                (F.col("run") == F.min("run").over(same)).alias("first"),
             )
         )
     )
@@ -365,14 +368,14 @@ def text_scores(documents: DataFrame, held_out: Column, order: int = ORDER) -> D
         )
         is_gram = told_.column("gram").is_valid()
         of_grams = told_.filter(is_gram)
-        keys = of_grams.column("gram").to_numpy().astype(np.uint64)
-        order_of = np.argsort(keys)
-        keys, logs = keys[order_of], of_grams.column("value").to_numpy()[order_of]
+        keys = pd.Index(of_grams.column("gram").to_numpy())
+        logs = of_grams.column("value").to_numpy()
         of_words = told_.filter(told_.column("word").is_valid())
-        count = dict(
-            zip(of_words.column("word").to_pylist(), of_words.column("value").to_pylist())
-        )
-        of_word = {word: math.log10((c + SMOOTH) / whole) for word, c in count.items()}
+        place = {word: i for i, word in enumerate(of_words.column("word").to_pylist())}
+        count = of_words.column("value").to_numpy()
+        log_counts = np.log10(count + SMOOTH)
+        fresh = np.zeros(len(sizes), np.int64)
+        fresh[0] = int((of_words.column("first").to_numpy() & (count > 0)).sum())
         data = np.frombuffer(text, np.uint8)
         ends = np.cumsum(sizes)
         scores = np.zeros(len(sizes))
@@ -381,15 +384,21 @@ def text_scores(documents: DataFrame, held_out: Column, order: int = ORDER) -> D
             begin = int(ends[at] - sizes[at])
             to = max(at + 1, int(np.searchsorted(ends, begin + SCORED_BYTES, "right")))
             codes = grams_of(data[begin : int(ends[to - 1])], sizes[at:to], order)
-            found = logs[np.searchsorted(keys, codes)]
+            found = logs[keys.get_indexer(codes.view(np.int64))]
             many = sizes[at:to] - order  # at least one byte, or the end
             scores[at:to] = np.add.reduceat(found, np.cumsum(many) - many)
             at = to
-        base, n_tokens, n_known = [], [], []
+        n_tokens, places = [], []
         for words in _words(text, sizes, last, order):
-            base.append(math.fsum(map(of_word.__getitem__, words)))
             n_tokens.append(len(words))
-            n_known.append(sum(count[word] > 0 for word in words))
+            places.append(np.fromiter(map(place.__getitem__, words), np.int64, len(words)))
+        base, n_known = np.zeros(len(sizes)), np.zeros(len(sizes), np.int64)
+        some = np.flatnonzero(n_tokens)
+        if len(some):
+            flat, many = np.concatenate(places), np.array(n_tokens)[some]
+            starts = np.cumsum(many) - many
+            base[some] = np.add.reduceat(log_counts[flat], starts)
+            n_known[some] = np.add.reduceat((count[flat] > 0).astype(np.int64), starts)
         return pa.table(
             {
                 "row": pa.array(row, pa.int64()),
@@ -399,15 +408,19 @@ def text_scores(documents: DataFrame, held_out: Column, order: int = ORDER) -> D
                 "n_known": pa.array(n_known, pa.int64()),
                 "base_score": pa.array(base, pa.float64()),
                 "score": pa.array(scores, pa.float64()),
+                "fresh": pa.array(fresh, pa.int64()),
             }
         )
 
     ship(spark)
     schema = (
         "row long, doc_id long, held_out boolean, n_tokens long, n_known long, "
-        "base_score double, score double"
+        "base_score double, score double, fresh long"
     )
     pieces = runs.groupBy("run").cogroup(told.groupBy("run")).applyInArrow(score, schema)
+    pieces = written(spark, pieces, "piece-scores")
+    distinct = pieces.agg(F.sum("fresh")).first()[0] or 0
+    whole = math.log10(tokens + SMOOTH * (distinct + 1))
     added = ("n_tokens", "n_known", "base_score", "score")
     texts = pieces.groupBy("row", "doc_id", "held_out").agg(*(F.sum(c).alias(c) for c in added))
     return texts.select(
@@ -416,6 +429,6 @@ def text_scores(documents: DataFrame, held_out: Column, order: int = ORDER) -> D
         "n_tokens",
         "n_known",
         F.lit(tokens).cast("long").alias("train_tokens"),
-        "base_score",
+        (F.col("base_score") - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
         "score",
     )
