@@ -15,6 +15,7 @@ crosses white space; so each distinct word is encoded once for each worker.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -40,7 +41,9 @@ PIECES = (
 
 
 class WordTokens:
-    """Ids of each distinct word met so far, as little-endian unsigned 32-bit numbers."""
+    """Ids of each distinct word met so far, as little-endian unsigned 32-bit numbers.
+
+    Of the words known, those that were not met again while as many others were learnt go."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -49,55 +52,72 @@ class WordTokens:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.ends = np.array([name.endswith("</w>") for name in names])
+        probe = self.tokenizer.encode("some words", add_special_tokens=False).ids
+        if self.ends[probe].sum() != 2:
+            raise ValueError(f"{path}: its pieces do not mark the ends of words by </w>")
         self.known: dict[bytes, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4") for e in found]
 
-    def _learn_stems(self, stems: list[str]) -> None:
-        """Runs of ASCII letters are encoded many at a time, parted by spaces: each is one run
-        of the pre-tokenizer, and ends in the only piece of it that marks an end."""
-        many = [" ".join(stems[i : i + 500]) for i in range(0, len(stems), 500)]
-        for text, ids in zip(many, self._ids(many)):
-            words, data = text.split(" "), ids.tobytes()
+    def _learn_letters(self, words: list[bytes]) -> None:
+        """Runs of letters are encoded many at a time, parted by spaces: each is one run of the
+        pre-tokenizer, and ends in the only piece of it that marks an end. The few letters
+        whose small form is more than one letter part a run; then each word is encoded alone."""
+        many = [words[i : i + 500] for i in range(0, len(words), 500)]
+        for part, ids in zip(many, self._ids([b" ".join(part).decode() for part in many])):
+            data = ids.tobytes()
             ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            assert len(ends) == len(words)
-            self.stems.update(zip(words, map(data.__getitem__, map(slice, [0] + ends, ends))))
+            if len(ends) == len(part):
+                self.known.update(zip(part, map(data.__getitem__, map(slice, [0] + ends, ends))))
+            else:
+                self._learn_others(part, self.known)
+
+    def _learn_others(self, words: list[bytes], known: dict[bytes, bytes]) -> None:
+        known.update(zip(words, (i.tobytes() for i in self._ids([w.decode() for w in words]))))
 
     def _learn(self, words: set[bytes]) -> None:
         # A run of letters and a run of other marks after it are parted by the
-        # pre-tokenizer, so an ASCII word is its lower-case letters, then its marks.
-        letters, others, parted = set(), set(), []
-        for word in words:
+        # pre-tokenizer, so a word is its letters, then its marks.
+        letters = {w for w in words if w.isalpha()}  # of bytes: ASCII letters only
+        marked, others = [], []
+        for word in words - letters:
             stem = word.rstrip(PLAIN_MARKS)
-            if stem.isalpha():  # of bytes: ASCII letters only
-                parted.append((word, low := stem.lower().decode(), end := word[len(stem) :].decode()))
-                if low not in self.stems:
-                    letters.add(low)
-                if end not in self.stems:
-                    others.add(end)
+            if stem.isalpha() or stem.decode().isalpha():
+                marked.append((word, stem, word[len(stem) :]))
             else:
-                parted.append((word, whole := word.decode(), ""))
-                others.add(whole)
-        self._learn_stems(list(letters))
-        rest = list(others)
-        self.stems.update(zip(rest, (ids.tobytes() for ids in self._ids(rest))))
-        for word, stem, marks in parted:
-            self.known[word] = self.stems[stem] + self.stems[marks]
+                others.append(word)
+        letters.update({stem for _, stem, _ in marked}.difference(self.known))
+        self._learn_letters(list(letters))
+        self._learn_others(others, self.known)
+        self._learn_others(list({m for _, _, m in marked}.difference(self.marks)), self.marks)
+        known, marks = self.known, self.marks
+        known.update([(word, known[stem] + marks[mark]) for word, stem, mark in marked])
 
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """Ids of each text, given in UTF-8."""
         for at in range(0, len(texts), 500):
-            parts = [(t or b"").split() for t in texts[at : at + 500]]
-            if len(self.known) > KEPT_WORDS:
-                self.known, self.stems = {}, {}
-            self._learn({w for p in parts for w in p}.difference(self.known))
+            parts = [_plain(t).split() for t in texts[at : at + 500]]
+            if len(self.known) > KEPT_WORDS // 2:
+                self.known, self.before, self.marks = {}, self.known, {}
+            missing = set(chain.from_iterable(parts)).difference(self.known)
+            old = {w: self.before[w] for w in missing if w in self.before}
+            self.known.update(old)
+            self._learn(missing.difference(old))
             for part in parts:
                 yield b"".join(map(self.known.__getitem__, part))
 
 
+def _plain(text: bytes | None) -> bytes:
+    """A-Z in lower case, as the vocabulary has them; not where that could make a name of a
+    special token."""
+    text = text or b""
+    return text if b"<|" in text else text.lower()
+
+
 def balanced(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
     """Sequences, each a list of (piece, from, to): pieces in order of falling cost, each to
     the cheapest sequence with room; what has no room anywhere is cut over those with room.
