@@ -34,7 +34,7 @@ from repolume.llm.common import map_arrow, worker_state, written
 from repolume.llm.hashing import WordHashes, arrays_of, blob_of, mix, pieces, prefix_hashes
 
 WORDS, PERCENT = 5, 80  # unless a caller asks for others
-RUN_WORDS = 1_500_000  # words that a task works on at once
+RUN_WORDS, RUN_ROWS = 500_000, 20_000  # words and texts that a task works on at once
 GROUP_ROWS = 1_000_000  # sketches of one group
 PARITY = 512
 STARS = 4  # nodes drawn of each sketch in the second round
@@ -102,10 +102,12 @@ class Sets:
 
     def parity(self) -> np.ndarray:
         """Rows x PARITY / 64 numbers: the parity of the shingles that flip each bit."""
-        bit = (self.shingles >> np.uint64(20)).astype(np.int64) % PARITY
-        count = np.bincount(self.owners * PARITY + bit, minlength=len(self.sizes) * PARITY)
-        bits = np.packbits((count & 1).astype(np.uint8).reshape(-1, PARITY), axis=1)
-        return bits.view(np.int64)
+        bit = (self.shingles >> np.uint64(20)) % np.uint64(PARITY)
+        per_row = PARITY // 64
+        out = np.zeros(len(self.sizes) * per_row, np.uint64)
+        place = self.owners * per_row + (bit >> np.uint64(6)).astype(np.int64)
+        np.bitwise_xor.at(out, place, np.uint64(1) << (bit & np.uint64(63)))
+        return out.reshape(-1, per_row).view(np.int64)
 
     def sketches(self, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sketches, their rows, and how many of them similar sets share and need not, of every
@@ -146,7 +148,8 @@ class Sets:
 
 
 def _texts(batches: Iterator[pa.RecordBatch], words: int, most: int) -> Iterator[tuple[list, Sets]]:
-    """Runs of rows: what stands before the text, and the sets. A-Z count as lower case."""
+    """Runs of rows: what stands before the text, and the sets. A-Z count as lower case. A run
+    ends at ``most`` words or ``RUN_ROWS`` rows."""
     hashes = worker_state("jaccard-words", WordHashes)
     rows, texts, held = [], [], 0
     for batch in batches:
@@ -154,7 +157,7 @@ def _texts(batches: Iterator[pa.RecordBatch], words: int, most: int) -> Iterator
             rows.append(row)
             texts.append(hashes.of((text or b"").lower()))
             held += len(texts[-1])
-            if held >= most:
+            if held >= most or len(rows) >= RUN_ROWS:
                 yield rows, Sets(texts, words)
                 rows, texts, held = [], [], 0
     if rows:

@@ -1,7 +1,10 @@
 """The similarity join against all pairs."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from repolume.llm import jaccard, queries
@@ -108,3 +111,34 @@ def test_query_equals_all_pairs(spark):
         for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     ]
     same_partition(rows, queries.op4_jaccard(spark, sf_dir).collect(), 4, 85)
+
+
+def test_parity_is_that_of_the_shingles():
+    rng = np.random.default_rng(1)
+    sets = jaccard.Sets([rng.integers(0, 1 << 62, n).astype(np.uint64) for n in (0, 3, 40, 900)], 5)
+    parity = sets.parity().view(np.uint64)
+    for row in range(4):
+        bits = [0] * jaccard.PARITY
+        for shingle in sets.set_of(row).tolist():
+            bits[(shingle >> 20) % jaccard.PARITY] ^= 1
+        got = [int(parity[row, i // 64] >> np.uint64(i % 64)) & 1 for i in range(jaccard.PARITY)]
+        assert got == bits
+
+
+@pytest.mark.parametrize("text", [b"", b" \n", None, b"word"])
+def test_many_short_texts_end_a_run(text):
+    """Rows end a run as words do, so a partition of texts without words stays small."""
+    count = 120_000
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(count)), pa.array([0] * count), pa.array([text] * count, pa.binary())],
+        names=["doc_id", "text_hash", "text"],
+    )
+    tracemalloc.start()
+    rows = 0
+    for run, sets in jaccard._texts(iter([batch]), 5, jaccard.RUN_WORDS):
+        assert len(run) <= jaccard.RUN_ROWS
+        assert sets.parity().shape == (len(run), jaccard.PARITY // 64)
+        rows += len(run)
+    assert rows == count
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
