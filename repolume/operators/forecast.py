@@ -85,7 +85,7 @@ def fit(series: DataFrame, yearly: bool | str = "auto") -> DataFrame:
     )
 
 
-def _whole(value: Column) -> Column:
+def whole_count(value: Column) -> Column:
     """A count: not negative, truncated; values a rounding error below a whole
     number count as it."""
     return F.floor(F.round(F.greatest(F.lit(0.0), value), 6)).cast("double")
@@ -124,9 +124,9 @@ def _predicted(fitted: DataFrame, dates: Column, training_date: AsOf) -> DataFra
     return days.withColumn("yhat", yhat).select(
         "repository",
         "forecast_date",
-        _whole(F.col("yhat")).alias("predicted_events"),
-        _whole(F.col("yhat") - half).alias("lower_bound"),
-        _whole(F.col("yhat") + half).alias("upper_bound"),
+        whole_count(F.col("yhat")).alias("predicted_events"),
+        whole_count(F.col("yhat") - half).alias("lower_bound"),
+        whole_count(F.col("yhat") + half).alias("upper_bound"),
         F.lit(MODEL_TYPE).alias("model_type"),
         F.lit(as_datetime(training_date).date()).alias("training_date"),
     )
@@ -142,9 +142,14 @@ def backtest(
     edge = days_before(as_of, holdout).replace(hour=0, minute=0, second=0, microsecond=0)
     first, last = F.lit(edge.date()), F.lit(as_datetime(as_of).date())
     series = training_series(events, repos)
-    actual = series.where(F.col("ds").between(first, last)).withColumnRenamed("ds", "forecast_date")
     fitted = fit(series.where(F.col("ds") < first), yearly)
     predicted = _predicted(fitted, F.sequence(first, last), as_of)
+    return forecast_errors(predicted, series.where(F.col("ds").between(first, last)))
+
+
+def forecast_errors(predicted: DataFrame, actual: DataFrame) -> DataFrame:
+    """days, mae, coverage of each repository's forecast rows beside its series of counts."""
+    actual = actual.withColumnRenamed("ds", "forecast_date")
     both = predicted.join(actual, ["repository", "forecast_date"], "left")
     inside = F.col("y").between(F.col("lower_bound"), F.col("upper_bound"))
     return both.groupBy("repository").agg(

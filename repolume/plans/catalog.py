@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolume.operators import (
+    additive,
     anomalies,
     ci,
     classifier,
@@ -330,6 +331,22 @@ def forecast_repos_plain(spark: SparkSession, d: str) -> DataFrame:
     return forecast.forecast_repos(t.ci_runs(spark, d), AS_OF_CI, yearly=False)
 
 
+on_events("forecast_additive", additive.forecast_additive, AS_OF)
+on_events("forecast_additive_backtest", additive.backtest, AS_OF)
+
+
+@register
+def forecast_additive_yearly(spark: SparkSession, d: str) -> DataFrame:
+    """Over years of runs, with the yearly waves."""
+    return additive.forecast_additive(t.ci_runs(spark, d), AS_OF_CI)
+
+
+@register
+def forecast_additive_changes(spark: SparkSession, d: str) -> DataFrame:
+    rows = additive.trend_changes(t.ci_runs(spark, d))
+    return rows.withColumn("slope_change", F.round("slope_change", 6))
+
+
 def _stored_forecasts(spark: SparkSession, d: str) -> str:
     path = new_path(spark, "forecasts")
     store.append_forecasts(forecast.forecast_repos(t.activity(spark, d), AS_OF), path)

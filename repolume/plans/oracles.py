@@ -5,6 +5,7 @@ Written independently of the operators: plain SQL over the driver's tables.
 
 from __future__ import annotations
 
+from repolume.plans import additive_sql
 from repolume.plans.tables import (
     AS_OF,
     AS_OF_CI,
@@ -87,6 +88,10 @@ def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
 
+def _recursive(*parts: str) -> str:
+    return _with(*parts).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _events(body: str) -> str:
     return _with(ACTIVITY, body)
 
@@ -527,6 +532,24 @@ FROM forecast f LEFT JOIN (SELECT repo_name AS repository, CAST(created_at AS DA
 ON a.repository = f.repository AND a.d = f.forecast_date
 WHERE f.forecast_date <= DATE '2024-01-31'
 GROUP BY 1""",
+    ),
+    "forecast_additive": _recursive(
+        ACTIVITY, additive_sql.fitted("activity"), additive_sql.forecast(NOW), "SELECT * FROM forecast"
+    ),
+    "forecast_additive_yearly": _recursive(
+        CI_RUNS, additive_sql.fitted("ci_runs"), additive_sql.forecast(CI_NOW), "SELECT * FROM forecast"
+    ),
+    "forecast_additive_changes": _recursive(
+        CI_RUNS, additive_sql.fitted("ci_runs"), additive_sql.changes()
+    ),
+    "forecast_additive_backtest": _recursive(
+        ACTIVITY,
+        additive_sql.fitted("activity", "ds < DATE '2024-01-24'"),
+        additive_sql.forecast(NOW, "CAST(DATE '2024-01-23' + CAST(i AS INT) AS DATE)"),
+        """SELECT f.repository, count(y) AS days, avg(abs(y - predicted_events)) AS mae,
+ count_if(y BETWEEN lower_bound AND upper_bound) / nullif(count(y), 0) AS coverage
+FROM forecast f LEFT JOIN day a ON a.repository = f.repository AND a.ds = f.forecast_date
+WHERE f.forecast_date <= DATE '2024-01-31' GROUP BY 1""",
     ),
     "forecast_lookup": _with(ACTIVITY, FORECASTS, """SELECT repository, forecast_date,
  predicted_events AS predicted FROM forecasts"""),
