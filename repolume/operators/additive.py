@@ -34,6 +34,7 @@ from repolume.operators.forecast import (
     training_series,
     whole_count,
 )
+from repolume.workers import ship
 
 MODEL_TYPE = "additive"
 CHANGES, CHANGE_RANGE = 25, 0.8
@@ -130,6 +131,7 @@ def fit(series: DataFrame) -> DataFrame:
                 [names, *arrays], names=[f.split()[0] for f in FITTED.split(", ")]
             )
 
+    ship(series.sparkSession)
     return histories.mapInArrow(run, FITTED)
 
 

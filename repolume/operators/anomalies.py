@@ -188,6 +188,7 @@ def data_diagnostics(
         return F.col("created_at") >= time_literal(df, "created_at", days_before(as_of, days))
 
     closed = (F.col("state") == "closed") & F.col("closed_at").isNotNull()
+    # The nine names of the numbers.
     counts = [
         events.agg(
             F.count("*").alias("Total events"),

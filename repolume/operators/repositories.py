@@ -159,6 +159,11 @@ def developer_velocity(
         distinct_count(day(F.col("created_at")), approx).alias("active_days"),
         F.count("*").alias("all_events"),
     )
+    return rated_velocity(counted)
+
+
+def rated_velocity(counted: DataFrame) -> DataFrame:
+    """The counts of each repository with events per active day and the score."""
     per_day = counted.withColumn(
         "events_per_day", round2(F.col("all_events") / F.col("active_days"))
     ).drop("all_events")
@@ -203,6 +208,11 @@ def community_health(
         F.sum("prs").alias("total_prs"),
         day(F.min("first")).alias("first_event_date"),
     )
+    return rated_health(per_repo)
+
+
+def rated_health(per_repo: DataFrame) -> DataFrame:
+    """The totals of each repository with retention and the score."""
     rated = per_repo.withColumn(
         "contributor_retention_rate",
         round2(scores.percent(F.col("recent_contributors"), F.col("total_contributors"))),
@@ -228,6 +238,11 @@ def trending_repositories(
         F.count_if(_type_is("WatchEvent")).alias("new_stars"),
         F.count_if(_type_is("ForkEvent")).alias("new_forks"),
     )
+    return rated_trends(counted, days, limit)
+
+
+def rated_trends(counted: DataFrame, days: int, limit: int) -> DataFrame:
+    """The highest trend scores of the counts of each repository."""
     points = F.col("new_stars") * 3 + F.col("new_forks") * 2 + F.col("contributor_count")
     return (
         counted.withColumn("daily_avg_events", round2(F.col("event_count") / days))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +29,11 @@ from repolume.plans.tables import (
     AS_OF_ISSUES_TODAY,
     AS_OF_TODAY,
 )
-from repolume.sources import feeds, sqlentry, thresholds
+from repolume import schema
+from repolume.sources import feeds, keyindex, sqlentry, thresholds
+from repolume.sources import issues as issue_store
 from repolume.sources import tables as store
-from repolume.streaming import ingest, rollup
+from repolume.streaming import actors, ingest, limits, rollup
 from repolume.workspace import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +54,33 @@ def register(query: Query) -> Query:
     return query
 
 
+def _state_of(spark: SparkSession, d: str, *tables: str) -> tuple:
+    """What some tables are just now: names, lengths and times of their files."""
+    state = [spark.sparkContext.applicationId]
+    for name in tables:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        files = files.load(f"{d}/{name}.parquet")
+        seen = F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))
+        state.append(files.agg(seen).first()[0])
+    return tuple(state)
+
+
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _kept(
+    spark: SparkSession, d: str, name: str, build: Callable[[str], None], tables: tuple = ("events",)
+) -> str:
+    """The path of a table that several queries read and none changes: written once for an
+    application, while the files that it is made of are the same."""
+    state = (name, *_state_of(spark, d, *tables))
+    if state not in _WRITTEN or not store.file_exists(spark, _WRITTEN[state]):
+        path = new_path(spark, name)
+        build(path)
+        _WRITTEN[state] = path
+    return _WRITTEN[state]
+
+
 def on_events(name: str, operator, *args, **kwargs) -> None:
     """Register an operator whose only table is the activity table."""
     QUERIES[name] = lambda spark, d: operator(t.activity(spark, d), *args, **kwargs)
@@ -95,6 +125,20 @@ on_events("hourly_activity", traffic.hourly_activity, RANGE_START, RANGE_END)
 on_events("release_annotations", traffic.release_annotations, AS_OF)
 
 
+@register
+def repository_stats_approx(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate contributors beside the exact count: within five times the stated error of
+    1 % (and one contributor)."""
+    events = t.activity(spark, d)
+    exact = repositories.repository_stats(events).select(
+        "repo_name", F.col("unique_contributors").alias("exact_contributors")
+    )
+    both = repositories.repository_stats(events, approx=True).join(exact, "repo_name")
+    off = F.abs(F.col("unique_contributors") - F.col("exact_contributors"))
+    within = off <= F.greatest(F.lit(1.0), 0.05 * F.col("exact_contributors"))
+    return both.select("repo_name", "total_events", "exact_contributors", within.alias("within"))
+
+
 @register
 def repository_profile(spark: SparkSession, d: str) -> DataFrame:
     profile = repositories.repository_profile(t.activity(spark, d))
@@ -239,15 +283,13 @@ def daily_anomalies(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("threshold", F.round("threshold", 6))
 
 
-def _quiet_but_one_day(spark: SparkSession, d: str) -> DataFrame:
-    """The events of one day, and of the other days every twentieth: a day that stands out."""
-    busy = F.to_date("created_at") == F.lit("2024-01-15").cast("date")
-    return t.activity(spark, d).where(busy | (F.col("id").cast("bigint") % 20 == 0))
-
-
 @register
 def daily_anomalies_flagged(spark: SparkSession, d: str) -> DataFrame:
-    rows = anomalies.daily_anomalies(_quiet_but_one_day(spark, d), AS_OF)
+    """All events, those of one day six times: a day that stands out."""
+    events = t.activity(spark, d)
+    busy = events.where(F.to_date("created_at") == F.lit("2024-01-15").cast("date"))
+    copies = busy.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(5)))).drop("_copy")
+    rows = anomalies.daily_anomalies(events.unionByName(copies), AS_OF)
     return rows.withColumn("threshold", F.round("threshold", 6))
 
 
@@ -386,23 +428,13 @@ def forecast_vs_actual_wide(spark: SparkSession, d: str) -> DataFrame:
 # --- classifier ----------------------------------------------------------------
 
 _MODELS: dict[tuple, PipelineModel] = {}
-
-
-def _state_of(spark: SparkSession, d: str) -> tuple:
-    """What the training data is just now: names, lengths and times of its files."""
-    state = [spark.sparkContext.applicationId]
-    for name in ("documents", "events", "labels"):
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        files = files.load(f"{d}/{name}.parquet")
-        seen = F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))
-        state.append(files.agg(seen).first()[0])
-    return tuple(state)
+_MODEL_TABLES = ("documents", "events", "labels")
 
 
 def trained_model(spark: SparkSession, d: str, fresh: bool = False) -> PipelineModel:
     """The classifier of a data set: fitted on the training part, saved and loaded. The
     queries that only apply it share it while the files of the data are the same."""
-    state = _state_of(spark, d)
+    state = _state_of(spark, d, *_MODEL_TABLES)
     if fresh or state not in _MODELS:
         rows = classifier.in_valid_classes(classifier.training_rows(t.issues(spark, d)))
         train_part = classifier.with_split(rows).where("split = 'train'")
@@ -560,6 +592,24 @@ def store_issues(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("labels", F.array_join("labels", ","))
 
 
+@register
+def store_issues_on_read(spark: SparkSession, d: str) -> DataFrame:
+    """The same fetches kept beside a base table, folded after the second, read after the
+    late one."""
+    path = new_path(spark, "issue-fetches")
+    fetched = feeds.normalize_issues(t.raw_issue_feed(spark, d))
+    first = fetched.withColumns(
+        {"state": F.lit("open"), "closed_at": F.lit(None).cast("timestamp")}
+    )
+    for fetch_id, rows in ((0, first), (1, fetched.where("state = 'closed'"))):
+        issue_store.append_fetch(rows, path, fetch_id)
+    issue_store.fold_fetches(spark, path, buckets=8)
+    issue_store.append_fetch(first, path, 0)
+    rows = issue_store.read_issues(spark, path).select(*feeds.ISSUE_COLUMNS)
+    rows = _plain_time(rows, "created_at", "closed_at")
+    return rows.withColumn("labels", F.array_join("labels", ","))
+
+
 @register
 def export_issues(spark: SparkSession, d: str) -> DataFrame:
     target = new_path(spark, "export")
@@ -633,7 +683,8 @@ def _load(spark: SparkSession, d: str, load: int, loads: int) -> DataFrame:
 def backup_restore_by_load(spark: SparkSession, d: str) -> DataFrame:
     """Backed up, restored twice to a new place, and a load repeated there."""
     folder, restored = new_path(spark, "backups"), new_path(spark, "restored")
-    backup = store.backup_table(spark.read.parquet(_loaded_events(spark, d, 3)), folder, AS_OF)
+    path = _loaded_events(spark, d, 3)
+    backup = store.backup_table(spark.read.parquet(path), folder, AS_OF, path)
     for _ in range(2):
         store.restore_table(spark, backup, restored)
     store.append_events(_load(spark, d, 1, 3), restored, load_id=1)
@@ -650,6 +701,50 @@ def compact_then_replay(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).select(*feeds.EVENT_COLUMNS)
 
 
+@register
+def compact_events_then_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Compacted to a new place, and a merged load repeated there."""
+    target = new_path(spark, "compacted")
+    store.compact_events(spark, _loaded_events(spark, d, 3), target)
+    store.append_events(_load(spark, d, 1, 3), target, load_id=1)
+    return spark.read.parquet(target).select(*feeds.EVENT_COLUMNS)
+
+
+@register
+def compact_restore_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Compacted in place, backed up, restored elsewhere and to a place that has the loads as
+    they came; a merged load repeated in both, of which the second is returned."""
+    path, folder = _loaded_events(spark, d), new_path(spark, "backups")
+    other, plain = new_path(spark, "restored"), _loaded_events(spark, d)
+    store.compact_in_place(spark, path, new_path(spark, "staging"))
+    backup = store.backup_table(spark.read.parquet(path), folder, AS_OF, path)
+    for where in (other, plain):
+        store.restore_table(spark, backup, where)
+        store.append_events(_load(spark, d, 2, 6), where, load_id=2)
+    rows = [spark.read.parquet(where).select(*feeds.EVENT_COLUMNS) for where in (other, plain)]
+    # what is in one of them alone would make a row more
+    return rows[1].unionByName(rows[0].exceptAll(rows[1]))
+
+
+@register
+def delete_by_key_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """One repository deleted by the index of keys, with a load that came after indexing."""
+    path, index = _loaded_events(spark, d, 2), new_path(spark, "key-index")
+    keyindex.index_table(spark, path, index)
+    store.append_events(_load(spark, d, 1, 2), path, load_id=1)
+    keyindex.delete_keys(spark, path, index, "repo_name", [FORECAST_REPO])
+    return spark.read.parquet(path).select(*feeds.EVENT_COLUMNS)
+
+
+@register
+def events_by_key(spark: SparkSession, d: str) -> DataFrame:
+    """The events of two repositories and an unknown one, by the index of keys."""
+    path, index = _loaded_events(spark, d, 2), new_path(spark, "key-index")
+    keyindex.index_table(spark, path, index)
+    names = [FORECAST_REPO, "org1/repo5", "no/such"]
+    return keyindex.rows_of_keys(spark, path, index, "repo_name", names).select(*feeds.EVENT_COLUMNS)
+
+
 @register
 def delete_by_key(spark: SparkSession, d: str) -> DataFrame:
     path = _loaded_events(spark, d, 2)
@@ -680,6 +775,41 @@ def table_sizes(spark: SparkSession, d: str) -> DataFrame:
     return store.table_sizes(spark, {name: f"{d}/{name}.parquet" for name in names})
 
 
+@register
+def table_rows(spark: SparkSession, d: str) -> DataFrame:
+    names = ["events", "documents", "labels", "orders", "lineitem"]
+    return store.table_rows(spark, {name: f"{d}/{name}.parquet" for name in names})
+
+
+@register
+def created_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Tables created, filled by the jobs that load them, and counted by SQL."""
+    database, folder = f"created_{uuid4().hex}", new_path(spark, "created")
+    schema.create_tables(spark, database, folder)
+    try:
+        events = t.activity(spark, d)
+        store.append_events(events, f"{folder}/events", load_id=0)
+        rollup.append_delta(rollup.rollup_delta(events), f"{folder}/daily_summary", load_id=0)
+        store.append_forecasts(forecast.forecast_repos(events, AS_OF), f"{folder}/forecasts")
+        issues_ = feeds.normalize_issues(t.raw_issue_feed(spark, d))
+        store.store_issues(issues_, f"{folder}/issues", 0, buckets=4)
+        schema.refresh_tables(spark, database)
+        parts = [
+            f"SELECT '{name}' AS table, count(*) AS rows, {total} AS total FROM {database}.{name}"
+            for name, total in (
+                ("events", "count(DISTINCT id)"),
+                ("daily_summary", "sum(event_count)"),
+                ("forecasts", "count(DISTINCT repository)"),
+                ("issues", "count(DISTINCT id)"),
+                ("releases", "count(id)"),
+            )
+        ]
+        counted = spark.sql(" UNION ALL ".join(parts)).collect()  # five rows
+    finally:
+        spark.sql(f"DROP DATABASE {database} CASCADE")
+    return spark.createDataFrame(counted, "table string, rows bigint, total bigint")
+
+
 @register
 def thresholds_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "thresholds")
@@ -706,10 +836,42 @@ def sql_params(spark: SparkSession, d: str) -> DataFrame:
 
 def _stored_rollup(spark: SparkSession, d: str) -> DataFrame:
     """The rollup after four loads, an event's load being its id modulo 4."""
-    path = new_path(spark, "rollup")
-    events = t.activity(spark, d).withColumn("load_id", F.col("id").cast("bigint") % 4)
-    rollup.append_delta(rollup.rollup_delta(events, "load_id"), path)
-    return spark.read.parquet(path)
+
+    def build(path: str) -> None:
+        events = t.activity(spark, d).withColumn("load_id", F.col("id").cast("bigint") % 4)
+        rollup.append_delta(rollup.rollup_delta(events, "load_id"), path)
+
+    return spark.read.parquet(_kept(spark, d, "rollup", build))
+
+
+def _stored_actors(spark: SparkSession, d: str) -> DataFrame:
+    """The rollup of actors after four loads."""
+
+    def build(path: str) -> None:
+        events = t.activity(spark, d).withColumn("load_id", F.col("id").cast("bigint") % 4)
+        rollup.append_delta(actors.actor_delta(events, "load_id"), path)
+
+    return spark.read.parquet(_kept(spark, d, "actors", build))
+
+
+@register
+def developer_velocity_from_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return actors.velocity_from_rollup(_stored_actors(spark, d), AS_OF)
+
+
+@register
+def community_health_from_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return actors.health_from_rollup(_stored_actors(spark, d), AS_OF)
+
+
+@register
+def trending_from_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return actors.trending_from_rollup(_stored_actors(spark, d), AS_OF)
+
+
+@register
+def contributor_flow(spark: SparkSession, d: str) -> DataFrame:
+    return actors.contributor_flow(_stored_actors(spark, d), AS_OF)
 
 
 @register
@@ -825,3 +987,47 @@ def stream_dedup_rollup(spark: SparkSession, d: str) -> DataFrame:
         part.write.mode("append").text(landing)
         ingest.stream_ingest(spark, landing, *paths, once=True)
     return rollup.merged_rollup(spark.read.parquet(paths[1]))
+
+
+# --- limits that follow the feeds ----------------------------------------------
+
+
+def _streamed_days(spark: SparkSession, d: str) -> DataFrame:
+    """Daily counts of both feeds as a stream keeps them; each event comes twice, the newest
+    files first."""
+
+    def build(path: str) -> None:
+        landing, raw = new_path(spark, "landed"), new_path(spark, "counts")
+        events = limits.event_rows(t.activity(spark, d))
+        rows = events.unionByName(limits.issue_rows(t.issues(spark, d)))
+        rows.write.parquet(f"{landing}/part=0")
+        rows.where("part < 3").write.parquet(f"{landing}/part=1")
+        stream = (
+            spark.readStream.schema(rows.schema)
+            .option("maxFilesPerTrigger", 4)
+            .option("latestFirst", True)
+            .parquet(f"{landing}/part=*")
+        )
+        limits.stream_counts(stream, raw, new_path(spark, "checkpoint"))
+        limits.daily_totals(spark.read.parquet(raw)).write.parquet(path)
+
+    tables = ("events", "documents", "labels")
+    return spark.read.parquet(_kept(spark, d, "day-counts", build, tables))
+
+
+@register
+def stream_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    row = limits.limits_from_days(_streamed_days(spark, d), AS_OF)
+    return row.select(*[F.round(c, 6).alias(c) for c in row.columns])
+
+
+@register
+def stream_health(spark: SparkSession, d: str) -> DataFrame:
+    rows = limits.health_from_days(_streamed_days(spark, d), AS_OF_TODAY)
+    return rows.withColumns({c: F.round(c, 6) for c in ("current", "threshold")})
+
+
+@register
+def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
+    rows = limits.alerts_from_days(_streamed_days(spark, d), AS_OF)
+    return rows.withColumn("threshold", F.round("threshold", 6))

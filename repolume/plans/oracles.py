@@ -446,9 +446,11 @@ GROUP BY 1 ORDER BY count DESC, label LIMIT 10"""),
     WHERE {_recent(1, ISSUES_TODAY)}), 15.0::DOUBLE""")
     ),
     "daily_anomalies_flagged": _events("""SELECT time, events, round(e, 6) AS threshold,
- events > e AS is_anomaly FROM (SELECT CAST(created_at AS DATE) AS time, count(*) AS events,
-  avg(count(*)) OVER () + 3 * stddev_pop(count(*)) OVER () AS e FROM activity
-  WHERE CAST(created_at AS DATE) = DATE '2024-01-15' OR CAST(id AS BIGINT) % 20 = 0 GROUP BY 1)"""),
+ events > e AS is_anomaly FROM (SELECT time, n AS events,
+  avg(n) OVER () + 3 * stddev_pop(n) OVER () AS e
+  FROM (SELECT CAST(created_at AS DATE) AS time,
+    count(*) * CASE WHEN CAST(created_at AS DATE) = DATE '2024-01-15' THEN 6 ELSE 1 END AS n
+   FROM activity GROUP BY CAST(created_at AS DATE)))"""),
     "daily_anomalies_of_repos": _with(
         ACTIVITY,
         ISSUES,
@@ -656,3 +658,47 @@ FROM (SELECT id, labels[1] AS label, count(*) OVER (PARTITION BY labels[1]) AS n
   FROM issue WHERE len(labels) > 0)
 WHERE n >= 30 AND substr(md5(CAST(id AS VARCHAR) || ':42'), 1, 2) < '33'"""),
 }
+
+# Queries that reach the rows of another by other means: from the rollup, from the state of a
+# stream, from tables that were compacted, restored or merged on read.
+ORACLES |= {
+    name: ORACLES[same]
+    for name, same in {
+        "developer_velocity_from_rollup": "developer_velocity",
+        "community_health_from_rollup": "community_health",
+        "trending_from_rollup": "trending_repositories",
+        "stream_thresholds": "dynamic_thresholds",
+        "stream_health": "system_health",
+        "stream_alerts": "daily_anomalies",
+        "store_issues_on_read": "store_issues",
+        "compact_events_then_replay": "compact_events",
+        "compact_restore_replay": "compact_events",
+        "delete_by_key_indexed": "delete_by_key",
+    }.items()
+}
+
+ORACLES |= {
+    "events_by_key": _events(
+        f"SELECT {EVENT_ROW} FROM activity WHERE repo_name IN ('org0/repo0', 'org1/repo5')"
+    ),
+    "contributor_flow": _events(f"""SELECT repo_name,
+ count(*) FILTER (a) AS before, count(*) FILTER (b) AS during, count(*) FILTER (a AND b) AS retained,
+ count(*) FILTER (b AND NOT a) AS joined, count(*) FILTER (a AND NOT b) AS left
+FROM (SELECT repo_name, actor_login, bool_or(created_at < {NOW} - INTERVAL 7 DAY) AS a,
+  bool_or(created_at >= {NOW} - INTERVAL 7 DAY) AS b
+ FROM activity WHERE created_at >= {NOW} - INTERVAL 14 DAY AND created_at < {NOW} GROUP BY 1, 2)
+GROUP BY 1"""),
+    "repository_stats_approx": _events("""SELECT repo_name, count(*) AS total_events,
+ count(DISTINCT actor_login) AS exact_contributors, true AS within FROM activity GROUP BY 1"""),
+    "table_rows": " UNION ALL ".join(
+        f"SELECT '{name}' AS table, count(*) AS rows FROM {name}"
+        for name in ("events", "documents", "labels", "orders", "lineitem")
+    ),
+    "created_tables": _with(ACTIVITY, ISSUES, """SELECT 'events' AS table, count(*) AS rows,
+ count(DISTINCT id) AS total FROM activity
+UNION ALL SELECT 'daily_summary', count(*), CAST(sum(n) AS BIGINT) FROM (SELECT count(*) AS n
+ FROM activity GROUP BY CAST(created_at AS DATE), repo_name, type)
+UNION ALL SELECT 'forecasts', 30 * count(DISTINCT repo_name), count(DISTINCT repo_name) FROM activity
+UNION ALL SELECT 'issues', count(*), count(DISTINCT id) FROM issue WHERE number % 7 <> 0
+UNION ALL SELECT 'releases', 0, 0"""),
+}

@@ -7,7 +7,9 @@ only. A table is written in one of the two ways throughout.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from repolume.functions.timecols import AsOf, as_datetime, days_before, month_key, time_literal
@@ -22,6 +24,8 @@ LOAD = "load_id"
 # Beside the months: which loads compaction has merged. Spark reads no folder with this sign.
 MERGED_LOADS = "_merged_loads"
 _MERGED = f"{MONTH} int, {LOAD} bigint, merged_into bigint"
+# Beside the buckets of a table of issues: how many there are.
+BUCKETS = "_buckets"
 
 
 def _has_rows(df: DataFrame) -> bool:
@@ -74,14 +78,27 @@ def replace_partitions(rows: DataFrame, path: str) -> None:
     )
 
 
+def merged_loads(spark: SparkSession, path: str) -> DataFrame:
+    """Month, load and the load that compaction has merged it into, of the table at ``path``."""
+    if MERGED_LOADS not in folders(spark, path):
+        return spark.createDataFrame([], _MERGED)
+    return spark.read.schema(_MERGED).parquet(f"{path}/{MERGED_LOADS}").distinct()
+
+
 def merged_months(spark: SparkSession, path: str, load_id: int) -> list[int]:
     """The months in which compaction has merged a load."""
-    if MERGED_LOADS not in _folders(spark, path):
+    if MERGED_LOADS not in folders(spark, path):
         return []
-    merged = spark.read.schema(_MERGED).parquet(f"{path}/{MERGED_LOADS}")
+    merged = merged_loads(spark, path)
     return [r[0] for r in merged.where(F.col(LOAD) == load_id).select(MONTH).distinct().collect()]
 
 
+def _list_merged(merged: DataFrame, path: str, mode: str) -> None:
+    """Add to the list of merged loads of the table at ``path``; nothing, if there are none."""
+    if _has_rows(merged):
+        merged.coalesce(1).write.mode(mode).parquet(f"{path}/{MERGED_LOADS}")
+
+
 def append_rows(rows: DataFrame, path: str) -> None:
     """Append to a table without partitions (issues, forecasts, predictions)."""
     rows.write.mode("append").parquet(path)
@@ -107,10 +124,13 @@ def store_issues(issues: DataFrame, path: str, fetch_id: int, buckets: int = 64)
     """Put fetched issues into the issue table, one row per id: that of the latest fetch.
 
     The table is kept in ``buckets`` partitions by a hash of the id; only those that a fetch
-    touches are read and rewritten. A repeated fetch replaces its own rows, an earlier one
-    that comes late replaces none.
+    touches are read and rewritten. Their number stays with the table, and another one is
+    refused, as it would part the rows of an id. A repeated fetch replaces its own rows, an
+    earlier one that comes late replaces none. ``sources.issues`` keeps fetches beside the
+    table instead, for fetches that are small beside it.
     """
     spark = issues.sparkSession
+    _keep_buckets(spark, path, buckets)
     bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
     rows = issues.withColumn("fetch_id", F.lit(fetch_id).cast("bigint")).withColumn(
         "bucket", bucket
@@ -132,10 +152,38 @@ def store_issues(issues: DataFrame, path: str, fetch_id: int, buckets: int = 64)
     )
 
 
-def backup_table(table: DataFrame, folder: str, as_of: AsOf) -> str:
-    """Copy a table, in its partitions, to a folder named by date and time; return its path."""
+def _keep_buckets(spark: SparkSession, path: str, buckets: int) -> None:
+    """Note the number of buckets of a new table; refuse another one for a table that is there."""
+    noted = f"{path}/{BUCKETS}"
+    if BUCKETS in folders(spark, path):
+        held = spark.read.schema("buckets int").parquet(noted).agg(F.max("buckets")).first()[0]
+    else:
+        held = None
+    if held is None and table_exists(spark, path):
+        held = spark.read.parquet(path).agg(F.max("bucket")).first()[0] + 1
+        if held <= buckets:  # not every bucket need have rows
+            held = buckets
+    if held is not None and held != buckets:
+        raise ValueError(f"{path} is kept in {held} buckets, not {buckets}")
+    if BUCKETS not in folders(spark, path):
+        spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(noted)
+
+
+def backup_table(table: DataFrame, folder: str, as_of: AsOf, path: str | None = None) -> str:
+    """Copy a table, in its partitions, to a folder named by date and time; return its path.
+
+    ``path`` is where the table is: of a table kept by load, the list of the loads that
+    compaction has merged goes along, so that a load repeated after a restore doubles nothing.
+    """
+    spark = table.sparkSession
+    if LOAD in table.columns and path is None:
+        raise ValueError("a table kept by load is backed up with its path")
     target = f"{folder.rstrip('/')}/{as_datetime(as_of):%Y%m%d_%H%M%S}"
-    table.write.mode("errorifexists").partitionBy(*partitions_of(table)).parquet(target)
+    if table_exists(spark, target):
+        raise FileExistsError(target)
+    if path is not None:
+        _list_merged(merged_loads(spark, path), target, "overwrite")
+    table.write.mode("append").partitionBy(*partitions_of(table)).parquet(target)
     return target
 
 
@@ -146,13 +194,28 @@ def restore_table(spark: SparkSession, backup: str, path: str) -> None:
     A table kept by load gets the backup's loads back: they replace loads of the same number,
     so restoring twice, or repeating a load after it, doubles nothing. Rows of a backup
     without loads get a load number of their own. A table without loads is appended to.
+
+    Loads that compaction has merged, in the backup or in the table, stay merged: the backup's
+    list joins that of the table, loads merged in the one and single in the other count once,
+    and where the table's compaction has merged loads that the backup's merged rows lack,
+    nothing is restored and an error says so.
     """
     rows = spark.read.parquet(backup)
     by_load = LOAD in (spark.read.parquet(path) if table_exists(spark, path) else rows).columns
     if by_load and LOAD not in rows.columns:
         rows = rows.withColumn(LOAD, F.lit(RESTORED_LOAD).cast("bigint"))
     if by_load:
-        replace_partitions(rows, path)
+        here, there = merged_loads(spark, path), merged_loads(spark, backup)
+        replaced = rows.select(MONTH, F.col(LOAD).alias("merged_into")).distinct()
+        lost = here.join(replaced, [MONTH, "merged_into"], "left_semi").join(
+            there, [MONTH, LOAD, "merged_into"], "left_anti"
+        )
+        if _has_rows(lost):
+            raise ValueError(f"{path} has merged loads that {backup} does not hold")
+        single = rows.join(here.select(MONTH, LOAD).distinct(), [MONTH, LOAD], "left_anti")
+        _list_merged(there.join(here, [MONTH, LOAD, "merged_into"], "left_anti"), path, "append")
+        replace_partitions(single.select(*rows.columns), path)
+        _remove_merged(spark, path)
         return
     rows = rows.drop(LOAD)
     rows.write.mode("append").partitionBy(*partitions_of(rows)).parquet(path)
@@ -163,17 +226,22 @@ def _file_system(spark: SparkSession, path: str):
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
 
 
-def _delete_folder(spark: SparkSession, path: str) -> None:
+def delete_folder(spark: SparkSession, path: str) -> None:
     files, hadoop_path = _file_system(spark, path)
     files.delete(hadoop_path, True)
 
 
+def file_exists(spark: SparkSession, path: str) -> bool:
+    files, hadoop_path = _file_system(spark, path)
+    return files.exists(hadoop_path)
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     """Whether a table has been written at ``path``; an empty folder holds none."""
-    return any(not name.startswith(("_", ".")) for name in _folders(spark, path))
+    return any(not name.startswith(("_", ".")) for name in folders(spark, path))
 
 
-def _folders(spark: SparkSession, path: str) -> list[str]:
+def folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders directly under a path, which need not exist."""
     files, hadoop_path = _file_system(spark, path)
     if not files.exists(hadoop_path):
@@ -190,9 +258,9 @@ def remove_expired_backups(
 ) -> list[str]:
     """Delete the backups older than ``days``; return their names."""
     cut = f"{days_before(as_of, days):%Y%m%d_%H%M%S}"
-    expired = [name for name in _folders(spark, folder) if name < cut]
+    expired = [name for name in folders(spark, folder) if name < cut]
     for name in expired:
-        _delete_folder(spark, f"{folder}/{name}")
+        delete_folder(spark, f"{folder}/{name}")
     return expired
 
 
@@ -229,26 +297,45 @@ def apply_retention(spark: SparkSession, path: str, as_of: AsOf, days: int = 90)
         replace_partitions(retention_keep(on_cut, as_of, days), path)
     for r in parts:
         if not r["keep"]:
-            _delete_folder(spark, _partition_path(path, partitions, r))
-    for name in _folders(spark, path):
+            delete_folder(spark, _partition_path(path, partitions, r))
+    for name in folders(spark, path):
         key, _, month = name.partition("=")
         # rows without a time are in a month that is no number, and stay
         if key == MONTH and month.isdigit() and int(month) < cut_month:
-            _delete_folder(spark, f"{path}/{name}")
+            delete_folder(spark, f"{path}/{name}")
 
 
 def _partition_path(path: str, partitions: list[str], row) -> str:
     return "/".join([path] + [f"{p}={row[p]}" for p in partitions])
 
 
-def delete_in_place(spark: SparkSession, path: str, condition) -> None:
+def in_partitions(table: DataFrame, among: list[tuple]) -> DataFrame:
+    """The rows of some partitions, each given as its values; by a flat list of loads for each
+    month, by which Spark prunes the folders."""
+    partitions = partitions_of(table)
+    by_month: dict = {}
+    for month, *load in among:
+        by_month.setdefault(month, []).extend(load)
+    chosen = F.lit(False)
+    for month, loads in by_month.items():
+        own = F.col(MONTH).eqNullSafe(F.lit(month))
+        chosen |= own & F.col(LOAD).isin(loads) if LOAD in partitions else own
+    return table.where(chosen)
+
+
+def delete_in_place(
+    spark: SparkSession, path: str, condition, among: list[tuple] | None = None
+) -> None:
     """Delete the rows that match ``condition`` from the table at ``path``.
 
     Only partitions that hold such rows are rewritten, and those that hold no other row are
-    removed; rows for which the condition is NULL stay. It can be repeated.
+    removed; rows for which the condition is NULL stay. It can be repeated. ``among`` names
+    the only partitions that may hold such rows, if that is known.
     """
     table = spark.read.parquet(path)
     partitions = partitions_of(table)
+    if among is not None:
+        table = in_partitions(table, among)
     matches = F.coalesce(condition, F.lit(False))
     touched = (
         table.groupBy(*partitions)
@@ -257,17 +344,30 @@ def delete_in_place(spark: SparkSession, path: str, condition) -> None:
         .collect()
     )  # one row per partition
     part = [r for r in touched if not r["every"]]
-    if part:
-        here = F.lit(False)
-        for r in part:
-            own = F.lit(True)
-            for p in partitions:
-                own &= F.col(p).eqNullSafe(F.lit(r[p]))
-            here |= own
-        replace_partitions(delete_rows(table.where(here), condition), path)
+    for month in sorted({r[MONTH] for r in part}, key=lambda m: (m is None, m or 0)):
+        own = [tuple(r[p] for p in partitions) for r in part if r[MONTH] == month]
+        replace_partitions(delete_rows(in_partitions(table, own), condition), path)
     for r in touched:
         if r["every"]:
-            _delete_folder(spark, _partition_path(path, partitions, r))
+            delete_folder(spark, _partition_path(path, partitions, r))
+
+
+def readable_size(size: Column) -> Column:
+    """Bytes as text in the largest binary unit of which there is one, with two decimals."""
+    text = F.lit(None).cast("string")
+    for power, unit in enumerate(("B", "KiB", "MiB", "GiB", "TiB", "PiB")):
+        scaled = F.format_string("%.2f " + unit, size / F.lit(float(1 << 10 * power)))
+        text = scaled if power == 0 else F.when(size >= 1 << 10 * power, scaled).otherwise(text)
+    return text
+
+
+def table_rows(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Rows of each Parquet table, counted from the footers of its files."""
+    parts = [
+        spark.read.parquet(path).agg(F.lit(table).alias("table"), F.count("*").alias("rows"))
+        for table, path in paths.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def table_sizes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -345,23 +445,31 @@ def compact_in_place(
         )
         if loads:
             listed = spark.createDataFrame([(month, n, into) for n in loads], _MERGED)
-            listed.coalesce(1).write.mode("append").parquet(f"{path}/{MERGED_LOADS}")
+            _list_merged(listed, path, "append")
         replace_partitions(spark.read.parquet(own), path)
-        _remove_merged(spark, path)
-        _delete_folder(spark, own)
+        _remove_merged(spark, path, month)
+        delete_folder(spark, own)
         done.append(month)
     return done
 
 
-def _remove_merged(spark: SparkSession, path: str) -> None:
-    """Remove the folders of merged loads, where the merged rows are in their place."""
-    if MERGED_LOADS not in _folders(spark, path):
+def _remove_merged(spark: SparkSession, path: str, month: int | None = None) -> None:
+    """Remove the folders of merged loads, where the merged rows are in their place; in one
+    month, or in all that have merged loads. Each month's folders are listed once."""
+    if MERGED_LOADS not in folders(spark, path):
         return
-    merged = spark.read.schema(_MERGED).parquet(f"{path}/{MERGED_LOADS}")
-    for row in merged.distinct().collect():  # one row per load and month that was merged
-        month = f"{path}/{MONTH}={row[0]}"
-        if f"{LOAD}={row[2]}" in _folders(spark, month):
-            _delete_folder(spark, f"{month}/{LOAD}={row[1]}")
+    merged = merged_loads(spark, path)
+    if month is not None:
+        merged = merged.where(F.col(MONTH) == month)
+    by_month: dict[int, list] = {}
+    for row in merged.collect():  # one row per load and month that was merged
+        by_month.setdefault(row[0], []).append(row)
+    for number, rows in by_month.items():
+        folder = f"{path}/{MONTH}={number}"
+        there = set(folders(spark, folder))
+        for row in rows:
+            if {f"{LOAD}={row[1]}", f"{LOAD}={row[2]}"} <= there:
+                delete_folder(spark, f"{folder}/{LOAD}={row[1]}")
 
 
 def compact_events(
@@ -372,19 +480,29 @@ def compact_events(
 
     Ranges of the sort key are used instead of one task per month, so a month
     of any size is split. Where the table is kept by load, the merged rows get
-    a load number of their own, and later loads can be added to the target.
+    a load number of their own, and later loads can be added to the target; the target lists
+    the merged loads, those that were merged before included, and leaves them out when they
+    are repeated there.
     """
     table = spark.read.parquet(path)
     partitions = [MONTH]
-    if "load_id" in table.columns:
-        table = table.withColumn("load_id", F.lit(COMPACTED_LOAD).cast("bigint"))
-        partitions.append("load_id")
+    if table_exists(spark, target):
+        raise FileExistsError(target)
+    if LOAD in table.columns:
+        loads = table.select(MONTH, LOAD).distinct()
+        listed = loads.unionByName(merged_loads(spark, path).select(MONTH, LOAD)).distinct()
+        listed = listed.where(F.col(LOAD) != COMPACTED_LOAD).withColumn(
+            "merged_into", F.lit(COMPACTED_LOAD).cast("bigint")
+        )
+        _list_merged(listed, target, "overwrite")
+        table = table.withColumn(LOAD, F.lit(COMPACTED_LOAD).cast("bigint"))
+        partitions.append(LOAD)
     total = table_sizes(spark, {"events": path}).first()["bytes"]
     files = max(1, -(-total // file_bytes))
     (
         table.repartitionByRange(files, MONTH, *SORT_KEY)
         .sortWithinPartitions(MONTH, *SORT_KEY)
-        .write.mode("errorifexists")
+        .write.mode("append")
         .partitionBy(*partitions)
         .parquet(target)
     )

@@ -272,7 +272,7 @@ def test_compaction_that_was_cut_off_is_mended(spark, tmp_path, monkeypatch):
 
     # after the merged rows are in place, before the loads are removed
     with monkeypatch.context() as m:
-        m.setattr(tables, "_delete_folder", crash)
+        m.setattr(tables, "delete_folder", crash)
         with pytest.raises(OSError):
             tables.compact_in_place(spark, path, staging)
     tables.compact_in_place(spark, path, staging)
