@@ -41,7 +41,7 @@ CHANGES, CHANGE_RANGE = 25, 0.8
 WEEKLY, YEARLY = 3, 10  # orders of the waves
 WEEK, YEAR = 7.0, 365.25
 WEEKLY_MIN_DAYS, YEARLY_MIN_DAYS = 14, 730
-LEVEL_PENALTY, CHANGE_PENALTY, WAVE_PENALTY = 1e-6, 1.0, 0.01
+LEVEL_PENALTY, CHANGE_PENALTY, WAVE_PENALTY = 1e-6, 0.1, 0.01
 
 FITTED = (
     "repository string, first_day date, last_day date, top double, level double, slope double, "

@@ -34,7 +34,7 @@ def _terms(date: str) -> str:
 def fitted(table: str, source: str = "true") -> str:
     """CTEs ending in ``fit`` (repository, d0, d1, top, beta, sigma) and ``day`` (repository,
     ds, y)."""
-    penalty = f"CASE WHEN i <= 2 THEN 1e-6 WHEN i <= {2 + CHANGES} THEN 1.0 ELSE 0.01 END"
+    penalty = f"CASE WHEN i <= 2 THEN 1e-6 WHEN i <= {2 + CHANGES} THEN 0.1 ELSE 0.01 END"
     return f"""day AS MATERIALIZED (
  SELECT repo_name AS repository, CAST(created_at AS DATE) AS ds, CAST(count(*) AS DOUBLE) AS y
  FROM {table} GROUP BY 1, 2),

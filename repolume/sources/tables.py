@@ -306,7 +306,8 @@ def apply_retention(spark: SparkSession, path: str, as_of: AsOf, days: int = 90)
 
 
 def _partition_path(path: str, partitions: list[str], row) -> str:
-    return "/".join([path] + [f"{p}={row[p]}" for p in partitions])
+    none = "__HIVE_DEFAULT_PARTITION__"
+    return "/".join([path] + [f"{p}={none if row[p] is None else row[p]}" for p in partitions])
 
 
 def in_partitions(table: DataFrame, among: list[tuple]) -> DataFrame:

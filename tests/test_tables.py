@@ -205,7 +205,11 @@ def loaded(spark, path, loads=3, n=60):
 def test_restore_of_a_table_kept_by_load(spark, tmp_path):
     path, folder, target = (str(tmp_path / p) for p in ("events", "backups", "restored"))
     loaded(spark, path)
-    backup = tables.backup_table(spark.read.parquet(path), folder, AS_OF)
+    backup = tables.backup_table(spark.read.parquet(path), folder, AS_OF, path)
+    with pytest.raises(ValueError):
+        tables.backup_table(spark.read.parquet(path), folder, AS_OF)
+    with pytest.raises(FileExistsError):
+        tables.backup_table(spark.read.parquet(path), folder, AS_OF, path)
     for where in (target, target, path):  # a new place, twice, and the table itself
         tables.restore_table(spark, backup, where)
         stored = spark.read.parquet(where)
@@ -250,6 +254,64 @@ def test_a_load_repeated_after_compaction_doubles_nothing(spark, tmp_path):
     assert ids(spark.read.parquet(path)) == list(range(90))
 
 
+def part_of(data, load, loads=8):
+    return data.where(F.col("id").cast("int") % loads == load)
+
+
+@pytest.mark.parametrize("first_in_place", [False, True])
+def test_a_load_repeated_after_compaction_to_a_new_place(spark, tmp_path, first_in_place):
+    path, staging, target = (str(tmp_path / p) for p in ("events", "staging", "target"))
+    data = crowded(spark, path)
+    if first_in_place:
+        tables.compact_in_place(spark, path, staging)
+    tables.compact_events(spark, path, target)
+    with pytest.raises(FileExistsError):
+        tables.compact_events(spark, path, target)
+    for load in (0, 7):
+        tables.append_events(part_of(data, load), target, load_id=load)
+    assert ids(spark.read.parquet(target)) == list(range(80))
+    # and after a compaction in place there
+    for load in range(20, 28):
+        more = events(spark, 100, step=timedelta(hours=6)).where(f"CAST(id AS INT) = {60 + load}")
+        tables.append_events(more, target, load_id=load)
+    assert tables.compact_in_place(spark, target, staging) == [202312]
+    for load in (0, 22):
+        tables.append_events(part_of(data, load % 8), target, load_id=load)
+    assert ids(spark.read.parquet(target)) == list(range(88))
+
+
+def test_compact_backup_restore_replay(spark, tmp_path):
+    path, staging, folder = (str(tmp_path / p) for p in ("events", "staging", "backups"))
+    data = crowded(spark, path)
+    plain = str(tmp_path / "plain")
+    crowded(spark, plain)
+    single = tables.backup_table(spark.read.parquet(plain), folder, "2024-01-01", plain)
+    tables.compact_in_place(spark, path, staging)
+    merged = tables.backup_table(spark.read.parquet(path), folder, "2024-01-02", path)
+    new = str(tmp_path / "new")
+    # merged rows to a new place, over single loads; single loads over merged rows
+    for backup, where in ((merged, new), (merged, plain), (single, path)):
+        for _ in range(2):
+            tables.restore_table(spark, backup, where)
+        assert ids(spark.read.parquet(where)) == list(range(80))
+        for load in (0, 5):
+            tables.append_events(part_of(data, load), where, load_id=load)
+        assert ids(spark.read.parquet(where)) == list(range(80))
+
+
+def test_restore_does_not_lose_loads_that_were_merged_since(spark, tmp_path):
+    path, staging, folder = (str(tmp_path / p) for p in ("events", "staging", "backups"))
+    crowded(spark, path)
+    tables.compact_in_place(spark, path, staging)
+    backup = tables.backup_table(spark.read.parquet(path), folder, AS_OF, path)
+    for load in range(8, 16):
+        more = events(spark, 96, step=timedelta(hours=6)).where(f"CAST(id AS INT) = {72 + load}")
+        tables.append_events(more, path, load_id=load)
+    tables.compact_in_place(spark, path, staging)  # under another number
+    tables.restore_table(spark, backup, path)
+    assert ids(spark.read.parquet(path)) == list(range(88))
+
+
 def test_a_second_compaction_merges_the_first(spark, tmp_path):
     path, staging = str(tmp_path / "events"), str(tmp_path / "staging")
     crowded(spark, path)
