@@ -44,7 +44,7 @@ ORDER = 4
 END = 255
 END_WORD = b" "  # stands for the end of a text among its words; no word has a space
 SYMBOLS = 256
-RUN_BYTES = 8 << 20
+RUN_BYTES, PIECE_BYTES = 16 << 20, 4 << 20
 RUN_ROWS = 200_000
 PART_GRAMS = 1_000_000  # grams of one part of the trie, about
 SCORED_BYTES = 1 << 20  # scored at once
@@ -60,19 +60,28 @@ def _mask(bytes_: int) -> np.uint64:
 
 def grams_of(data: np.ndarray, sizes: np.ndarray, order: int) -> np.ndarray:
     """The grams of pieces that stand one after the other, each behind its context: a number
-    of ``order + 1`` bytes for each byte of a piece without its context."""
-    if not len(sizes):
-        return np.zeros(0, np.uint64)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    # the eight bytes from each place on, of which the first are the gram
-    eight = np.ndarray((len(data) - order,), ">u8", padded, strides=(1,))
-    codes = eight.astype(np.uint64) >> np.uint64(64 - 8 * (order + 1))
-    # windows that end in a context belong to no piece
-    keep = np.ones(len(codes), bool)
-    begins = np.cumsum(sizes)[:-1]
-    for k in range(order):
-        keep[begins - order + k] = False
-    return codes[keep]
+    of ``order + 1`` bytes for each byte of a piece without its context. Made some pieces at a
+    time, so that little is held beside the result."""
+    ends = np.cumsum(sizes)
+    out = np.empty(int(sizes.sum()) - order * len(sizes), np.uint64)
+    at = done = 0
+    while at < len(sizes):
+        begin = int(ends[at] - sizes[at])
+        to = max(at + 1, int(np.searchsorted(ends, begin + SCORED_BYTES, "right")))
+        end = int(ends[to - 1])
+        padded = np.concatenate([data[begin:end], np.zeros(8, np.uint8)])
+        # the eight bytes from each place on, of which the first are the gram
+        codes = np.ndarray((end - begin - order,), ">u8", padded, strides=(1,)).astype(np.uint64)
+        codes >>= np.uint64(64 - 8 * (order + 1))
+        # windows that end in a context belong to no piece
+        keep = np.ones(len(codes), bool)
+        inner = ends[at : to - 1] - begin
+        for k in range(order):
+            keep[inner - order + k] = False
+        codes = codes[keep]
+        out[done : done + len(codes)] = codes
+        at, done = to, done + len(codes)
+    return out
 
 
 class Level:
@@ -203,7 +212,7 @@ def runs_of(documents: DataFrame, held_out: Column, order: int) -> DataFrame:
         run, row, head, parts, held = first, first, [], [], 0
         for batch in batches:
             for doc_id, out, text in zip(*(column.to_pylist() for column in batch.columns)):
-                for context, piece, last in _pieces(_lower(text), order, RUN_BYTES // 2):
+                for context, piece, last in _pieces(_lower(text), order, min(PIECE_BYTES, RUN_BYTES)):
                     piece = context + piece + bytes([END]) * last
                     head.append((row, doc_id or 0, doc_id is None, out, last, len(piece)))
                     parts.append(piece)
