@@ -9,17 +9,18 @@ sequence in all. Nothing is shuffled: a block sees rows of one input partition,
 their key or source.
 
 A word's tokens do not depend on its neighbours, as the vocabulary's pre-tokenizer never
-crosses white space; so each distinct word is encoded once for each worker.
+crosses white space; so each distinct word is encoded once for each worker. The words of some
+megabytes of texts are numbered by Arrow, and only distinct ones are looked up.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,8 @@ LENGTH = 2048
 BLOCK_TOKENS = 2048 * 1024
 LINEAR, QUADRATIC = 1.0, 1.0 / 512
 KEPT_WORDS = 800_000
-PLAIN_MARKS = b"!#$%&*,.:;?|"
+PLAIN_MARKS = "!#$%&*,.:;?|"
+PART_BYTES = 8 << 20  # texts encoded together, or one longer text
 
 PIECES = (
     "doc_id long, start long, length long, doc_tokens long, sequence_id long, "
@@ -79,43 +81,78 @@ class WordTokens:
     def _learn_others(self, words: list[bytes], known: dict[bytes, bytes]) -> None:
         known.update(zip(words, (i.tobytes() for i in self._ids([w.decode() for w in words]))))
 
-    def _learn(self, words: set[bytes]) -> None:
-        # A run of letters and a run of other marks after it are parted by the
-        # pre-tokenizer, so a word is its letters, then its marks.
-        letters = {w for w in words if w.isalpha()}  # of bytes: ASCII letters only
-        marked, others = [], []
-        for word in words - letters:
-            stem = word.rstrip(PLAIN_MARKS)
-            if stem.isalpha() or stem.decode().isalpha():
-                marked.append((word, stem, word[len(stem) :]))
-            else:
-                others.append(word)
-        letters.update({stem for _, stem, _ in marked}.difference(self.known))
-        self._learn_letters(list(letters))
-        self._learn_others(others, self.known)
-        self._learn_others(list({m for _, _, m in marked}.difference(self.marks)), self.marks)
-        known, marks = self.known, self.marks
-        known.update([(word, known[stem] + marks[mark]) for word, stem, mark in marked])
-
-    def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
+    def _learn(self, stems: list[bytes], letters: list[bool]) -> None:
+        """Learn those that are not known; ``letters``: whether they are letters only."""
+        if len(self.known) > KEPT_WORDS // 2:
+            self.known, self.before, self.marks = {}, self.known, {}
+        known, before = self.known, self.before
+        runs, others = [], []
+        for stem, is_run in zip(stems, letters):
+            if stem not in known:
+                if stem in before:
+                    known[stem] = before[stem]
+                else:
+                    (runs if is_run else others).append(stem)
+        self._learn_letters(runs)
+        self._learn_others(others, known)
+
+    def encode(self, texts: pa.Array | list[bytes | None]) -> Iterator[bytes]:
         """Ids of each text, given in UTF-8."""
-        for at in range(0, len(texts), 500):
-            parts = [_plain(t).split() for t in texts[at : at + 500]]
-            if len(self.known) > KEPT_WORDS // 2:
-                self.known, self.before, self.marks = {}, self.known, {}
-            missing = set(chain.from_iterable(parts)).difference(self.known)
-            old = {w: self.before[w] for w in missing if w in self.before}
-            self.known.update(old)
-            self._learn(missing.difference(old))
-            for part in parts:
-                yield b"".join(map(self.known.__getitem__, part))
-
-
-def _plain(text: bytes | None) -> bytes:
+        texts = _plain(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()))
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        begin = 0
+        while begin < len(texts):
+            before = int(sizes[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(sizes, before + PART_BYTES, "right")))
+            yield from self._encode_part(texts[begin:end])
+            begin = end
+
+    def _encode_part(self, texts: pa.Array) -> Iterator[bytes]:
+        words = pc.ascii_split_whitespace(texts)
+        ends = np.asarray(words.offsets)[1:] - words.offsets[0].as_py()
+        found = words.flatten().dictionary_encode()
+        # A run of letters and a run of other marks after it are parted by the
+        # pre-tokenizer, so a word is its letters, then its marks; others are whole.
+        whole = found.dictionary
+        stems = pc.ascii_rtrim(whole, characters=PLAIN_MARKS)
+        parted = pc.utf8_is_alpha(stems)
+        stems = pc.if_else(parted, stems, whole).dictionary_encode()
+        at_stem = stems.indices.to_numpy()
+        distinct = _bytes(stems.dictionary)
+        sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))[at_stem].tolist()
+        marks = [word[size:] for word, size in zip(_bytes(whole), sizes)]
+        is_run = pc.utf8_is_alpha(stems.dictionary).to_numpy(zero_copy_only=False).tolist()
+        self._learn(distinct, is_run)
+        self._learn_others(list(set(marks).difference(self.marks)), self.marks)
+
+        known = [self.known[stem] for stem in distinct]
+        of_stem = map(known.__getitem__, at_stem.tolist())
+        ids = [stem + self.marks[mark] for stem, mark in zip(of_stem, marks)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        data = np.frombuffer(b"".join(ids), "<u4")
+        first = np.cumsum(lengths) - lengths
+
+        at = found.indices.to_numpy()
+        each = lengths[at]
+        last = np.cumsum(each)
+        place = np.arange(last[-1] if len(last) else 0) + np.repeat(first[at] - last + each, each)
+        tokens = data[place]
+        last = np.concatenate([[0], last])
+        begin = 0
+        for end in ends.tolist():
+            yield tokens[last[begin] : last[end]].tobytes()
+            begin = end
+
+
+def _bytes(words: pa.Array) -> list[bytes]:
+    return words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+
+
+def _plain(texts: pa.Array) -> pa.Array:
     """A-Z in lower case, as the vocabulary has them; not where that could make a name of a
-    special token."""
-    text = text or b""
-    return text if b"<|" in text else text.lower()
+    special token. A null is an empty text."""
+    texts = pc.fill_null(texts.cast(pa.string(), safe=False), "")
+    return pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
 
 
 def balanced(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
@@ -198,7 +235,7 @@ def pack(documents: DataFrame, length: int = LENGTH, path: str | None = None) ->
         sequence = TaskContext.get().partitionId() << 40
         block, held = [], 0
         for batch in batches:
-            ids = tokens.encode(batch.column(1).to_pylist())
+            ids = tokens.encode(batch.column(1))
             for doc_id, found in zip(batch.column(0).to_pylist(), ids):
                 block.append((doc_id, found + closing))
                 held += len(found) // 4 + 1
