@@ -18,6 +18,7 @@ from repolume.operators import (
     delivery,
     forecast,
     issues,
+    panels,
     repositories,
     traffic,
 )
@@ -30,7 +31,7 @@ from repolume.plans.tables import (
     AS_OF_TODAY,
 )
 from repolume import schema
-from repolume.sources import feeds, keyindex, sqlentry, thresholds
+from repolume.sources import feeds, keyindex, lookback, sqlentry, thresholds
 from repolume.sources import issues as issue_store
 from repolume.sources import tables as store
 from repolume.streaming import actors, ingest, limits, rollup
@@ -190,6 +191,12 @@ def detailed_analytics_nested(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# --- all panels of a range at once ---------------------------------------------
+
+on_events("event_panels", panels.event_panels, RANGE_START, RANGE_END)
+on_issues("issue_panels", panels.issue_panels, RANGE_START, RANGE_END, with_labels=True)
+
+
 # --- delivery ------------------------------------------------------------------
 
 on_events("deployment_count", delivery.deployment_count, AS_OF)
@@ -566,6 +573,36 @@ def rejected_events(spark: SparkSession, d: str) -> DataFrame:
     return parsed.groupBy(reason).agg(F.count("*").alias("events"))
 
 
+@register
+def repository_lookback(spark: SparkSession, d: str) -> DataFrame:
+    """Two loads of all repositories; in the first the pages of one are cut off, and the second
+    fetches each from its own mark. By repository: events stored by the first load and in all,
+    the mark, and how often it was held back."""
+    events, log = new_path(spark, "fetched"), new_path(spark, "marks")
+    repo = F.coalesce(
+        F.get_json_object("value", "$.repo.name"), F.get_json_object("value", "$.repo")
+    )
+    at = F.get_json_object("value", "$.created_at").cast("timestamp")
+    feed = t.raw_event_feed(spark, d).select("value", repo.alias("repo_name"), at.alias("at"))
+    cut = F.expr("substr(value, 1, length(value) - 20)")
+    value = F.when(F.col("repo_name") == FORECAST_REPO, cut).otherwise(F.col("value"))
+    half = "2024-01-15 00:00:00"
+    first = feed.where(F.col("at") < F.lit(half).cast("timestamp")).withColumn("value", value)
+    lookback.load_fetches(first, events, log, 0, half, days_back=31)
+    since = lookback.next_fetches(feed.select("repo_name"), log, AS_OF, days_back=31)
+    second = feed.join(since, "repo_name").where("at >= since")
+    lookback.load_fetches(second, events, log, 1, AS_OF, days_back=31)
+
+    stored = spark.read.parquet(events).groupBy("repo_name").agg(
+        F.count_if(F.col("load_id") == 0).alias("first_load"), F.count("*").alias("events")
+    )
+    seen = lookback.load_log(spark, log).groupBy("repo_name").agg(
+        F.max("mark").cast("timestamp_ntz").alias("mark"),
+        F.count_if(F.col("mark").isNull()).alias("held_back"),
+    )
+    return stored.join(seen, "repo_name")
+
+
 @register
 def rejected_issues(spark: SparkSession, d: str) -> DataFrame:
     parsed = feeds.parse_issues(t.broken_issue_feed(spark, d))

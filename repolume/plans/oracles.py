@@ -690,6 +690,35 @@ FROM (SELECT repo_name, actor_login, bool_or(created_at < {NOW} - INTERVAL 7 DAY
 GROUP BY 1"""),
     "repository_stats_approx": _events("""SELECT repo_name, count(*) AS total_events,
  count(DISTINCT actor_login) AS exact_contributors, true AS within FROM activity GROUP BY 1"""),
+    "event_panels": _events(f"""SELECT panel, key, count, others, rank FROM (
+SELECT 'types' AS panel, type AS key, count(*) AS count, CAST(NULL AS BIGINT) AS others,
+  CAST(NULL AS INT) AS rank FROM ranged GROUP BY type
+UNION ALL SELECT 'days', strftime(created_at, '%Y-%m-%d'), count(*), NULL, NULL FROM ranged GROUP BY 2
+UNION ALL SELECT 'hours', strftime(created_at, '%Y-%m-%d %H:00:00'), count(*), NULL, NULL
+ FROM ranged GROUP BY 2
+UNION ALL SELECT * FROM (SELECT 'repositories', repo_name, count(*), count(DISTINCT actor_login),
+  CAST(row_number() OVER (ORDER BY count(*) DESC, repo_name) AS INT) AS r FROM ranged
+  GROUP BY repo_name) WHERE r <= 10
+UNION ALL SELECT * FROM (SELECT 'contributors', actor_login, count(*), count(DISTINCT repo_name),
+  CAST(row_number() OVER (ORDER BY count(*) DESC, actor_login) AS INT) AS r FROM ranged
+  GROUP BY actor_login) WHERE r <= 15)""").replace("FROM ranged", f"""FROM (SELECT * FROM activity
+  WHERE created_at BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND {NOW})"""),
+    "issue_panels": _issues(f"""SELECT panel, repo_name, key, count, rank FROM (
+SELECT 'states' AS panel, repo_name, state AS key, count(*) AS count, CAST(NULL AS INT) AS rank
+ FROM ranged GROUP BY repo_name, state
+UNION ALL SELECT 'days', repo_name, strftime(created_at, '%Y-%m-%d') AS day, count(*), NULL
+ FROM ranged GROUP BY repo_name, day
+UNION ALL SELECT * FROM (SELECT 'labels', NULL, label, count(*),
+  CAST(row_number() OVER (ORDER BY count(*) DESC, label) AS INT) AS r
+  FROM (SELECT unnest(labels) AS label FROM ranged) GROUP BY label) WHERE r <= 10)""").replace(
+        "FROM ranged", f"""FROM (SELECT * FROM issue
+  WHERE created_at BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND {NOW})"""),
+    "repository_lookback": _events("""SELECT repo_name, count(*) FILTER (
+  created_at < TIMESTAMP '2024-01-15 00:00:00' AND repo_name <> 'org0/repo0') AS first_load,
+ count(*) AS events, max(created_at) AS mark, CAST(count(*) FILTER (
+  created_at < TIMESTAMP '2024-01-15 00:00:00' AND repo_name = 'org0/repo0') > 0 AS BIGINT)
+  AS held_back
+FROM activity GROUP BY 1"""),
     "table_rows": " UNION ALL ".join(
         f"SELECT '{name}' AS table, count(*) AS rows FROM {name}"
         for name in ("events", "documents", "labels", "orders", "lineitem")

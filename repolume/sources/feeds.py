@@ -62,10 +62,11 @@ def _parsed(df: DataFrame, struct: Column, *keep: str) -> DataFrame:
     return df.select(*keep, F.inline(F.array(struct)))
 
 
-def parse_events(raw: DataFrame) -> DataFrame:
+def parse_events(raw: DataFrame, *keep: str) -> DataFrame:
     """Every feed row with its table columns and ``error``: the first missing or
-    unreadable required member, NULL for a good row."""
-    members = _parsed(feed_items(raw), F.from_json("value", _EVENT_FEED), "value")
+    unreadable required member, NULL for a good row. ``keep`` names further columns of
+    ``raw`` to keep."""
+    members = _parsed(feed_items(raw), F.from_json("value", _EVENT_FEED), "value", *keep)
     no_org = F.col("org").isNull() | F.col("org").isin("", "{}")
     columns = F.struct(
         "id",
@@ -77,7 +78,7 @@ def parse_events(raw: DataFrame) -> DataFrame:
         F.when(~no_org, _name_of(F.col("org"), "login")).alias("org_login"),
         (~no_org).alias("has_org"),
     )
-    flat = _parsed(members, columns, "value")
+    flat = _parsed(members, columns, "value", *keep)
     required = [
         ("id", "id"),
         ("type", "type"),
