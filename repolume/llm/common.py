@@ -29,6 +29,24 @@ def written(
     return spark.read.schema(df.schema).parquet(path)
 
 
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written_swept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """As ``written``, and the shuffle files of the write are removed when it has ended, not
+    when the driver next collects its garbage: for chains of tables that would fill the disks.
+    The setting of the session is put back."""
+    before = spark.conf.get(SWEEP, None)
+    spark.conf.set(SWEEP, "true")
+    try:
+        return written(spark, df, name)
+    finally:
+        if before is None:
+            spark.conf.unset(SWEEP)
+        else:
+            spark.conf.set(SWEEP, before)
+
+
 def fold(column: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; -1 for a null id."""
     return F.coalesce(

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolume.llm.common import map_arrow, worker_state, written
+from repolume.llm.common import map_arrow, worker_state, written_swept
 from repolume.llm.hashing import WordHashes, arrays_of, blob_of, mix, pieces, prefix_hashes
 
 WORDS, PERCENT = 5, 80  # unless a caller asks for others
@@ -287,7 +287,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     ).where("u > v").distinct()
-    now = written(spark, now, "links")
+    now = written_swept(spark, now, "links")
     state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -299,7 +299,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         now = small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = now.unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
-        now = written(spark, now, "stars")
+        now = written_swept(spark, now, "stars")
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state:
             break
@@ -319,10 +319,10 @@ class Join:
         ).select(
             "doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")
         )
-        self.rows = written(self.spark, nodes_of(self.texts, words), "set-nodes")
+        self.rows = written_swept(self.spark, nodes_of(self.texts, words), "set-nodes")
         total = self.rows.agg(F.sum("size")).first()[0] or 0
         self.groups = max(1, -(-total // GROUP_ROWS) // 2)
-        self.nodes = written(
+        self.nodes = written_swept(
             self.spark,
             self.rows.where("size > 0").groupBy("node").agg(
                 *(F.first(c).alias(c) for c in ("size", *PARITIES))
@@ -330,12 +330,12 @@ class Join:
             "distinct-sets",
         )
         shared = shared_sketches(self.texts, words, percent, self.groups)
-        shared = written(self.spark, shared.distinct(), "shared-sketches")
+        shared = written_swept(self.spark, shared.distinct(), "shared-sketches")
         # similar sets share more sketches of a band than there are to spare
         able = shared.groupBy("node", "spare").count().where("count > spare").drop("count")
         shared = shared.join(able, ["node", "spare"], "left_semi")
-        self.shared = written(self.spark, shared, "needed-sketches")
-        self.sets = written(self.spark, self._sets(), "compared-sets")
+        self.shared = written_swept(self.spark, shared, "needed-sketches")
+        self.sets = written_swept(self.spark, self._sets(), "compared-sets")
         self.roots = self.checked = None
 
     def side(self, name: str) -> DataFrame:
@@ -410,7 +410,7 @@ class Join:
     def _add(self, pairs: DataFrame, name: str) -> DataFrame:
         """Verifies pairs and returns the components of all links so far: those of the links
         before, as stars, and the new links."""
-        done = written(self.spark, self.verify(pairs), name)
+        done = written_swept(self.spark, self.verify(pairs), name)
         links = done.where("similar").select("a", "b")
         if self.roots is not None:
             links = links.unionByName(self.roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -438,7 +438,7 @@ class Join:
             .where("low <> high")
             .select("sketch", "n")
         )
-        return written(self.spark, held.join(spread, "sketch"), name)
+        return written_swept(self.spark, held.join(spread, "sketch"), name)
 
     def _met(self, left: DataFrame, right: DataFrame, among: bool = False) -> DataFrame:
         """Distinct pairs of nodes with a common sketch, of different components, that may be
@@ -484,12 +484,12 @@ class Join:
             .where(F.col("place") <= F.col("many") - F.col("spare"))
             .select("sketch", "node", "root")
         )
-        used = written(self.spark, used, "mixed-sketches")
+        used = written_swept(self.spark, used, "mixed-sketches")
         return self._met(used, used, among=True)
 
     def run(self) -> DataFrame:
         """node, root of all nodes that have a link."""
-        stars = written(self.spark, self.possible(self.stars()), "star-pairs")
+        stars = written_swept(self.spark, self.possible(self.stars()), "star-pairs")
         # one partner for each node first: most of the other pairs then lie within a component
         ends = stars.select(F.col("a").alias("node"), "a", "b", "distance").unionByName(
             stars.select(F.col("b").alias("node"), "a", "b", "distance")
@@ -498,7 +498,7 @@ class Join:
         roots = self._add(nearest.select("p.a", "p.b").distinct(), "nearest")
         roots = self._add(self.more_stars(self.mixed(roots, "mixed-once")), "more-stars")
         rest = self.all_pairs(self.mixed(roots, "mixed-twice"))
-        rest = written(self.spark, rest, "rest-of-pairs")
+        rest = written_swept(self.spark, rest, "rest-of-pairs")
         return roots if rest.isEmpty() else self._add(rest, "rest")
 
 
