@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from repolume.llm import jaccard, queries
+from repolume.llm.common import SWEEP, written_swept
 from tests.llm.helpers import ODD_TEXTS, documents, prose, similar_components
 
 
@@ -142,3 +143,13 @@ def test_many_short_texts_end_a_run(text):
     assert rows == count
     assert tracemalloc.get_traced_memory()[1] < 60e6
     tracemalloc.stop()
+
+
+def test_swept_tables_put_the_setting_back(spark):
+    before = spark.conf.get(SWEEP, None)
+    rows = spark.range(100).selectExpr("id % 7 AS k").distinct()
+    assert written_swept(spark, rows, "swept").count() == 7
+    assert spark.conf.get(SWEEP, None) == before
+    with pytest.raises(Exception):
+        written_swept(spark, rows.selectExpr("raise_error('x') AS k"), "swept").count()
+    assert spark.conf.get(SWEEP, None) == before
