@@ -1,13 +1,17 @@
 """Quality rules whose cutoffs are chosen under control of the risk.
 
-A rule rejects a text whose value exceeds a cutoff. For each rule and stratum (a band of
-text lengths) the cutoffs of a fixed grid are tried from the most lenient on: on the held-out
-texts labelled good, k of n would be rejected, and the exact binomial probability of at most
-k rejections, if the true rate were the rule's share of the allowed risk, must stay under the
-error level. The walk ends at the first cutoff that fails, so trying many cutoffs needs no
-correction; rules and strata share the error level (Bonferroni). With probability 1 - ERROR,
-in every stratum, all rules together reject at most RISK of the good texts. A rule without
-enough evidence in a stratum rejects nothing there.
+A rule rejects a text whose value exceeds a cutoff. Texts that are labelled fall, by a hash of
+the id, into a smaller part to learn from and a larger one to prove with. In the first, each
+stratum (a band of text lengths) gets a path: the cutoffs of the grids that catch bad texts
+which the rule's more lenient cutoff misses, from those that reject the fewest good texts on.
+At a place of the path all cutoffs up to it are in force together. In the second part the
+places are tried in turn: of n good texts the rules together would reject k, and the exact
+binomial probability of at most k rejections, if the true rate were ``RISK``, must stay under
+the error level. The walk ends at the first place that fails, so trying many places needs no
+correction (the path does not depend on the texts that prove it); the strata share the error
+level (Bonferroni), those apart that have too few good texts to prove anything. With
+probability 1 - ERROR, in every stratum, all rules together reject at most RISK of the good
+texts. A stratum without evidence rejects nothing beyond the base.
 
 Everything is a DataFrame expression: hashes of words and windows, sorted within the row.
 """
@@ -17,7 +21,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolume.llm.common import one_label, written
@@ -25,6 +29,7 @@ from repolume.llm.common import one_label, written
 RISK, ERROR = 0.02, 0.05
 LEAST_WORDS = 50
 BANDS = (100, 250, 1000)  # first number of words of the second and later strata
+LEARNT = 4  # one labelled text in so many is learnt from, the others prove
 
 # Rules and their cutoffs, from the most lenient to the strictest.
 CUTOFFS = {
@@ -156,14 +161,10 @@ def at_most(k: Column, n: Column, rate: float) -> Column:
     return F.exp(F.aggregate(step, start, add, lambda state: state["sum"]))
 
 
-def cutoffs(
-    measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR
-) -> DataFrame:
-    """stratum, rule, step, cutoff, n, k, chance, and whether the rule's walk got that far."""
-    good = one_label(labels, "quality").where("label = 1").select("doc_id")
-    held = measured.where(~base_failed()).join(good, "doc_id", "left_semi")
+def _tried() -> list[Column]:
+    """Each cutoff of each rule, and whether it rejects the row."""
     values = _values()
-    tried = [
+    return [
         F.struct(
             F.lit(rule).alias("rule"),
             F.lit(step).alias("step"),
@@ -173,37 +174,83 @@ def cutoffs(
         for rule, grid in CUTOFFS.items()
         for step, cutoff in enumerate(grid)
     ]
-    rate = risk / len(CUTOFFS)
-    level = error / (len(CUTOFFS) * (len(BANDS) + 1))
-    counted = (
-        held.select(_stratum().alias("stratum"), F.explode(F.array(*tried)).alias("t"))
-        .groupBy("stratum", "t.rule", "t.step", "t.cutoff")
-        .agg(F.count("*").alias("n"), F.sum("t.rejected").alias("k"))
-    )
-    # more than the expected number is never enough evidence, and long to sum
-    chance = F.when(F.col("k") <= F.col("n") * rate, at_most(F.col("k"), F.col("n"), rate))
-    counted = counted.withColumn("chance", F.coalesce(chance, F.lit(1.0)))
-    failed = F.when(F.col("chance") > level, F.col("step"))
+
+
+def _paths(learnt: DataFrame) -> DataFrame:
+    """stratum, rule, step, cutoff, place from labelled rows. At most as many rows as the grids
+    have cutoffs, in each stratum; ties go to the more lenient step, then by the rule's name."""
+    of_rule = Window.partitionBy("stratum", "rule").orderBy("step")
+    of_stratum = Window.partitionBy("stratum").orderBy("good", "step", "rule")
     return (
-        counted.groupBy("stratum", "rule")
+        learnt.select("stratum", "label", F.explode(F.array(*_tried())).alias("t"))
+        .groupBy("stratum", "t.rule", "t.step", "t.cutoff")
         .agg(
-            F.min(failed).alias("failed"),
-            F.collect_list(F.struct("step", "cutoff", "n", "k", "chance")).alias("steps"),
+            F.sum(F.col("t.rejected") * F.col("label")).alias("good"),
+            F.sum(F.col("t.rejected") * (1 - F.col("label"))).alias("bad"),
         )
-        .select("stratum", "rule", "failed", F.inline("steps"))
-        .withColumn("passed", F.col("failed").isNull() | (F.col("step") < F.col("failed")))
-        .drop("failed")
+        .withColumn("before", F.lag("bad", 1, 0).over(of_rule))
+        .where("bad > before")
+        .withColumn("place", F.row_number().over(of_stratum))
+        .select("stratum", "rule", "step", "cutoff", "place")
     )
 
 
+def cutoffs(
+    measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR
+) -> DataFrame:
+    """stratum, place, rule, step, cutoff, n, k, chance, level, and whether the walk passed the
+    place: of ``n`` good texts ``k`` are rejected by the cutoffs up to it together."""
+    marked = measured.where(~base_failed()).join(one_label(labels, "quality"), "doc_id")
+    marked = marked.withColumn("stratum", _stratum())
+    learning = F.pmod(F.xxhash64("doc_id"), F.lit(LEARNT)) == 0
+    path = _paths(marked.where(learning))
+    steps = F.sort_array(F.collect_list(F.struct("place", "rule", "cutoff")))
+    whole = path.groupBy("stratum").agg(steps.alias("path"))
+    values = F.create_map(*(x for rule, v in _values().items() for x in (F.lit(rule), v)))
+    first = F.array_min(
+        F.transform(
+            F.filter("path", lambda x: F.element_at("value", x["rule"]) > x["cutoff"]),
+            lambda x: x["place"],
+        )
+    )
+    proving = marked.where(~learning & (F.col("label") == 1)).withColumn("value", values)
+    rejected = (
+        proving.join(F.broadcast(whole), "stratum", "left")  # one row for each of the bands
+        .groupBy("stratum", first.alias("place"))
+        .agg(F.count("*").alias("m"))
+    )
+    able = F.pow(F.lit(1 - risk), F.col("n")) <= error / (len(BANDS) + 1)
+    totals = rejected.groupBy("stratum").agg(F.sum("m").alias("n")).where(able)
+    # one row for each of the bands
+    totals = totals.withColumn("shares", F.count("*").over(Window.partitionBy(F.lit(1))))
+    until = Window.partitionBy("stratum").orderBy("place")
+    counted = path.join(F.broadcast(totals), "stratum").join(
+        rejected.where("place IS NOT NULL"), ["stratum", "place"], "left"
+    )
+    counted = counted.withColumn("k", F.sum(F.coalesce("m", F.lit(0))).over(until))
+    # more than the expected number is never enough evidence, and long to sum
+    chance = F.when(F.col("k") <= F.col("n") * risk, at_most(F.col("k"), F.col("n"), risk))
+    counted = counted.withColumns(
+        {"chance": F.coalesce(chance, F.lit(1.0)), "level": F.lit(error) / F.col("shares")}
+    )
+    passed = F.max((F.col("chance") > F.col("level")).cast("int")).over(until) == 0
+    return counted.select(
+        "stratum", "place", "rule", "step", "cutoff", "n", "k", "chance", "level",
+        passed.alias("passed"),
+    )
+
+
 def judge(
     documents: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR
 ) -> DataFrame:
     """The features of every row, base_failed, rejected_by (rules in order of name), kept.
 
     A null or empty text has no words and fails the base. A null id is judged like any row.
-    Repeated ids are judged one by one, and all count as held out if labelled. Without labels
-    only the base rejects. Only ``doc_id`` and ``text`` are read of ``documents``.
+    Repeated ids are judged one by one, and all count if labelled. A value equal to a cutoff
+    passes. A stratum with fewer than some 200 good texts to prove with (148 if it is the only
+    one), one without bad texts to learn from, and a table without labels reject by the base
+    alone. A very long text is one row, sorted within its task; an empty table gives no rows.
+    Only ``doc_id`` and ``text`` are read of ``documents``.
     """
     spark = documents.sparkSession
     measured = written(spark, features(documents), "rule-features")
