@@ -178,9 +178,10 @@ def _tried() -> list[Column]:
 
 def _paths(learnt: DataFrame) -> DataFrame:
     """stratum, rule, step, cutoff, place from labelled rows. At most as many rows as the grids
-    have cutoffs, in each stratum; ties go to the more lenient step, then by the rule's name."""
+    have cutoffs, in each stratum. Of cutoffs that reject equally many good texts those of the
+    rule that catches the most bad ones with no more come first, then by its name."""
     of_rule = Window.partitionBy("stratum", "rule").orderBy("step")
-    of_stratum = Window.partitionBy("stratum").orderBy("good", "step", "rule")
+    of_stratum = Window.partitionBy("stratum").orderBy("good", F.desc("caught"), "rule", "step")
     return (
         learnt.select("stratum", "label", F.explode(F.array(*_tried())).alias("t"))
         .groupBy("stratum", "t.rule", "t.step", "t.cutoff")
@@ -190,6 +191,7 @@ def _paths(learnt: DataFrame) -> DataFrame:
         )
         .withColumn("before", F.lag("bad", 1, 0).over(of_rule))
         .where("bad > before")
+        .withColumn("caught", F.max("bad").over(Window.partitionBy("stratum", "rule", "good")))
         .withColumn("place", F.row_number().over(of_stratum))
         .select("stratum", "rule", "step", "cutoff", "place")
     )

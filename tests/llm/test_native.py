@@ -319,10 +319,14 @@ def walked(rows, risk, error):
             for step, cutoff in enumerate(grid):
                 caught = [label for _, label, _, values in learnt if values[rule] > cutoff]
                 if caught.count(0) > before:
-                    found.append((caught.count(1), step, rule, cutoff))
+                    found.append((caught.count(1), caught.count(0), rule, step, cutoff))
                 before = caught.count(0)
+        best = {}
+        for good, bad, rule, _, _ in found:
+            best[good, rule] = max(bad, best.get((good, rule), 0))
+        found.sort(key=lambda x: (x[0], -best[x[0], x[2]], x[2], x[3]))
         going, limits = True, {}
-        for _, step, rule, cutoff in sorted(found):
+        for _, _, rule, step, cutoff in found:
             limits[rule] = cutoff
             k = sum(any(v[r] > c for r, c in limits.items()) for v in texts)
             chance = at_most(k, len(texts)) if k <= risk * len(texts) else 1.0
