@@ -94,7 +94,7 @@ def system_health(
 ) -> DataFrame:
     """Today's events, issues and change failure rate against their limits. The
     rate counts bug mentions only."""
-    of_events = _daily_profile(events, as_of, days, is_bug())
+    of_events = _daily_profile(events, as_of, days, is_bug(events))
     of_issues = _daily_profile(issues, as_of, days, None)
     rate = F.coalesce(scores.percent(F.col("failing"), F.col("today")), F.lit(0.0))
     event_rows = F.array(
@@ -116,7 +116,7 @@ def system_health_static(
     """The last 24 hours against stored limits; the change failure rate, whose
     limit is fixed, is NULL and healthy without events."""
     of_events = last_days(events, as_of, 1).agg(
-        F.count("*").alias("n"), F.count_if(is_bug()).alias("failing")
+        F.count("*").alias("n"), F.count_if(is_bug(events)).alias("failing")
     )
     of_issues = last_days(issues, as_of, 1).agg(F.count("*").alias("n"))
     rate = scores.percent(F.col("failing"), F.col("n"))
@@ -194,7 +194,7 @@ def data_diagnostics(
             F.count("*").alias("Total events"),
             F.count_if(since(events, 7)).alias("Events last 7d"),
             F.count_if(since(events, 30)).alias("Events last 30d"),
-            F.count_if(is_merged()).alias("Merged PR events"),
+            F.count_if(is_merged(events)).alias("Merged PR events"),
         ),
         issues.agg(
             F.count("*").alias("Total issues"),

@@ -23,7 +23,7 @@ from repolume.functions.timecols import (
     week_number,
     week_start,
 )
-
+from repolume.sources.payloads import MERGED_AT, SAYS_BUG, SAYS_MERGED
 
 Steps = list[tuple[float | None, str]]
 
@@ -32,21 +32,29 @@ def _keys(by_repo: bool) -> list[str]:
     return ["repo_name"] if by_repo else []
 
 
-def is_merged() -> Column:
+def _says(events: DataFrame | None, stored: str, word: str) -> Column:
+    if events is not None and stored in events.columns:
+        return F.col(stored)
+    return F.col("payload").contains(word)
+
+
+def is_merged(events: DataFrame | None = None) -> Column:
     """A pull-request event whose payload text mentions ``merged``, whatever its value."""
-    return (F.col("type") == "PullRequestEvent") & F.col("payload").contains("merged")
+    return (F.col("type") == "PullRequestEvent") & _says(events, SAYS_MERGED, "merged")
 
 
-def is_bug() -> Column:
-    return F.col("payload").contains("bug")
+def is_bug(events: DataFrame | None = None) -> Column:
+    return _says(events, SAYS_BUG, "bug")
 
 
-def is_failure() -> Column:
-    return is_bug() | (F.col("type") == "IssuesEvent")
+def is_failure(events: DataFrame | None = None) -> Column:
+    return is_bug(events) | (F.col("type") == "IssuesEvent")
 
 
 def merged_at(events: DataFrame) -> Column:
     """The payload's merge time; absent or unreadable text gives NULL."""
+    if MERGED_AT in events.columns:
+        return F.col(MERGED_AT)
     return F.get_json_object("payload", "$.pull_request.merged_at").try_cast(
         events.schema["created_at"].dataType
     )
@@ -55,7 +63,7 @@ def merged_at(events: DataFrame) -> Column:
 def deployment_count(
     events: DataFrame, as_of: AsOf, days: int = 7, repos=None, by_repo: bool = False
 ) -> DataFrame:
-    merged = in_repos(last_days(events, as_of, days), repos).where(is_merged())
+    merged = in_repos(last_days(events, as_of, days), repos).where(is_merged(events))
     return merged.groupBy(*_keys(by_repo)).agg(F.count("*").alias("deployments"))
 
 
@@ -64,7 +72,7 @@ def deployment_frequency_weekly(
 ) -> DataFrame:
     """Deployments per week (beginning on Sunday): the number of the week in its
     year, and the date it begins on, which keeps weeks of two years apart."""
-    merged = in_repos(last_days(events, as_of, days), repos).where(is_merged())
+    merged = in_repos(last_days(events, as_of, days), repos).where(is_merged(events))
     date = day(F.col("created_at"))
     return (
         merged.groupBy(week_start(date).alias("week_start"), week_number(date).alias("time"))
@@ -78,7 +86,7 @@ def lead_time_hours(
 ) -> DataFrame:
     """Mean hours from a merge event to the ``merged_at`` in its payload, 0 if
     there is none; an absent or unreadable time is left out."""
-    merged = in_repos(last_days(events, as_of, days), repos).where(is_merged())
+    merged = in_repos(last_days(events, as_of, days), repos).where(is_merged(events))
     mean = F.avg(hours_crossed(F.col("created_at"), merged_at(events)))
     return merged.groupBy(*_keys(by_repo)).agg(F.coalesce(mean, F.lit(0.0)).alias("lead_time"))
 
@@ -120,7 +128,7 @@ def change_failure_rate(
     """Percentage of events that mention a bug or concern an issue; without any
     event 0 if ``guarded``, else NULL."""
     recent = in_repos(last_days(events, as_of, days), repos)
-    rate = scores.percent(F.count_if(is_failure()), F.count("*"))
+    rate = scores.percent(F.count_if(is_failure(events)), F.count("*"))
     if guarded:
         rate = F.coalesce(rate, F.lit(0.0))
     return recent.groupBy(*_keys(by_repo)).agg(rate.alias("cfr"))
@@ -181,14 +189,14 @@ def metric_bands(
     issue_long = F.col("created_at") >= time_literal(
         issues, "created_at", days_before(as_of, long_days)
     )
-    lead = F.avg(F.when(is_merged(), hours_crossed(F.col("created_at"), merged_at(events))))
-    failing = scores.percent(F.count_if(is_short & is_failure()), F.count_if(is_short))
+    lead = F.avg(F.when(is_merged(events), hours_crossed(F.col("created_at"), merged_at(events))))
+    failing = scores.percent(F.count_if(is_short & is_failure(events)), F.count_if(is_short))
     closed = issue_long & (F.col("state") == "closed")
     to_close = F.avg(F.when(closed, hours_crossed(F.col("created_at"), F.col("closed_at"))))
     of_events = {
         "lead_time": F.coalesce(lead, F.lit(0.0)),
         "cfr": F.coalesce(failing, F.lit(0.0)),
-        "deployments": F.count_if(is_short & is_merged()).cast("double"),
+        "deployments": F.count_if(is_short & is_merged(events)).cast("double"),
     }
     of_issues = {
         "mttr": F.coalesce(to_close, F.lit(0.0)),

@@ -31,7 +31,7 @@ from repolume.plans.tables import (
     AS_OF_TODAY,
 )
 from repolume import schema
-from repolume.sources import feeds, keyindex, lookback, sqlentry, thresholds
+from repolume.sources import feeds, keyindex, lookback, payloads, scoring, sqlentry, thresholds
 from repolume.sources import issues as issue_store
 from repolume.sources import tables as store
 from repolume.streaming import actors, ingest, limits, rollup
@@ -226,6 +226,58 @@ def metric_bands_short(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _parsed_events(spark: SparkSession, d: str) -> DataFrame:
+    """The events stored with the members of their payloads."""
+    path = _kept(
+        spark, d, "parsed-events", lambda p: payloads.append_parsed(t.activity(spark, d), p, 0)
+    )
+    return spark.read.parquet(path)
+
+
+@register
+def lead_time_hours_parsed(spark: SparkSession, d: str) -> DataFrame:
+    return delivery.lead_time_hours(_parsed_events(spark, d), AS_OF, by_repo=True)
+
+
+@register
+def metric_bands_parsed(spark: SparkSession, d: str) -> DataFrame:
+    steps = delivery.full_steps(thresholds.DEFAULTS)
+    return delivery.metric_bands(
+        _parsed_events(spark, d), t.issues(spark, d, with_labels=False), AS_OF, steps
+    )
+
+
+@register
+def payload_members(spark: SparkSession, d: str) -> DataFrame:
+    """Members that no column holds, read from the variant: sizes and actions by type."""
+    events = _parsed_events(spark, d)
+    return events.groupBy("type", payloads.member("$.action", "string").alias("action")).agg(
+        F.count("*").alias("events"),
+        F.sum(payloads.member("$.size", "bigint")).alias("total_size"),
+        F.count(payloads.member("$.pull_request.merged_at", "string")).alias("merge_times"),
+    )
+
+
+@register
+def rejected_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads with planted faults by the event's number modulo 50: 0 cut off, 1 a list, 2 a
+    member named twice, 3 none. All rows are stored; by month and reason."""
+    n = F.col("id").cast("long") % 50
+    text = (
+        F.when(n == 0, F.expr("substr(payload, 1, length(payload) - 1)"))
+        .when(n == 1, F.concat(F.lit("["), "payload", F.lit("]")))
+        .when(n == 2, F.lit('{"merged":1,"merged":2}'))
+        .when(n != 3, F.col("payload"))
+    )
+    path = new_path(spark, "broken-payloads")
+    payloads.append_parsed(t.activity(spark, d).withColumn("payload", text), path, load_id=0)
+    stored = spark.read.parquet(path)
+    return stored.groupBy(F.col("event_month").cast("bigint").alias("event_month"),
+                          F.col(payloads.ERROR).alias("error")).agg(
+        F.count("*").alias("events"), F.count("payload").alias("texts")
+    )
+
+
 @register
 def event_traffic_bands(spark: SparkSession, d: str) -> DataFrame:
     daily = traffic.event_traffic_daily(t.activity(spark, d))
@@ -527,6 +579,24 @@ def unscored_issues(spark: SparkSession, d: str) -> DataFrame:
     return left.select("id", "title")
 
 
+@register
+def unscored_by_bucket(spark: SparkSession, d: str) -> DataFrame:
+    """The issues without a prediction, both tables stored by buckets; the predictions are
+    loaded twice."""
+    database = f"scored_{uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database}")
+    names = [f"{database}.{name}" for name in ("issues", "predictions")]
+    paths = [new_path(spark, f"bucketed-{name}") for name in ("issues", "predictions")]
+    try:
+        scoring.store_scorable(t.issues(spark, d), names[0], paths[0], buckets=8)
+        for _ in range(2):
+            scoring.add_predictions(t.issue_predictions(spark, d), names[1], paths[1], buckets=8)
+        # the files stay where they are when the names go
+        return scoring.unscored(spark, *names).select("id", "title")
+    finally:
+        spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
 @register
 def score_issues(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "issue-predictions")

@@ -731,3 +731,16 @@ UNION ALL SELECT 'forecasts', 30 * count(DISTINCT repo_name), count(DISTINCT rep
 UNION ALL SELECT 'issues', count(*), count(DISTINCT id) FROM issue WHERE number % 7 <> 0
 UNION ALL SELECT 'releases', 0, 0"""),
 }
+
+ORACLES |= {
+    "lead_time_hours_parsed": ORACLES["lead_time_hours_by_repo"],
+    "metric_bands_parsed": ORACLES["metric_bands"],
+    "payload_members": _events("""SELECT type, payload ->> '$.action' AS action, count(*) AS events,
+ CAST(sum(CAST(payload ->> '$.size' AS BIGINT)) AS BIGINT) AS total_size,
+ count(payload ->> '$.pull_request.merged_at') AS merge_times FROM activity GROUP BY 1, 2"""),
+    "rejected_payloads": _events("""SELECT CAST(strftime(created_at, '%Y%m') AS BIGINT) AS event_month,
+ CASE CAST(id AS BIGINT) % 50 WHEN 0 THEN 'json' WHEN 1 THEN 'object' WHEN 2 THEN 'json' END AS error,
+ count(*) AS events, count(*) FILTER (WHERE CAST(id AS BIGINT) % 50 <> 3) AS texts
+FROM activity GROUP BY 1, 2"""),
+    "unscored_by_bucket": ORACLES["unscored_issues"],
+}

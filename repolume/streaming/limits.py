@@ -242,7 +242,7 @@ def alerts_from_days(days: DataFrame, as_of: AsOf, look_back: int = 90) -> DataF
 
 
 def event_rows(events: DataFrame) -> DataFrame:
-    return counted_rows(events, "events", is_bug())
+    return counted_rows(events, "events", is_bug(events))
 
 
 def issue_rows(issues: DataFrame) -> DataFrame:
