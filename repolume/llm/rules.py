@@ -249,8 +249,7 @@ def judge(
 
     A null or empty text has no words and fails the base. A null id is judged like any row.
     Repeated ids are judged one by one, and all count if labelled. A value equal to a cutoff
-    passes. A stratum with fewer than some 200 good texts to prove with (148 if it is the only
-    one), one without bad texts to learn from, and a table without labels reject by the base
+    passes. A stratum with fewer than 217 good texts to prove with (at the defaults), one without bad texts to learn from, and a table without labels reject by the base
     alone. A very long text is one row, sorted within its task; an empty table gives no rows.
     Only ``doc_id`` and ``text`` are read of ``documents``.
     """
