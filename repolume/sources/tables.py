@@ -17,6 +17,9 @@ from repolume.functions.timecols import AsOf, as_datetime, days_before, month_ke
 MONTH = "event_month"
 SORT_KEY = ["created_at", "repo_name", "type"]
 TARGET_FILE_BYTES = 256 * 1024 * 1024
+# Compaction sorts pieces of about this many rows, or bytes in files, each in a task of its own,
+# and puts neighbouring pieces together afterwards, in jobs of so many files.
+PIECE_ROWS, PIECE_BYTES, FILES_A_JOB = 1_000_000, 64 * 1024 * 1024, 64
 # Loads count from 0; compactions take numbers from -1 down, and restored rows whose backup
 # was not kept by load have their own.
 COMPACTED_LOAD, RESTORED_LOAD = -1, -1_000_000_000
@@ -221,6 +224,80 @@ def restore_table(spark: SparkSession, backup: str, path: str) -> None:
     rows.write.mode("append").partitionBy(*partitions_of(rows)).parquet(path)
 
 
+def _write_sorted(
+    rows: DataFrame, own: str, key: list[str], size: int, file_bytes: int, by: tuple = ()
+) -> bool:
+    """Write rows to ``own``/files, one folder for each value of the partition columns ``by``
+    (first in ``key``), in files of about ``file_bytes``, each a range of ``key`` and in its
+    order; tell whether each file was sorted as one piece. ``size`` is what the rows take in
+    files now.
+
+    A task sorts one piece of ``PIECE_ROWS`` or ``PIECE_BYTES``, whatever the size of a file.
+    Files of several pieces are then put together piece after piece, without sorting again.
+    """
+    spark = rows.sparkSession
+    files = max(1, -(-size // file_bytes))
+    pieces = max(files, -(-rows.count() // PIECE_ROWS), -(-size // PIECE_BYTES))
+    whole = pieces == files  # each piece is a file
+    writer = rows.repartitionByRange(pieces, *key).sortWithinPartitions(*key).write
+    writer.partitionBy(*by).parquet(f"{own}/{'files' if whole else 'pieces'}")
+    if whole:
+        return True
+    schema = rows.drop(*by).schema
+    for folder, found in _file_groups(spark, f"{own}/pieces", file_bytes):
+        for at in range(0, len(found), FILES_A_JOB):
+            parts = [
+                reduce(DataFrame.unionByName, [spark.read.schema(schema).parquet(f) for f in group])
+                .coalesce(1)
+                for group in found[at : at + FILES_A_JOB]
+            ]
+            reduce(DataFrame.unionByName, parts).write.mode("append").parquet(
+                f"{own}/files/{folder}".rstrip("/")
+            )
+    delete_folder(spark, f"{own}/pieces")
+    return False
+
+
+def _file_groups(
+    spark: SparkSession, path: str, file_bytes: int
+) -> list[tuple[str, list[list[str]]]]:
+    """For each folder under ``path``, by its name there, the files in order of their names,
+    in groups of about ``file_bytes``."""
+    files, hadoop_path = _file_system(spark, path)
+    out = []
+
+    def walk(folder: str, at) -> None:
+        groups, total = [], 0
+        for status in sorted(
+            files.listStatus(at), key=lambda x: (len(x.getPath().getName()), x.getPath().getName())
+        ):
+            name = status.getPath().getName()
+            if name.startswith(("_", ".")):
+                continue
+            if status.isDirectory():
+                walk(f"{folder}/{name}".lstrip("/"), status.getPath())
+                continue
+            if not groups or total + status.getLen() // 2 > file_bytes:
+                groups, total = [*groups, []], 0
+            groups[-1].append(status.getPath().toString())
+            total += status.getLen()
+        if groups:
+            out.append((folder, groups))
+
+    walk("", hadoop_path)
+    return out
+
+
+def _move_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Put a folder that was written whole in the place of another, or of none."""
+    files, hadoop_path = _file_system(spark, source)
+    place = spark._jvm.org.apache.hadoop.fs.Path(target)
+    files.delete(place, True)
+    files.mkdirs(place.getParent())
+    if not files.rename(hadoop_path, place):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
 def _file_system(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
@@ -429,7 +506,7 @@ def compact_in_place(
     partitions = partitions_of(table)
     _remove_merged(spark, path)
     done = []
-    for month, files in crowded_months(spark, path, file_bytes, spare_files):
+    for month, _ in crowded_months(spark, path, file_bytes, spare_files):
         rows = spark.read.parquet(path).where(F.col(MONTH) == month)
         loads, into = [], COMPACTED_LOAD
         if LOAD in partitions:
@@ -438,16 +515,21 @@ def compact_in_place(
             into = min(merged_before, default=0) - 1
             rows = rows.withColumn(LOAD, F.lit(into).cast("bigint"))
         own = f"{staging.rstrip('/')}/{month}"
-        (
-            rows.repartitionByRange(max(1, files), *SORT_KEY)
-            .sortWithinPartitions(*SORT_KEY)
-            .write.mode("overwrite")
-            .parquet(own)
-        )
+        delete_folder(spark, own)
+        size = table_sizes(spark, {"events": f"{path}/{MONTH}={month}"}).first()["bytes"]
+        whole = _write_sorted(rows.drop(MONTH, LOAD), own, SORT_KEY, size, file_bytes)
         if loads:
             listed = spark.createDataFrame([(month, n, into) for n in loads], _MERGED)
             _list_merged(listed, path, "append")
-        replace_partitions(spark.read.parquet(own), path)
+        if whole:
+            merged = spark.read.parquet(f"{own}/files").withColumn(MONTH, F.lit(month))
+            if loads:
+                merged = merged.withColumn(LOAD, F.lit(into).cast("bigint"))
+            replace_partitions(merged, path)
+        else:
+            # written through Spark, files of many pieces would be sorted whole once more
+            place = f"{path}/{MONTH}={month}" + (f"/{LOAD}={into}" if loads else "")
+            _move_folder(spark, f"{own}/files", place)
         _remove_merged(spark, path, month)
         delete_folder(spark, own)
         done.append(month)
@@ -499,11 +581,9 @@ def compact_events(
         table = table.withColumn(LOAD, F.lit(COMPACTED_LOAD).cast("bigint"))
         partitions.append(LOAD)
     total = table_sizes(spark, {"events": path}).first()["bytes"]
-    files = max(1, -(-total // file_bytes))
-    (
-        table.repartitionByRange(files, MONTH, *SORT_KEY)
-        .sortWithinPartitions(MONTH, *SORT_KEY)
-        .write.mode("append")
-        .partitionBy(*partitions)
-        .parquet(target)
-    )
+    staging = f"{target}/_staging"  # no reader looks there
+    delete_folder(spark, staging)
+    _write_sorted(table, staging, [MONTH, *SORT_KEY], total, file_bytes, tuple(partitions))
+    for name in folders(spark, f"{staging}/files"):
+        _move_folder(spark, f"{staging}/files/{name}", f"{target}/{name}")
+    delete_folder(spark, staging)

@@ -133,6 +133,37 @@ def test_compaction_splits_a_big_month(spark, tmp_path):
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
 
 
+@pytest.mark.parametrize("in_place", [False, True])
+def test_compaction_sorts_bounded_pieces(spark, tmp_path, monkeypatch, in_place):
+    """One file of several pieces, none of which has more rows than a task may sort."""
+    path, target = str(tmp_path / "events"), str(tmp_path / "compact")
+    monkeypatch.setattr(tables, "PIECE_ROWS", 500)
+    data = events(spark, 4000, datetime(2024, 1, 1), timedelta(minutes=1))
+    for load in range(6):
+        tables.append_events(part_of(data, load, 6), path, load_id=load)
+    sorted_rows = []
+    groups = tables._file_groups
+
+    def noted(spark, at, file_bytes):
+        found = groups(spark, at, file_bytes)
+        for _, several in found:
+            sorted_rows.extend(spark.read.parquet(f).count() for g in several for f in g)
+        return found
+
+    monkeypatch.setattr(tables, "_file_groups", noted)
+    if in_place:
+        assert tables.compact_in_place(spark, path, str(tmp_path / "staging")) == [202401]
+        assert tables.compact_in_place(spark, path, str(tmp_path / "staging")) == []
+        target = path
+    else:
+        tables.compact_events(spark, path, target)
+    (file,) = glob.glob(f"{target}/event_month=202401/load_id=-1/*.parquet")
+    times = [r[0] for r in spark.read.parquet(file).coalesce(1).select("created_at").collect()]
+    assert times == sorted(times) and ids(spark.read.parquet(target)) == list(range(4000))
+    assert len(sorted_rows) >= 8 and max(sorted_rows) < 1500
+    assert not glob.glob(f"{target}/_staging")
+
+
 def test_sizes_equal_the_files(spark, tmp_path):
     path = str(tmp_path / "events")
     tables.append_events(events(spark), path)
