@@ -57,14 +57,19 @@ def index_rows(table: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFram
         F.max("value").alias("high"),
         F.ceil(F.count("*") * F.lit(BITS_PER_KEY) / F.lit(PIECE)).alias("pieces"),
     )
-    numbered = values.join(sizes, of).withColumn(
+    numbered = values.join(sizes.select(*of, "pieces"), of).withColumn(
         "k", F.explode(F.sequence(F.lit(0), F.lit(HASHES - 1)))
     )
     at = _position(F.col("value"), F.col("pieces"), F.col("k"))
-    placed = numbered.withColumn("at", at).withColumn("piece", F.expr(f"at div {PIECE}"))
-    return placed.groupBy(*of, "low", "high", "pieces", "piece").agg(
-        F.bitmap_construct_agg(F.col("at") % F.lit(PIECE)).alias("bits")
+    placed = numbered.select(*of, at.alias("at")).select(
+        *of, F.expr(f"at div {PIECE}").alias("piece"), F.expr(f"at % {PIECE}").alias("bit")
     )
+    # the bitmap aggregate sorts its rows: pieces are dealt out before, so that no task sorts
+    # more than its share of pieces, in rows without the strings
+    bits = placed.repartition(*of, "piece").groupBy(*of, "piece").agg(
+        F.bitmap_construct_agg("bit").alias("bits")
+    )
+    return bits.join(sizes, of).select(*of, "low", "high", "pieces", "piece", "bits")
 
 
 def index_table(

@@ -45,6 +45,15 @@ def test_a_rare_key_is_deleted_from_its_partitions_alone(spark, tmp_path):
     assert keyindex.delete_keys(spark, path, index, "repo_name", []) == []
 
 
+def test_the_pieces_of_the_filters_are_dealt_out_before_they_are_sorted(spark):
+    """The bitmap aggregate sorts: no task sorts the positions of its whole input."""
+    table = events(spark, 100).selectExpr("*", "202401 AS event_month", "0L AS load_id")
+    plan = keyindex.index_rows(table)._jdf.queryExecution().executedPlan().toString()
+    partial = plan.split("partial_bitmap_construct_agg")[1]
+    sort, exchange = partial.index("Sort ["), partial.index("Exchange hashpartitioning")
+    assert sort < exchange and "piece" in partial[exchange:].split("\n")[0]
+
+
 def test_look_ups_find_every_key(spark, tmp_path):
     path, index = str(tmp_path / "events"), str(tmp_path / "index")
     data = keyed(spark, path, index)
