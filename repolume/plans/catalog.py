@@ -680,11 +680,19 @@ def rejected_issues(spark: SparkSession, d: str) -> DataFrame:
     return parsed.groupBy(reason).agg(F.count("*").alias("issues"))
 
 
+def _fetched_issues(spark: SparkSession, d: str) -> DataFrame:
+    """The issues of the feed, landed once: the fetches of a query read them from there."""
+    path = new_path(spark, "landed-issues")
+    fetched = feeds.normalize_issues(t.raw_issue_feed(spark, d))
+    fetched.write.parquet(path, compression="zstd")
+    return spark.read.schema(fetched.schema).parquet(path)
+
+
 def _stored_issues(spark: SparkSession, d: str) -> str:
     """Issues fetched three times: all, the closed ones again, and late the first fetch again;
     in the first all were open."""
     path = new_path(spark, "issues")
-    fetched = feeds.normalize_issues(t.raw_issue_feed(spark, d))
+    fetched = _fetched_issues(spark, d)
     none = F.lit(None).cast("timestamp")
     first = fetched.withColumns({"state": F.lit("open"), "closed_at": none})
     for fetch_id, rows in ((0, first), (1, fetched.where("state = 'closed'")), (0, first)):
@@ -704,7 +712,7 @@ def store_issues_on_read(spark: SparkSession, d: str) -> DataFrame:
     """The same fetches kept beside a base table, folded after the second, read after the
     late one."""
     path = new_path(spark, "issue-fetches")
-    fetched = feeds.normalize_issues(t.raw_issue_feed(spark, d))
+    fetched = _fetched_issues(spark, d)
     first = fetched.withColumns(
         {"state": F.lit("open"), "closed_at": F.lit(None).cast("timestamp")}
     )

@@ -12,10 +12,17 @@ reads the same from the fetches, so folding can be cut off at any point and repe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolume.sources.tables import delete_folder, file_exists, folders, table_exists
+from repolume.sources.tables import (
+    PIECE_ROWS,
+    delete_folder,
+    file_exists,
+    folders,
+    newest_rows,
+    table_exists,
+)
 
 FETCH = "fetch_id"
 BUCKETS = 64
@@ -50,18 +57,30 @@ def _fetches(spark: SparkSession, path: str) -> DataFrame | None:
     return rows.withColumn(FETCH, F.col(FETCH).cast("bigint"))
 
 
-def _newest(rows: DataFrame) -> DataFrame:
-    """Of each id the row of the latest fetch; of several there, the first in order."""
-    others = F.to_json(F.struct(*sorted(c for c in rows.columns if c not in ("id", FETCH))))
-    order = Window.partitionBy("id").orderBy(F.desc(FETCH), others)
-    return rows.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+def _newest(rows: DataFrame, *parts: str) -> DataFrame:
+    """Of each id the row of the latest fetch; of several there, the first in order. ``parts``
+    are columns that follow from the id."""
+    others = sorted(c for c in rows.columns if c not in ("id", FETCH, *parts))
+    return newest_rows(rows, [*parts, "id"], FETCH, others)
+
+
+def _all_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    """Base and fetches together, if the fetches are large beside the base; rows of the base
+    without an id are left out, as no fetch brings them again."""
+    base, fetches = _base(spark, path), _fetches(spark, path)
+    if base is None or fetches is None:
+        return fetches
+    if fetches.count() <= FOLD_SHARE * base.count():
+        return None
+    return base.where("id IS NOT NULL").unionByName(fetches.select(*base.columns))
 
 
 def read_issues(spark: SparkSession, path: str) -> DataFrame:
     """One row per id, that of the latest fetch, with the number of that fetch.
 
     Rows of the base that no fetch brings again are not shuffled where the ids of the fetches
-    are few enough for Spark to broadcast them.
+    are few enough for Spark to broadcast them. Fetches that are large beside the base are
+    shuffled once, together with it.
     """
     base, fetches = _base(spark, path), _fetches(spark, path)
     if base is None and fetches is None:
@@ -70,6 +89,9 @@ def read_issues(spark: SparkSession, path: str) -> DataFrame:
         return _newest(fetches)
     if fetches is None:
         return base
+    together = _all_rows(spark, path)
+    if together is not None:
+        return _newest(together).unionByName(base.where("id IS NULL"))
     fetches = fetches.select(*base.columns)
     again = fetches.select("id").distinct()
     changed = base.join(again, "id", "left_semi").unionByName(fetches)
@@ -88,12 +110,21 @@ def fold_fetches(
     ):
         held = [n for n in folders(spark, f"{path}/fetches") if n.startswith(f"{FETCH}=")]
         new = generations[-1] + 1 if generations else 0
-        rows = read_issues(spark, path).withColumn(
-            "bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
-        )
+        bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+        together = _all_rows(spark, path)
+        if together is None:
+            rows = read_issues(spark, path).withColumn("bucket", bucket).repartition("bucket")
+        else:
+            # one shuffle by parts of buckets finds the newest rows and writes the buckets
+            parts = -(-together.count() // (PIECE_ROWS * buckets))
+            part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts or 1))
+            rows = together.withColumns({"bucket": bucket, "_part": part})
+            rows = _newest(rows.repartition("bucket", "_part"), "bucket", "_part").drop("_part")
+            if base is not None:
+                rest = base.where("id IS NULL").withColumn("bucket", bucket)
+                rows = rows.unionByName(rest.repartition("bucket"))
         (
-            rows.repartition("bucket")
-            .sortWithinPartitions("bucket", "id")
+            rows.sortWithinPartitions("bucket", "id")
             .write.mode("overwrite")
             .partitionBy("bucket")
             .parquet(f"{path}/base/generation={new}")

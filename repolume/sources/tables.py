@@ -142,12 +142,9 @@ def store_issues(issues: DataFrame, path: str, fetch_id: int, buckets: int = 64)
         stored = spark.read.parquet(path)
         touched = rows.select("bucket").distinct()
         rows = rows.unionByName(stored.join(touched, "bucket", "left_semi").select(*rows.columns))
-    others = [F.to_json(F.struct(*[c for c in issues.columns if c != "id"]))]
-    newest = Window.partitionBy("bucket", "id").orderBy(F.desc("fetch_id"), *others)
+    others = [c for c in issues.columns if c != "id"]
     (
-        rows.withColumn("_rank", F.row_number().over(newest))
-        .where("_rank = 1")
-        .drop("_rank")
+        newest_rows(rows, ["bucket", "id"], "fetch_id", others)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket")
@@ -155,6 +152,22 @@ def store_issues(issues: DataFrame, path: str, fetch_id: int, buckets: int = 64)
     )
 
 
+def newest_rows(rows: DataFrame, keys: list[str], fetch: str, others: list[str]) -> DataFrame:
+    """Of each key the row of the latest fetch; of several there, the first in the order of
+    ``others`` as JSON.
+
+    Rows are shuffled as they are. Their JSON, as long as they are, is made after the shuffle,
+    of rows that share key and fetch with another alone.
+    """
+    latest = Window.partitionBy(*keys).orderBy(F.desc(fetch))
+    rows = rows.withColumn("_rank", F.rank().over(latest)).where("_rank = 1")
+    rows = rows.withColumn("_many", F.count("*").over(Window.partitionBy(*keys)))
+    tied = F.when(F.col("_many") > 1, F.to_json(F.struct(*others)))
+    first = Window.partitionBy(*keys).orderBy(tied)
+    rows = rows.withColumn("_rank", F.row_number().over(first)).where("_rank = 1")
+    return rows.drop("_rank", "_many")
+
+
 def _keep_buckets(spark: SparkSession, path: str, buckets: int) -> None:
     """Note the number of buckets of a new table; refuse another one for a table that is there."""
     noted = f"{path}/{BUCKETS}"

@@ -1,6 +1,7 @@
 import glob
 
 import pytest
+from pyspark.sql import functions as F
 
 from repolume.sources import issues as store
 from repolume.sources import tables
@@ -77,3 +78,24 @@ def test_nothing_stored(spark, tmp_path):
     with pytest.raises(ValueError):
         store.read_issues(spark, str(tmp_path / "none"))
     assert not store.fold_fetches(spark, str(tmp_path / "none"))
+
+
+def test_rows_are_shuffled_without_their_json(spark):
+    rows = issues(spark, [(1, "open")]).withColumn("fetch_id", F.lit(0).cast("bigint"))
+    found = store._newest(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "to_json" in found or "structstojson" in found.lower()
+    below = found[found.rindex("Exchange") :].lower()
+    assert "to_json" not in below and "structstojson" not in below
+    assert found.count("Exchange") == 1
+
+
+def test_rows_of_one_fetch_are_told_apart_by_their_json(spark, tmp_path):
+    rows = issues(spark, [(1, "open"), (1, "closed"), (2, "open"), (2, "open"), (3, "closed")])
+    want = {1: "closed", 2: "open", 3: "closed"}
+    path, other = str(tmp_path / "issues"), str(tmp_path / "other")
+    store.append_fetch(rows, path, 0)
+    assert state(spark, path) == want
+    assert store.fold_fetches(spark, path, buckets=4)
+    assert state(spark, path) == want
+    tables.store_issues(rows, other, 0, buckets=4)
+    assert sorted((r["id"], r["state"]) for r in spark.read.parquet(other).collect()) == [*want.items()]
