@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
     IDF,
     CountVectorizer,
@@ -19,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repolume.functions.timecols import AsOf, as_datetime
+from repolume.operators import softmax
 
 # Class size, vocabulary, iterations, split.
 MIN_CLASS_ROWS = 30
@@ -92,17 +92,16 @@ def train(rows: DataFrame, max_iterations: int = MAX_ITERATIONS) -> PipelineMode
     counted = vocabulary.transform(terms).select("label", "counts")
     counted.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = counted.count()
         index = StringIndexer(inputCol="label", outputCol="label_index").fit(counted)
         idf = IDF(inputCol="counts", outputCol="weights").fit(counted)
         norm = Normalizer(inputCol="weights", outputCol="features", p=2.0)
-        regression = LogisticRegression(
-            labelCol="label_index",
-            family="multinomial",
-            maxIter=max_iterations,
-            standardization=False,
-            regParam=1.0 / n,
-        ).fit(norm.transform(idf.transform(index.transform(counted))))
+        rows_of = {r["label"]: r["count"] for r in counted.groupBy("label").count().collect()}
+        regression = softmax.fit(
+            norm.transform(idf.transform(index.transform(counted))),
+            [rows_of[label] for label in index.labels],
+            len(vocabulary.vocabulary),
+            max_iterations,
+        )
     finally:
         counted.unpersist()
     names = IndexToString(
