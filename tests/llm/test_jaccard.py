@@ -153,3 +153,38 @@ def test_swept_tables_put_the_setting_back(spark):
     with pytest.raises(Exception):
         written_swept(spark, rows.selectExpr("raise_error('x') AS k"), "swept").count()
     assert spark.conf.get(SWEEP, None) == before
+
+
+def test_long_parity_is_no_more_than_the_difference():
+    rng = np.random.default_rng(2)
+    for n, m in ((0, 0), (1, 1), (0, 40), (512, 513), (900, 1100), (3000, 3600), (5000, 5000)):
+        a, b = (rng.integers(0, 1 << 62, k).astype(np.uint64) for k in (n, m))
+        b[: min(n, m) // 3] = a[: min(n, m) // 3]
+        a, b = np.unique(a), np.unique(b)
+        differ = len(np.setxor1d(a, b))
+        bits, others = jaccard.long_parity(a), jaccard.long_parity(b)
+        assert len(bits) * 8 >= max(len(a), jaccard.PARITY)
+        distance = jaccard.parity_distance(bits, others)
+        assert distance == jaccard.parity_distance(others, bits) <= differ
+        assert jaccard.parity_distance(bits, bits) == 0
+        if min(n, m) > jaccard.PARITY:  # a third of the shingles in common is never near
+            assert distance > jaccard.most_different(len(a) + len(b), 80)
+
+
+def test_long_texts_that_are_not_similar_are_not_sent_whole(spark, monkeypatch):
+    """Texts of 3000 words that share half of them, and one near copy of each: only the copies
+    have their whole sets compared."""
+    shared, rows = prose(40, 1500, 10**6), []
+    for i in range(12):
+        own = shared + prose(50 + i, 1500, 10**6)
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own[:-40]))]
+    sent, verify = [], jaccard.Join.verify
+
+    def counted(self, pairs):
+        sent.extend((r.a, r.b) for r in pairs.collect())
+        return verify(self, pairs)
+
+    monkeypatch.setattr(jaccard.Join, "verify", counted)
+    found = jaccard.similar_documents(documents(spark, rows), 5, 80)
+    same_partition(rows, found.collect(), 5, 80)
+    assert len(sent) == len(set(sent)) == 12
