@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 import zstandard
 
-KEPT_WORDS = 600_000
+KEPT_WORDS, KEPT_BYTES = 100_000, 64  # words kept, and the longest of them
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -16,7 +16,9 @@ class WordHashes(dict):
     """64-bit hashes of distinct words."""
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
+        out = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= KEPT_BYTES:
+            self[word] = out
         return out
 
     def of(self, text: bytes | None) -> np.ndarray:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolume.llm.common import map_arrow, worker_state, written_swept
+from repolume.llm.common import give_back, in_pieces, map_arrow, worker_state, written_swept
 from repolume.llm.hashing import WordHashes, arrays_of, blob_of, mix, pieces, prefix_hashes
 
 WORDS, PERCENT = 5, 80  # unless a caller asks for others
@@ -172,7 +172,7 @@ def _texts(batches: Iterator[pa.RecordBatch], words: int, most: int) -> Iterator
     ends at ``most`` words or ``RUN_ROWS`` rows."""
     hashes = worker_state("jaccard-words", WordHashes)
     rows, texts, held = [], [], 0
-    for batch in batches:
+    for batch in in_pieces(batches):
         for *row, text in zip(*(c.to_pylist() for c in batch.columns)):
             rows.append(row)
             texts.append(hashes.of((text or b"").lower()))
@@ -256,6 +256,12 @@ def shared_sketches(texts: DataFrame, words: int, percent: int, groups: int) ->
             )
 
     def meet(group: tuple, table: pa.Table) -> pa.Table:
+        try:
+            return met(group, table)
+        finally:
+            give_back()
+
+    def met(group: tuple, table: pa.Table) -> pa.Table:
         blobs = [arrays_of(b) for b in table.column("blob").to_pylist()]
         if group[0].as_py() < 0:
             key, node, spare = (np.concatenate([b[i] for b in blobs]) for i in range(3))
@@ -419,7 +425,7 @@ class Join:
         percent = self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in in_pieces(batches):
                 total, *bits = (c.to_pylist() for c in batch.columns[2:])
                 near = [
                     parity_distance(a, b) <= most_different(n, percent)
@@ -443,7 +449,7 @@ class Join:
         percent = self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in in_pieces(batches):
                 similar = []
                 for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                     a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)

@@ -15,6 +15,7 @@ megabytes of texts are numbered by Arrow, and only distinct ones are looked up.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,16 +26,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolume.llm.common import map_arrow, worker_state
+from repolume.llm.common import in_pieces, map_arrow, worker_state
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1  # closes each document
 LENGTH = 2048
 BLOCK_TOKENS = 2048 * 1024
 LINEAR, QUADRATIC = 1.0, 1.0 / 512
-KEPT_WORDS = 800_000
+KEPT_WORDS = 200_000
 PLAIN_MARKS = "!#$%&*,.:;?|"
-PART_BYTES = 8 << 20  # texts encoded together, or one longer text
+PART_BYTES = 4 << 20  # texts encoded together, or one longer text
+RUN_WORDS, RUNS = 500, 20  # words encoded as one text, and such texts at once
 
 PIECES = (
     "doc_id long, start long, length long, doc_tokens long, sequence_id long, "
@@ -69,8 +71,10 @@ class WordTokens:
         """Runs of letters are encoded many at a time, parted by spaces: each is one run of the
         pre-tokenizer, and ends in the only piece of it that marks an end. The few letters
         whose small form is more than one letter part a run; then each word is encoded alone."""
-        many = [words[i : i + 500] for i in range(0, len(words), 500)]
-        for part, ids in zip(many, self._ids([b" ".join(part).decode() for part in many])):
+        many = [words[i : i + RUN_WORDS] for i in range(0, len(words), RUN_WORDS)]
+        texts = [b" ".join(part).decode() for part in many]
+        found = (self._ids(texts[i : i + RUNS]) for i in range(0, len(texts), RUNS))
+        for part, ids in zip(many, itertools.chain.from_iterable(found)):
             data = ids.tobytes()
             ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(ends) == len(part):
@@ -79,7 +83,9 @@ class WordTokens:
                 self._learn_others(part, self.known)
 
     def _learn_others(self, words: list[bytes], known: dict[bytes, bytes]) -> None:
-        known.update(zip(words, (i.tobytes() for i in self._ids([w.decode() for w in words]))))
+        for at in range(0, len(words), RUN_WORDS * RUNS):
+            part = words[at : at + RUN_WORDS * RUNS]
+            known.update(zip(part, (i.tobytes() for i in self._ids([w.decode() for w in part]))))
 
     def _learn(self, stems: list[bytes], letters: list[bool]) -> None:
         """Learn those that are not known; ``letters``: whether they are letters only."""
@@ -234,7 +240,7 @@ def pack(documents: DataFrame, length: int = LENGTH, path: str | None = None) ->
         tokens = worker_state(path, lambda: WordTokens(path))
         sequence = TaskContext.get().partitionId() << 40
         block, held = [], 0
-        for batch in batches:
+        for batch in in_pieces(batches, PART_BYTES):
             ids = tokens.encode(batch.column(1))
             for doc_id, found in zip(batch.column(0).to_pylist(), ids):
                 block.append((doc_id, found + closing))

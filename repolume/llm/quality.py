@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolume.llm.common import bounded_rows, fold, map_arrow, one_label, sample_texts, worker_state
+from repolume.llm.common import bounded_rows, fold, in_pieces, map_arrow, one_label, sample_texts, worker_state
 
 # Labelled texts, at most: of class 0 and of class 1.
 PER_CLASS = (1500, 2500)
@@ -152,7 +152,7 @@ def quality(documents: DataFrame, model: LatentVotes, threshold: float = 0.7) ->
     score = _scorer(model, documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             scores = pa.array(score(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["doc_id", "score"])
 
@@ -168,7 +168,7 @@ def keep_good(documents: DataFrame, model: LatentVotes, threshold: float = 0.7)
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             good = score(batch.column(at).to_pylist()) >= threshold
             yield batch.filter(pa.array(good))
 
