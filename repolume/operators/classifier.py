@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from uuid import uuid4
+
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import (
-    IDF,
-    CountVectorizer,
+    CountVectorizerModel,
+    IDFModel,
     IndexToString,
     Normalizer,
     RegexTokenizer,
     StopWordsRemover,
-    StringIndexer,
 )
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolume.functions.timecols import AsOf, as_datetime
-from repolume.operators import softmax
+from repolume.operators import softmax, words
 
 # Class size, vocabulary, iterations, split.
 MIN_CLASS_ROWS = 30
@@ -26,8 +30,6 @@ VOCABULARY = 5000
 MAX_ITERATIONS = 1000
 TEST_SHARE = 0.2
 SEED = 42
-# Words of two or more characters, in any script.
-TOKEN = r"(?U)\w\w+"
 
 
 def issue_text() -> Column:
@@ -55,8 +57,10 @@ def valid_classes(rows: DataFrame, min_rows: int = MIN_CLASS_ROWS) -> DataFrame:
 def in_valid_classes(rows: DataFrame, min_rows: int = MIN_CLASS_ROWS) -> DataFrame:
     """The rows of classes with enough rows.
 
-    The classes are counted from the labels alone. They are a short list as a rule, which
-    Spark then broadcasts by its measured size, so that the texts are not shuffled.
+    The classes are counted from the labels alone, and broadcast: they are fewer than rows by
+    ``min_rows`` and hold no text, whereas texts dealt out by label would make as many tasks as
+    there are classes, the largest with most of the rows. (By its own measure Spark decides when
+    the texts are shuffled already.)
     """
     classes = (
         rows.groupBy("label")
@@ -64,7 +68,7 @@ def in_valid_classes(rows: DataFrame, min_rows: int = MIN_CLASS_ROWS) -> DataFra
         .where(F.col("count") >= min_rows)
         .select("label")
     )
-    return rows.join(classes, "label", "left_semi")
+    return rows.join(F.broadcast(classes), "label", "left_semi")
 
 
 def with_split(rows: DataFrame, test_share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
@@ -78,38 +82,55 @@ def with_split(rows: DataFrame, test_share: float = TEST_SHARE, seed: int = SEED
 def train(rows: DataFrame, max_iterations: int = MAX_ITERATIONS) -> PipelineModel:
     """TF-IDF over the most frequent words and a multinomial logistic regression.
 
-    The texts are read twice (vocabulary, then counts); the later steps use the
-    stored word counts. The penalty is that of an unscaled L2 term over n rows. The
-    coefficients, classes x ``VOCABULARY`` doubles, are held by the driver: with tens of
+    The texts are read once, and kept as counts of their words; words that come equally often
+    enter the vocabulary in alphabetical order. The penalty is that of an unscaled L2 term over n
+    rows. The coefficients, classes x ``VOCABULARY`` doubles, are held by the driver: with tens of
     thousands of classes raise ``min_rows`` of ``in_valid_classes``.
     """
-    tokenizer = RegexTokenizer(inputCol="text", outputCol="words", pattern=TOKEN, gaps=False)
+    spark = rows.sparkSession
+    tokenizer = RegexTokenizer(inputCol="text", outputCol="words", pattern=words.TOKEN, gaps=False)
     stop_words = StopWordsRemover(inputCol="words", outputCol="terms")
-    terms = stop_words.transform(tokenizer.transform(rows))
-    vocabulary = CountVectorizer(
-        inputCol="terms", outputCol="counts", vocabSize=VOCABULARY
-    ).fit(terms)
-    counted = vocabulary.transform(terms).select("label", "counts")
+    counted = words.counted(rows, [w.lower() for w in stop_words.getStopWords()])
     counted.persist(StorageLevel.MEMORY_AND_DISK)
+    packed = None
     try:
-        index = StringIndexer(inputCol="label", outputCol="label_index").fit(counted)
-        idf = IDF(inputCol="counts", outputCol="weights").fit(counted)
-        norm = Normalizer(inputCol="weights", outputCol="features", p=2.0)
-        rows_of = {r["label"]: r["count"] for r in counted.groupBy("label").count().collect()}
-        regression = softmax.fit(
-            norm.transform(idf.transform(index.transform(counted))),
-            [rows_of[label] for label in index.labels],
-            len(vocabulary.vocabulary),
-            max_iterations,
-        )
+        each = counted.select(F.explode("labels").alias("label")).groupBy("label")
+        rows_of = {r["label"]: r["count"] for r in each.count().collect()}
+        labels = sorted(rows_of, key=lambda label: (-rows_of[label], label))
+        n = sum(rows_of.values())
+        top = words.totals(counted).orderBy(F.desc("times"), "word").limit(VOCABULARY).collect()
+        if not top:
+            raise ValueError("the training rows have no words")
+        vocabulary, texts = [r["word"] for r in top], [r["texts"] for r in top]
+        weights = np.log((n + 1) / (np.array(texts) + 1))
+        packed = words.packed(counted.coalesce(softmax.task_count(spark, n)), vocabulary, labels)
+        packed.persist(StorageLevel.MEMORY_AND_DISK).foreachPartition(lambda _: None)
+        counted.unpersist()
+        regression = softmax.fit_blocks(
+            packed, [rows_of[label] for label in labels], len(vocabulary), max_iterations,
+            words.unpacked(weights),
+        )
     finally:
         counted.unpersist()
-    names = IndexToString(
-        inputCol="prediction", outputCol="predicted_label", labels=index.labels
-    )
-    return PipelineModel(
-        [tokenizer, stop_words, vocabulary, idf, norm, regression, names]
-    )
+        if packed is not None:
+            packed.unpersist()
+    vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="counts")
+    idf = _idf_model(spark, weights, texts, n).setInputCol("counts").setOutputCol("weights")
+    norm = Normalizer(inputCol="weights", outputCol="features", p=2.0)
+    names = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels)
+    return PipelineModel([tokenizer, stop_words, vectors, idf, norm, regression, names])
+
+
+def _idf_model(spark: SparkSession, weights: np.ndarray, texts: list[int], n: int) -> IDFModel:
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    counts = context._gateway.new_array(jvm.long, len(texts))
+    for at, count in enumerate(texts):
+        counts[at] = count
+    values = _py2java(context, Vectors.dense(weights)).toArray()
+    vector = jvm.org.apache.spark.mllib.linalg.Vectors.dense(values)
+    made = jvm.org.apache.spark.mllib.feature.IDFModel(vector, counts, n)
+    name = "org.apache.spark.ml.feature.IDFModel"
+    return IDFModel(IDFModel._new_java_obj(name, f"IDF_{uuid4().hex[:12]}", made))
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -120,15 +141,28 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def _scores(model: PipelineModel, spark: SparkSession) -> Callable[[Column], Column]:
+    """The function from texts to (label, confidence), with the parameters of a model of ``train``:
+    what its stages give, without a column of words and vectors for each stage."""
+    _, stop_words, vectors, idf, _, regression, names = model.stages
+    return words.scorer(
+        spark,
+        [w.lower() for w in stop_words.getStopWords()],
+        vectors.vocabulary,
+        idf.idf.toArray(),
+        regression.coefficientMatrix.toArray(),
+        regression.interceptVector.toArray(),
+        names.getLabels(),
+    )
+
+
 def classify_texts(texts: DataFrame, model: PipelineModel) -> DataFrame:
     """The given rows (``title``, ``body`` and others) with the predicted label
     and its probability."""
     columns = [c for c in texts.columns if c != "text"]
-    scored = model.transform(texts.withColumn("text", issue_text()))
-    return scored.select(
-        *columns,
-        "predicted_label",
-        F.array_max(vector_to_array("probability")).alias("confidence"),
+    score = _scores(model, texts.sparkSession)(issue_text())
+    return texts.select(
+        *columns, score["label"].alias("predicted_label"), score["confidence"].alias("confidence")
     )
 
 
@@ -157,7 +191,8 @@ def score_issues(
 
 def predict_split(rows: DataFrame, model: PipelineModel) -> DataFrame:
     """(label, prediction) of rows that already have a ``text``."""
-    return model.transform(rows).select("label", F.col("predicted_label").alias("prediction"))
+    score = _scores(model, rows.sparkSession)(F.col("text"))
+    return rows.select("label", score["label"].alias("prediction"))
 
 
 def classification_report(predictions: DataFrame) -> DataFrame:
