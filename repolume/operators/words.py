@@ -234,7 +234,7 @@ def scorer(
     ship(spark)
     ranges = word_ranges(spark)
     places = {word: at for at, word in enumerate(vocabulary)} | dict.fromkeys(stop_words, -1)
-    names = np.array(labels, object)
+    names, weights = np.array(labels, object), np.ascontiguousarray(weights)
 
     def run(texts: pa.Array) -> pa.Array:
         best, sure = [], []
